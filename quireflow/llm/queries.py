@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe import op6_byte_bpe
+from .classifier import op8_quality
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .mixing import op9_source_mix
 
 QUERIES = {
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_quality": op8_quality,
     "op9_source_mix": op9_source_mix,
 }
 
