@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .bpe import op6_byte_bpe
+from .chat import OP1_SQL, op1_chat_windows
 from .classifier import op8_quality
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .mixing import op9_source_mix
 
 QUERIES = {
+    "op1_chat_windows": op1_chat_windows,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality": op8_quality,
@@ -15,5 +17,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_chat_windows": OP1_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
