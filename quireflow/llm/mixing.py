@@ -32,14 +32,19 @@ def keyed_hash(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 12), 16, 10).cast("long")
 
 
-def permuted(x: Column, n: Column, *key: Column | str, rounds: int = ROUNDS) -> Column:
+def round_keys(n: Column, *key: Column | str, rounds: int = ROUNDS) -> Column:
+    """What a permutation of 0..n-1 needs: for each round, its name in the hash and its pivot."""
+    named = F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in key])
+    return F.array(*[F.struct(F.concat_ws(":", F.lit(f"b{r}"), named).alias("name"), F.pmod(keyed_hash(f"k{r}", *key), n).alias("pivot")) for r in range(rounds)])
+
+
+def permuted(x: Column, n: Column, keys: Column) -> Column:
     """The place of x (0..n-1) under a pseudorandom permutation of 0..n-1: swap-or-not."""
-    keys = F.array(*[F.struct(F.lit(str(r)).alias("r"), F.pmod(keyed_hash(f"k{r}", *key), n).alias("k")) for r in range(rounds)])
-    joined = F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in key])
 
-    def step(place: Column, turn: Column) -> Column:
-        partner = F.pmod(turn["k"] - place, n)
-        return F.when(F.pmod(keyed_hash(turn["r"], joined, F.greatest(place, partner)), F.lit(2)) == 1, partner).otherwise(place)
+    def step(place: Column, key: Column) -> Column:
+        partner = F.pmod(key["pivot"] - place, n)
+        coin = F.ascii(F.md5(F.concat_ws(":", key["name"], F.greatest(place, partner).cast("string"))))
+        return F.when(coin % 2 == 1, partner).otherwise(place)
 
     return F.aggregate(keys, x.cast("long"), step)
 
@@ -97,14 +102,17 @@ class Mix:
 
     def _slots(self, shard: int) -> DataFrame:
         """One row for each slot: shard, slot, sid, pass, block."""
-        parts = self.sources.where("draws > 0").select("sid", "draws", "blocks", "first_slot", "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("draws") - 1) / CHUNK))).alias("part"))
-        parts = parts.repartition("sid", "part")
-        last = F.least(F.col("draws") - 1, F.col("part") * CHUNK + CHUNK - 1)
-        draws = parts.select("sid", "blocks", "first_slot", "slots", F.explode(F.sequence(F.col("part") * CHUNK, last)).alias("j"))
-        slot = permuted(F.col("first_slot") + F.col("j"), F.col("slots"), self.seed, "slots")
-        turn = F.floor(F.col("j") / F.col("blocks"))
-        block = permuted(F.pmod("j", F.col("blocks")), F.col("blocks"), self.seed, F.col("sid"), turn)
-        return draws.select(F.floor(slot / shard).alias("shard"), slot.alias("slot"), "sid", turn.alias("pass"), block.alias("block"))
+        total = self.sources.agg(F.coalesce(F.max("slots"), F.lit(0))).first()[0]
+        tasks = min(20_000, 1 + total // 16384)  # by number, since the parts are tiny until they are spread out
+        passes = self.sources.where("draws > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.floor((F.col("draws") - 1) / F.col("blocks")))))
+        passes = passes.withColumn("n", F.least("blocks", F.col("draws") - F.col("pass") * F.col("blocks")))
+        parts = passes.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK)))).repartition(tasks, "sid", "pass", "part")
+        parts = parts.withColumn("slot_keys", round_keys(F.col("slots"), self.seed, "slots")).withColumn("block_keys", round_keys(F.col("blocks"), self.seed, F.col("sid"), F.col("pass")))
+        each = parts.withColumn("x", F.explode(F.sequence(F.col("part") * CHUNK, F.least(F.col("n") - 1, F.col("part") * CHUNK + CHUNK - 1))))
+        slot = permuted(F.col("first_slot") + F.col("pass") * F.col("blocks") + F.col("x"), F.col("slots"), F.col("slot_keys"))
+        block = permuted(F.col("x"), F.col("blocks"), F.col("block_keys"))
+        out = each.select(slot.alias("slot"), "sid", "pass", block.alias("block")).withColumn("shard", F.floor(F.col("slot") / shard))
+        return materialize(out, "slots")  # so that joins know its size, and the permutations run once
 
     def pieces(self) -> DataFrame:
         """The documents cut at block edges: located's columns, block, at (word in the document, from 0), words."""
@@ -141,3 +149,45 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 def op9_source_mix(spark, sf_dir: str) -> DataFrame:
     mixed = Mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).taken()
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def _rounds() -> str:
+    """The block permutation's rounds, one query each: p0 has sid, pass, blocks and x."""
+    out = []
+    for r in range(ROUNDS):
+        out.append(f"q{r} AS (SELECT *, ((('0x' || substr(md5('k{r}:mix:' || sid || ':' || pass), 1, 12))::BIGINT % blocks - x) % blocks + blocks) % blocks AS y FROM p{r})")
+        out.append(f"p{r + 1} AS (SELECT sid, pass, blocks, CASE WHEN ascii(md5('b{r}:mix:' || sid || ':' || pass || ':' || greatest(x, y))) % 2 = 1 THEN y ELSE x END AS x FROM q{r})")
+    return ",\n".join(out)
+
+
+OP9_SQL = f"""
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+s1 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM sized GROUP BY source),
+s2 AS (SELECT *, {list(WEIGHTS)}[((sid - 1) % {len(WEIGHTS)} + 1)::INT]::BIGINT AS weight, sum(source_size) OVER ()::BIGINT AS total FROM s1),
+s3 AS (SELECT *, source_size * {CAP}::DOUBLE / weight AS fill FROM s2),
+s4 AS (
+  SELECT *, (total - coalesce(sum(source_size * {CAP}) OVER (ORDER BY fill, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS remaining,
+    sum(weight) OVER (ORDER BY fill, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS share FROM s3
+), s5 AS (SELECT *, fill * share < remaining AS filled FROM s4),
+s6 AS (SELECT *, sum(CASE WHEN filled THEN 0 ELSE 1 END) OVER (ORDER BY fill, sid ROWS UNBOUNDED PRECEDING) AS opened FROM s5),
+s7 AS (SELECT *, max(CASE WHEN opened = 1 AND NOT filled THEN remaining END) OVER () AS rest, max(CASE WHEN opened = 1 AND NOT filled THEN share END) OVER () AS among FROM s6),
+s8 AS (
+  SELECT source, sid, source_size, CASE WHEN source_size = 0 THEN 0 WHEN opened = 0 THEN (source_size * {CAP})::DOUBLE ELSE (weight * rest)::DOUBLE / among::DOUBLE END AS target,
+    (source_size + {BLOCK - 1}) // {BLOCK} AS blocks FROM s7
+), src AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target * blocks / source_size + 0.5)::BIGINT END AS draws FROM s8),
+located AS (
+  SELECT *, row_number() OVER o AS r, (coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start
+  FROM (SELECT z.doc_id, z.size, src.sid, src.source_size, src.target, ('0x' || substr(md5('mix:order:' || coalesce(z.doc_id, -1)), 1, 12))::BIGINT AS place
+        FROM sized z JOIN src ON z.source IS NOT DISTINCT FROM src.source)
+  WINDOW o AS (PARTITION BY sid ORDER BY place % {BUCKETS}, place, doc_id NULLS FIRST, size)
+), draws AS (SELECT sid, blocks, unnest(range(draws)) AS j FROM src WHERE draws > 0),
+p0 AS (SELECT sid, j // blocks AS pass, blocks, j % blocks AS x FROM draws),
+{_rounds()},
+times AS (SELECT sid, x AS block, count(*) AS times FROM p{ROUNDS} GROUP BY ALL),
+cut AS (SELECT *, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block FROM located WHERE size > 0),
+got AS (
+  SELECT cut.sid, cut.r, sum((least(start + size, (cut.block + 1) * {BLOCK}) - greatest(start, cut.block * {BLOCK})) * times.times)::BIGINT AS taken
+  FROM cut JOIN times USING (sid, block) GROUP BY ALL
+)
+SELECT located.doc_id, located.size, located.source_size, located.target, coalesce(got.taken, 0) AS taken FROM located LEFT JOIN got USING (sid, r)
+"""

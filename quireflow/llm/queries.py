@@ -6,7 +6,7 @@ from .bpe import op6_byte_bpe
 from .chat import OP1_SQL, op1_chat_windows
 from .classifier import op8_quality
 from .exact_dedup import OP7_SQL, op7_exact_dedup
-from .mixing import op9_source_mix
+from .mixing import OP9_SQL, op9_source_mix
 from .warc import OP2_SQL, op2_warc_dictionary
 
 QUERIES = {
@@ -22,4 +22,5 @@ ORACLES = {
     "op1_chat_windows": OP1_SQL,
     "op2_warc_dictionary": OP2_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op9_source_mix": OP9_SQL,
 }
