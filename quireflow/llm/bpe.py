@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from .common import text_bytes
 
 NONE = 1 << 30
-BATCH_BYTES = 32 << 20
-KNOWN = 400_000
+BATCH_BYTES = 12 << 20
+KNOWN = 250_000
 FEW = 40
 
 
