@@ -7,11 +7,13 @@ from .chat import OP1_SQL, op1_chat_windows
 from .classifier import op8_quality
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .mixing import OP9_SQL, op9_source_mix
+from .vector_dedup import OP5_SQL, op5_vector_dedup
 from .warc import OP2_SQL, op2_warc_dictionary
 
 QUERIES = {
     "op1_chat_windows": op1_chat_windows,
     "op2_warc_dictionary": op2_warc_dictionary,
+    "op5_vector_dedup": op5_vector_dedup,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality": op8_quality,
@@ -21,6 +23,7 @@ QUERIES = {
 ORACLES = {
     "op1_chat_windows": OP1_SQL,
     "op2_warc_dictionary": OP2_SQL,
+    "op5_vector_dedup": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op9_source_mix": OP9_SQL,
 }
