@@ -6,6 +6,7 @@ from .bpe import op6_byte_bpe
 from .chat import OP1_SQL, op1_chat_windows
 from .classifier import op8_quality
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .minhash_dedup import OP10_SQL, op10_minhash_dedup
 from .mixing import OP9_SQL, op9_source_mix
 from .vector_dedup import OP5_SQL, op5_vector_dedup
 from .warc import OP2_SQL, op2_warc_dictionary
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality": op8_quality,
     "op9_source_mix": op9_source_mix,
+    "op10_minhash_dedup": op10_minhash_dedup,
 }
 
 ORACLES = {
@@ -26,4 +28,5 @@ ORACLES = {
     "op5_vector_dedup": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op9_source_mix": OP9_SQL,
+    "op10_minhash_dedup": OP10_SQL,
 }
