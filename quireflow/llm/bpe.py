@@ -296,11 +296,15 @@ class Tokenizer:
             raise ValueError("the vocabulary is too large to broadcast")
         self.ranks, self.pattern = spark.sparkContext.broadcast(ranks), pattern
 
-    def encode(self, docs: DataFrame, text_col: str = "text", out: str = "ids") -> DataFrame:
-        """docs with a column of ids: little-endian unsigned 32-bit integers."""
+    def encode(self, docs: DataFrame, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+        """docs with a column of ids: little-endian unsigned 32-bit integers.
+
+        decoded names a further column, what decode() makes of the ids; the same worker then does both.
+        """
         ranks, pattern, batch = self.ranks, self.pattern, BATCH_BYTES
-        if out in docs.columns:
-            raise ValueError(f"there is a column {out}")
+        added = [out] if decoded is None else [out, decoded]
+        if clash := set(added) & set(docs.columns):
+            raise ValueError(f"there are columns {clash}")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = _shared(ranks, pattern)
@@ -310,11 +314,14 @@ class Tokenizer:
                 rows, k = codec.learn(texts), 0
                 del texts
                 for b in held:
-                    for part in _slices(b, text_col, 4 << 20):
+                    for part in _slices(b, text_col, 2 << 20):
                         own = rows[k : k + part.num_rows]
                         k += part.num_rows
                         ids = [ragged(codec.ids, codec.at, np.frombuffer(x, np.int32)) if len(x) else b"" for x in own]
-                        yield pa.RecordBatch.from_arrays([*part.columns, _binary(ids)], [*part.schema.names, out])
+                        new = [_binary(ids)]
+                        if decoded is not None:
+                            new.append(_binary([codec.decode(np.asarray(x)) if len(x) else b"" for x in ids]))
+                        yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *added])
 
             held, size = [], 0
             for b in batches:
@@ -327,7 +334,7 @@ class Tokenizer:
             if held:
                 yield from flush(held)
 
-        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.BinaryType())]))
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(c, T.BinaryType()) for c in added]]))
 
     def decode(self, encoded: DataFrame, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
         """encoded with a column of the bytes that the ids stand for."""
@@ -369,5 +376,5 @@ def tokenised(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     bpe = Tokenizer(docs.sparkSession, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    rows = bpe.decode(bpe.encode(docs.select("doc_id", "text")).select("doc_id", "ids"))
+    rows = bpe.encode(docs.select("doc_id", "text"), decoded="decoded")
     return rows.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
