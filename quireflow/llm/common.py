@@ -77,7 +77,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd number and of its inverse, modulo 2**64."""
     global _POW, _INV
     if len(_POW) < n:
         n = max(n, 1 << 20)
@@ -131,11 +132,15 @@ def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return begin, end, np.searchsorted(begin, at)
 
 
-def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: int = 1) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; equal bytes have equal hashes wherever they stand."""
+def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, mixed: bool = True) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; equal bytes have equal hashes wherever they stand.
+
+    Not mixed, it is the polynomial that the hash is made of.
+    """
     if not len(begin):
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(raw) + 1)
+    power, inverse = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(salt)) * power[: len(raw)], out=total[1:])
-    return mix64((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    np.cumsum((raw + np.uint64(1)) * power[: len(raw)], out=total[1:])
+    out = (total[end] - total[begin]) * inverse[begin]
+    return mix64(out) if mixed else out

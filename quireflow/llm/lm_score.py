@@ -1,13 +1,18 @@
 """Language-model scores by logistic context mixing over bits.
 
 The model reads a text as its bytes (A-Z lower-cased) and one end mark, each byte as eight binary decisions. ORDERS
-bit predictors look at the last 0 to 4 bytes and at the word so far: hashed (context, bits so far) slots hold how
-often a 0 and a 1 followed in the training texts. A mixer adds their stretched probabilities with weights, chosen by a gate (the longest context
-that was seen, and how often); weights are learned online, batch by batch, by gradient steps on coding cost, with each
-decision's own occurrence taken out of the counts. An adaptive map from (bits so far, mixed probability) to observed
-frequencies refines the result. The sum of the decisions' log10 probabilities is the score; total bits per byte follow.
-
-All of it is made from counts of five-byte strings with the hash of the word so far: tables have a fixed size, what the tasks gather grows with the
+bit predictors look at the last 0 to 4 bytes, and at the word so far together with the text's register: hashed
+(context, bits so far) slots hold how often a 0 and a 1 followed in the training texts, and each predictor falls back
+on the one before it. A mixer adds their stretched probabilities with weights, chosen by a gate (the longest context
+that was seen, how often, and how often the word so far was); weights are learned online, batch by batch, by gradient
+steps on coding cost, with each decision's own occurrence taken out of the counts. An adaptive map from (bits so far,
+mixed probability) to observed frequencies refines the result. The sum of the decisions' log10 probabilities is the
+score; total bits per byte follow.
+
+The register is adaptive, too: short words are grouped by which of them follow each other in the training texts
+(languages come apart by this), and a word's register is the group most met so far in its text.
+
+All of it is made from counts over all training texts: tables have a fixed size, what the tasks gather grows with the
 corpus. Scoring changes nothing in the model, so scores don't depend on what else is scored or in which order.
 
 The base score is a unigram model with add-one smoothing. Counts of frequent tokens (at most HOT of them) go to the
@@ -28,56 +33,98 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERED, SPACE, materialize, mix64, pieces, span_hashes, tokens
+from .common import LOWERED, materialize, mix64, pieces, powers, span_hashes, tokens
 
-BITS = (8, 16, 18, 20, 21, 22)  # of the slots of each order; the last is for the word so far
-ORDERS, END, PAD, HOT, TASKS, SLAB = len(BITS), 255, 4, 150_000, 32, 1 << 16
-SPREAD, STEPS, EDGE, UNIT = 0.35, 33, 8.0, 1e-12
+BITS = (8, 16, 18, 20, 21)  # of the slots of the byte contexts
+WORD_BITS, SLICES = 24, 64  # of the slots for words, which are built in so many slices
+ORDERS, END, PAD, HOT = len(BITS) + 1, 255, 4, 150_000
+SPREAD, STEPS, EDGE, UNIT, SHORT, GROUPS = 0.5, 33, 8.0, 1e-12, 256, 6
 OFFSET = np.r_[0, np.cumsum([1 << b for b in BITS])]
-SEEN = np.array([1, 2, 3, 5, 17, 65])  # counts at which a gate changes
-WORD_SEEN = np.array([1, 9])
-GATES = (ORDERS - 1) * (len(SEEN) + 1) * (len(WORD_SEEN) + 1)
+SEEN, WORD_SEEN = np.array([1, 2, 3, 5, 17, 65]), np.array([1, 9])  # counts at which a gate changes
+GATES = len(BITS) * (len(SEEN) + 1) * (len(WORD_SEEN) + 1)
+#: Counts are kept as logarithms in 16 bits; this gives them back.
+COUNT = np.exp2(np.arange(1 << 16) / 2048).astype(np.float32) - 1
+
+
+def packed(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.rint(np.log2(counts + 1.0) * 2048), 65535).astype(np.uint16)
+
 
+def short_words(begin: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The bucket of each word of at most three bytes, -1 for others."""
+    return np.where(end - begin <= 3, (h % np.uint64(SHORT)).astype(np.int64), -1)
 
-def stream(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def registers(short: np.ndarray, first: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each word, the group most met before it in its row (GROUPS: none yet)."""
+    out = np.full(len(short), GROUPS)
+    where = np.flatnonzero(short >= 0)
+    where = where[group[short[where]] >= 0]
+    if not len(where):
+        return out
+    met = np.zeros((len(where) + 1, GROUPS), np.int32)
+    met[np.arange(1, len(where) + 1), group[short[where]]] = 1
+    np.cumsum(met, axis=0, out=met)
+    row = np.searchsorted(first, np.arange(len(short)), "right") - 1
+    before = np.searchsorted(where, np.arange(len(short)))
+    start = np.searchsorted(where, first)[row]
+    seen = before > start
+    out[seen] = np.argmax(met[before[seen]] - met[start[seen]], axis=1)
+    return out
+
+
+def stream(raw: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What stands for each byte (and end) of all rows, and the rows' offsets.
 
-    The low 40 bits are five bytes, the last of which is to be predicted, the high 24 a hash of the word before it.
+    The low 40 bits are five bytes, the last of which is to be predicted, the high 24 a hash of the word before it
+    and its register.
     """
-    n = np.diff(at)
+    raw, n = LOWERED[raw], np.diff(at)
+    begin, end, first = tokens(raw, at)
+    power, inverse = powers(len(raw) + 1)
+    total = np.r_[np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * power[: len(raw)], dtype=np.uint64)]
+    state = registers(short_words(begin, end, mix64((total[end] - total[begin]) * inverse[begin])), first, group).astype(np.uint64) + np.uint64(1)
+    # places: the bytes of all rows with an end after each row; a place's word is the one that began last in its row
+    place = np.arange(len(raw)) + np.repeat(np.arange(len(n)), n)
+    size = len(raw) + len(n)
+    word = np.zeros(size, np.int64)  # 1 + the word that a place continues, or 0 between words
+    inside = np.zeros(size + 1, np.int64)
+    inside[place[begin] + 1] += 1
+    inside[place[end - 1] + 2 if len(end) else end] -= 1
+    open_ = np.cumsum(inside)[:size] > 0
+    number = np.zeros(size, np.int64)
+    number[place[begin]] = 1
+    number = np.cumsum(number)
+    source = np.empty(size, np.int64)
+    source[place] = np.arange(len(raw))
+    source[at[1:] + np.arange(len(n))] = at[1:]
+    word = np.where(open_, number, 0)
+    start = np.r_[0, begin][word]
+    prefix = np.where(open_, (total[source] - total[start]) * inverse[start], 0)
+    following = np.minimum(number, max(0, len(begin) - 1))  # a place between words has the register of the next word
+    now = np.where(open_, np.r_[np.uint64(0), state][word], state[following] if len(state) else np.uint64(0))
+    key = mix64(prefix + now * np.uint64(0xD1342543DE82EF95)) & np.uint64(0xFFFFFF << 40)
     out = np.full(len(raw) + (PAD + 1) * len(n), END, np.uint8)
-    shift = np.arange(len(n)) * (PAD + 1) + PAD
-    out[np.arange(len(raw)) + np.repeat(shift, n)] = LOWERED[raw]
-    key = out[PAD:].astype(np.uint64)
+    out[np.arange(len(raw)) + np.repeat(np.arange(len(n)) * (PAD + 1) + PAD, n)] = raw
+    at_out = np.arange(size) + np.repeat(np.arange(len(n)) * PAD, n + 1) + PAD
+    grams = out[PAD:].astype(np.uint64)
     for k in range(1, PAD + 1):
-        key |= out[PAD - k : len(out) - k].astype(np.uint64) << np.uint64(8 * k)
-    key |= span_hashes(out, _word_starts(out), np.arange(len(out)))[PAD:] & np.uint64(0xFFFFFF << 40)
-    keep = np.ones(len(key), bool)  # not the padding before later rows
-    first = at[1:-1] + np.arange(1, len(n)) * (PAD + 1)
-    for k in range(PAD):
-        keep[first + k] = False
-    return key[keep].view(np.int64), at + np.arange(len(at))
-
+        grams |= out[PAD - k : len(out) - k].astype(np.uint64) << np.uint64(8 * k)
+    return (key | grams[at_out - PAD]).view(np.int64), at + np.arange(len(at))
 
-def _word_starts(out: np.ndarray) -> np.ndarray:
-    """For each place, where the word before it begins (the place itself after white space or an end)."""
-    gap = SPACE[out] | (out == END)
-    begin = np.zeros(len(out), np.int64)
-    begin[1:] = np.where(gap[:-1], np.arange(1, len(out)), 0)
-    return np.maximum.accumulate(begin)
 
-
-def slots(grams: np.ndarray, bit: int) -> np.ndarray:
-    """The slots (ORDERS rows) that the predictors look at for a bit (0 is the highest) of each string."""
+def slots(grams: np.ndarray, bit: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The slots that the byte contexts look at for a bit (0 is the highest) of each string, and the word's."""
     node = ((1 << bit) | ((grams & 255) >> (8 - bit))).astype(np.uint64)
     context = grams.view(np.uint64) >> np.uint64(8)
-    out = np.empty((ORDERS, len(grams)), np.int64)
-    out[0] = node
-    for k in range(1, ORDERS):
-        own = (context & np.uint64((1 << 8 * k) - 1) if k < ORDERS - 1 else context >> np.uint64(32)) << np.uint64(8) | node
-        out[k] = own if BITS[k] >= 8 * k + 8 else mix64(own + np.uint64(k << 56)) >> np.uint64(64 - BITS[k])
-        out[k] += OFFSET[k]
-    return out
+    out = [node.astype(np.int64)]
+    for k in range(1, len(BITS)):
+        own = (context & np.uint64((1 << 8 * k) - 1)) << np.uint64(8) | node
+        own = own if BITS[k] >= 8 * k + 8 else mix64(own + np.uint64(k << 56)) >> np.uint64(64 - BITS[k])
+        out.append(own.astype(np.int64) + OFFSET[k])
+    word = grams.view(np.uint64) >> np.uint64(40)  # its highest bits are the slice
+    low = mix64(word << np.uint64(8) | node) & np.uint64((1 << WORD_BITS) // SLICES - 1)
+    return out, ((word >> np.uint64(18)) * np.uint64((1 << WORD_BITS) // SLICES) + low).astype(np.int64)
 
 
 def bit_of(grams: np.ndarray, bit: int) -> np.ndarray:
@@ -85,36 +132,37 @@ def bit_of(grams: np.ndarray, bit: int) -> np.ndarray:
 
 
 class Model:
-    """Counts (2 x slots), mixing weights (GATES x (ORDERS + 1)) and the refining map (256 x STEPS)."""
+    """Packed counts (2 x slots, for bytes and for words), groups of short words, mixing weights, refining map."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.weights = np.full((GATES, ORDERS + 1), 0.3)
-        self.weights[:, -1] = 0
+    def __init__(self, bytes_: np.ndarray, words: np.ndarray, group: np.ndarray):
+        self.bytes, self.words, self.group = bytes_, words, group
+        self.weights = np.tile(np.r_[np.zeros(ORDERS - 2), 0.3, 0.7, 0], (GATES, 1))
         self.refine: np.ndarray | None = None
 
     def inputs(self, grams: np.ndarray, bit: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Stretched predictions (ORDERS + 1 columns) and gates; without: the bit to take one occurrence of out."""
-        at = slots(grams, bit)
-        n0, n1 = self.counts[0][at].astype(np.float64), self.counts[1][at].astype(np.float64)
-        if without is not None:
-            n0 -= without == 0
-            n1 -= without == 1
-            np.maximum(n0, 0, out=n0)
-            np.maximum(n1, 0, out=n1)
+        lower, word = slots(grams, bit)
         x = np.ones((len(grams), ORDERS + 1))
-        x[:, :-1] = np.log((n1 + SPREAD) / (n0 + SPREAD)).T
-        total = n0 + n1
-        longest = np.zeros(len(grams), np.int64)
-        for k in range(1, ORDERS - 1):
-            longest[total[k] >= 1] = k
-        often = np.searchsorted(SEEN, total[longest, np.arange(len(grams))], "right")
-        return x, (longest * (len(SEEN) + 1) + often) * (len(WORD_SEEN) + 1) + np.searchsorted(WORD_SEEN, total[-1], "right")
+        total, p = [], 0.5
+        for k in range(ORDERS):  # each predictor falls back on the one before it
+            table, at = (self.words, word) if k == ORDERS - 1 else (self.bytes, lower[k])
+            n0, n1 = COUNT[table[0][at]], COUNT[table[1][at]]
+            if without is not None:
+                n0, n1 = np.maximum(n0 - (without == 0), 0), np.maximum(n1 - (without == 1), 0)
+            total.append(n0 + n1)
+            p = np.clip((n1 + SPREAD * p) / (total[k] + SPREAD), 1e-6, 1 - 1e-6)
+            x[:, k] = np.log(p / (1 - p))
+        longest, often = np.zeros(len(grams), np.int64), total[0]
+        for k in range(1, len(BITS)):
+            seen = total[k] >= 1
+            longest[seen] = k
+            often = np.where(seen, total[k], often)
+        return x, (longest * (len(SEEN) + 1) + np.searchsorted(SEEN, often, "right")) * (len(WORD_SEEN) + 1) + np.searchsorted(WORD_SEEN, total[-1], "right")
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -EDGE * 2, EDGE * 2)
 
-    def learn(self, grams: np.ndarray, n: np.ndarray, batch: int = 2048, rate: float = 0.05, least: int = 150) -> None:
+    def learn(self, grams: np.ndarray, n: np.ndarray, batch: int = 2048, rate: float = 0.02, least: int = 400) -> None:
         """Online steps over strings that occurred n times each; few strings are gone through again."""
         rounds = -(-least * batch // len(grams))
         for k in [k for _ in range(rounds) for k in range(0, len(grams), batch)]:
@@ -179,12 +227,18 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gather(training: DataFrame, text_col: str = "text") -> DataFrame:
-    """kind (0: five-byte strings, 1: token hashes, 2: texts), key, n of the training texts."""
+    """kind (1: token hashes, 2: texts, 3: pairs of short words in a row), key, n of the training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, raw, at in pieces(batches, text_col, 8 << 20):
-            begin, end, _ = tokens(raw, at)
-            for kind, keys in ((0, stream(raw, at)[0]), (1, span_hashes(LOWERED[raw], begin, end).view(np.int64)), (2, np.zeros(len(at) - 1, np.int64))):
+        for _, raw, at in pieces(batches, text_col, 4 << 20):
+            raw = LOWERED[raw]
+            begin, end, first = tokens(raw, at)
+            h = span_hashes(raw, begin, end, mixed=False)
+            short = short_words(begin, end, mix64(h))
+            where = np.flatnonzero(short >= 0)
+            row = np.searchsorted(first, where, "right")
+            both = np.flatnonzero(row[1:] == row[:-1]) if len(row) else where
+            for kind, keys in ((1, mix64(h).view(np.int64)), (2, np.zeros(len(at) - 1, np.int64)), (3, short[where[both]] * SHORT + short[where[both + 1]])):
                 values, n = _counted(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int8)), pa.array(values), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
@@ -192,62 +246,115 @@ def gather(training: DataFrame, text_col: str = "text") -> DataFrame:
     return materialize(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """The strings of a task with their counts, in a fixed pseudorandom order."""
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not held:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams, n = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.argsort(mix64(grams.view(np.uint64)))
-    return grams[order], n[order]
+def group_short(counts: DataFrame) -> np.ndarray:
+    """The group of each bucket of short words (-1: rare), by which buckets follow each other; at most SHORT**2 rows."""
+    near = np.zeros((SHORT, SHORT))
+    for row in counts.where("kind = 3").collect():
+        near[row["key"] // SHORT, row["key"] % SHORT] = row["n"]
+    near = near + near.T
+    mass = near.sum(1)
+    use = np.flatnonzero(mass > mass.sum() * 0.001)
+    group = np.full(SHORT, -1)
+    if len(use) <= GROUPS:
+        group[use] = np.arange(len(use))
+        return group
+    part = near[np.ix_(use, use)]
+    part = part / np.sqrt(np.outer(part.sum(1) + 1e-9, part.sum(1) + 1e-9))
+    vectors = np.linalg.eigh(part)[1][:, -GROUPS:]
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    centres = [vectors[np.argmax(mass[use])]]
+    while len(centres) < GROUPS:  # farthest first, then k-means
+        centres.append(vectors[np.argmin(np.max(np.stack(centres) @ vectors.T, axis=0))])
+    for _ in range(20):
+        own = np.argmax(vectors @ np.stack(centres).T, axis=1)
+        centres = [vectors[own == k].mean(0) if (own == k).any() else centres[k] for k in range(GROUPS)]
+    group[use] = own
+    return group
+
+
+def strings(training: DataFrame, group: np.ndarray, text_col: str = "text") -> DataFrame:
+    """key (as of stream()) and n of the training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for _, raw, at in pieces(batches, text_col, 1 << 20):
+            held.append(stream(raw, at, group)[0])
+            size += len(raw)
+            if size > 8 << 20:
+                yield count(held)
+                held, size = [], 0
+        if held:
+            yield count(held)
+
+    def count(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, n = _counted(np.concatenate(held))
+        return pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    rows = training.select(F.col(text_col)).mapInArrow(run, "key long, n long")
+    return materialize(rows.groupBy("key").agg(F.sum("n").alias("n")), "strings")
 
 
-def train(counts: DataFrame) -> Model:
-    """The model from gather()'s counts; each of its parts has a fixed size."""
-    spark = counts.sparkSession
-    grams = counts.where("kind = 0").select("key", "n").coalesce(TASKS)
-    total = int(OFFSET[-1])
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The strings of a task with their counts, in a fixed pseudorandom order within stretches."""
+    for b in batches:
+        grams, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+        order = np.argsort(mix64(grams.view(np.uint64)))
+        yield grams[order], n[order]
+
+
+def train(grams: DataFrame, group: np.ndarray) -> Model:
+    """The model from strings(); each of its parts has a fixed size.
+
+    The strings are dealt by the slice of the word table that they count in, so a slice is made by one task; the
+    tables of byte contexts are summed over tasks by slot.
+    """
+    spark = grams.sparkSession
+    dealt = grams.withColumn("slice", F.shiftrightunsigned("key", 58)).repartition(SLICES, "slice").select("key", "n")
+    total, wide = int(OFFSET[-1]), (1 << WORD_BITS) // SLICES
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = None
+        lower, slices = None, {}
         for b in batches:
-            g, n = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.float64)
-            sums = np.zeros(2 * total) if sums is None else sums
+            g, n = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.float32)
+            lower = np.zeros(2 * total, np.float32) if lower is None else lower
+            own = g.view(np.uint64) >> np.uint64(58)
             for bit in range(8):
-                side = bit_of(g, bit) * total
-                for row in slots(g, bit):
-                    np.add.at(sums, row + side, n)
-        if sums is not None:
-            for k in range(0, 2 * total, SLAB):
-                part = sums[k : k + SLAB]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([part.tobytes()], pa.binary())], ["at", "sums"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                part = np.frombuffer(x.as_py())
-                sums[k] = sums[k] + part if k in sums else part
-        for k, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["at", "sums"])
-
-    whole = np.zeros(2 * total, np.float32)
-    slabs = grams.mapInArrow(table, "at long, sums binary").repartition(-(-2 * total // SLAB), "at").mapInArrow(add, "at long, sums binary")
-    for row in slabs.toLocalIterator():
-        part = np.frombuffer(bytes(row["sums"]), np.float32)
-        whole[row["at"] : row["at"] + len(part)] = part
-    model = Model(whole.reshape(2, total))
+                y = bit_of(g, bit)
+                rows, word = slots(g, bit)
+                for row in rows:
+                    np.add.at(lower, row + y * total, n)
+                for k in np.unique(own).tolist():
+                    mine = own == k
+                    np.add.at(slices.setdefault(k, np.zeros((2, wide), np.float32)), (y[mine], word[mine] - k * wide), n[mine])
+        if lower is not None:
+            lower = lower.reshape(2, total)
+            used = np.flatnonzero(lower.any(0))
+            for k in range(0, len(used), 1 << 16):
+                u = used[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(lower[0, u].astype(np.float64)), pa.array(lower[1, u].astype(np.float64)), pa.nulls(len(u), pa.binary())], ["slot", "n0", "n1", "words"])
+            for k, x in slices.items():
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - k]), pa.array([0.0]), pa.array([0.0]), pa.array([packed(x).tobytes()], pa.binary())], ["slot", "n0", "n1", "words"])
+
+    made = materialize(dealt.mapInArrow(table, "slot long, n0 double, n1 double, words binary"), "tables")
+    bytes_, words = np.zeros((2, total), np.uint16), np.zeros((2, 1 << WORD_BITS), np.uint16)
+    sums = made.where("slot >= 0").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    for side in (0, 1):
+        bytes_[side, sums.column(0).to_numpy()] = packed(sums.column(1 + side).to_numpy())
+    for row in made.where("slot < 0").select("slot", "words").toLocalIterator():
+        k = -1 - row["slot"]
+        words[:, k * wide : (k + 1) * wide] = np.frombuffer(bytes(row["words"]), np.uint16).reshape(2, wide)
+    model = Model(bytes_, words, group)
     shared = spark.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, n = _columns(batches)
-        if len(g):
-            own = Model(shared.value.counts)
+        own, mass = Model(shared.value.bytes, shared.value.words, group), 0
+        for g, n in _columns(batches):
             own.learn(g, n)
-            yield pa.RecordBatch.from_arrays([pa.array([own.weights.tobytes()], pa.binary()), pa.array([float(n.sum())])], ["weights", "n"])
+            mass += int(n.sum())
+        if mass:
+            yield pa.RecordBatch.from_arrays([pa.array([own.weights.tobytes()], pa.binary()), pa.array([float(mass)])], ["weights", "n"])
 
-    learned = grams.mapInArrow(weigh, "weights binary, n double").collect()
+    learned = grams.coalesce(SLICES).mapInArrow(weigh, "weights binary, n double").collect()
     if not learned:
         return model
     learned = sorted((bytes(r["weights"]), r["n"]) for r in learned)
@@ -255,13 +362,15 @@ def train(counts: DataFrame) -> Model:
     weights = model.weights
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, n = _columns(batches)
-        if len(g):
-            own = Model(shared.value.counts)
-            own.weights = weights
-            yield pa.RecordBatch.from_arrays([pa.array([own.observe(g, n).tobytes()], pa.binary())], ["seen"])
-
-    seen = sorted(bytes(r["seen"]) for r in grams.mapInArrow(observe, "seen binary").collect())
+        own, seen = Model(shared.value.bytes, shared.value.words, group), None
+        own.weights = weights
+        for g, n in _columns(batches):
+            more = own.observe(g, n)
+            seen = more if seen is None else seen + more
+        if seen is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], ["seen"])
+
+    seen = sorted(bytes(r["seen"]) for r in grams.coalesce(SLICES).mapInArrow(observe, "seen binary").collect())
     model.settle(np.sum([np.frombuffer(x).reshape(2, -1) for x in seen], axis=0))
     return model
 
@@ -284,6 +393,16 @@ def frequent(counts: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return least, key[order], n[order]
 
 
+def _streams(raw: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """stream() in smaller parts, which stay in the processor's cache."""
+    parts, row = [], 0
+    while row < len(at) - 1:
+        end = max(row + 1, int(np.searchsorted(at, at[row] + (1 << 20), "right")) - 1)
+        parts.append(stream(raw[at[row] : at[end]], at[row : end + 1] - at[row], group)[0])
+        row = end
+    return np.concatenate(parts), at + np.arange(len(at))
+
+
 def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id_col, n_tokens, n_known, train_tokens, base_score, score, n_bytes."""
     spark = docs.sparkSession
@@ -291,14 +410,16 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
     n, v, texts = counts.agg(F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("n"))), F.lit(0)), F.count_if(F.col("kind") == 1), F.coalesce(F.sum(F.when(F.col("kind") == 2, F.col("n"))), F.lit(0))).first()
     n, v = n + texts, v + (texts > 0)
     least, hot, often = frequent(counts)
-    shared = spark.sparkContext.broadcast((train(counts), hot, often))
+    group = group_short(counts)
+    model = train(strings(docs.where(training), group, text_col), group)
+    shared = spark.sparkContext.broadcast((model, hot, often))
     unit = lambda c: np.rint(np.log10(c + 1.0) / UNIT).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, hot, often = shared.value
         units = unit(often)
         for part, raw, at in pieces(batches, "text", 12 << 20):
-            grams, rows = stream(raw, at)
+            grams, rows = _streams(raw, at, model.group)
             codes, values = pd.factorize(grams)
             score = np.add.reduceat(model.log10(values)[codes], rows[:-1])
             begin, end, first = tokens(raw, at)
