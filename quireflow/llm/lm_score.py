@@ -38,12 +38,13 @@ from .common import LOWERED, materialize, mix64, pieces, powers, span_hashes, to
 BITS = (8, 16, 18, 20, 21)  # of the slots of the byte contexts
 WORD_BITS, SLICES = 24, 64  # of the slots for words, which are built in so many slices
 ORDERS, END, PAD, HOT = len(BITS) + 1, 255, 4, 150_000
-SPREAD, STEPS, EDGE, UNIT, SHORT, GROUPS = 0.5, 33, 8.0, 1e-12, 256, 6
+SPREAD, STEPS, EDGE, UNIT, SHORT, GROUPS = 1.0, 33, 8.0, 1e-12, 256, 6
 OFFSET = np.r_[0, np.cumsum([1 << b for b in BITS])]
-SEEN, WORD_SEEN = np.array([1, 2, 3, 5, 17, 65]), np.array([1, 9])  # counts at which a gate changes
+SEEN, WORD_SEEN = np.array([1, 2, 3, 5, 17, 65]), np.array([1, 2, 4, 9, 33])  # counts at which a gate changes
 GATES = len(BITS) * (len(SEEN) + 1) * (len(WORD_SEEN) + 1)
-#: Counts are kept as logarithms in 16 bits; this gives them back.
+#: Counts are kept as logarithms in 16 bits; this gives them back, those below 1000 exactly.
 COUNT = np.exp2(np.arange(1 << 16) / 2048).astype(np.float32) - 1
+COUNT[COUNT < 1000] = np.rint(COUNT[COUNT < 1000])
 
 
 def packed(counts: np.ndarray) -> np.ndarray:
@@ -162,7 +163,7 @@ class Model:
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -EDGE * 2, EDGE * 2)
 
-    def learn(self, grams: np.ndarray, n: np.ndarray, batch: int = 2048, rate: float = 0.02, least: int = 400) -> None:
+    def learn(self, grams: np.ndarray, n: np.ndarray, batch: int = 4096, rate: float = 0.01, least: int = 400) -> None:
         """Online steps over strings that occurred n times each; few strings are gone through again."""
         rounds = -(-least * batch // len(grams))
         for k in [k for _ in range(rounds) for k in range(0, len(grams), batch)]:
