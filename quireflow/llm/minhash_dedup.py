@@ -35,7 +35,7 @@ from .common import LOWERED, materialize, mix64, pieces, span_hashes, tokens
 from .components import components, reach
 from .vector_dedup import whole_runs
 
-SIGNATURE, SKETCH, SKETCH_LEAST, SPREAD, RECALL, LEAF, CHUNK, BRANCH = 64, 32, 14, 30, 0.9999, 600, 192, 1.25
+SIGNATURE, SKETCH, SKETCH_LEAST, SPREAD, RECALL, LEAF, CHUNK, BRANCH = 64, 32, 14, 100, 0.99999, 4096, 192, 1.25
 _MULTIPLY = mix64(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -128,25 +128,22 @@ def _alike(sketch: np.ndarray) -> np.ndarray:
     return root
 
 
-def _small_nodes(sketch: np.ndarray, node: int, level: int = 0) -> Iterator[np.ndarray]:
-    """The rows of a node, or of the nodes below it where it is too large and its members differ enough."""
+def _small_nodes(sketch: np.ndarray, node: int, trees: int = 12) -> Iterator[np.ndarray]:
+    """The rows of a node, or of the nodes below it where it is too large and one more branching parts its members."""
     rows = np.arange(len(sketch))
-    if len(rows) <= LEAF or level == 6:
-        yield rows
-        return
-    trial = rows[:: max(1, len(rows) // 64)]
-    if np.mean((sketch[trial][:, None] == sketch[trial][None]).mean(2) >= SKETCH_LEAST / SKETCH) > 0.3:  # mostly one group
-        yield rows
-        return
-    for tree in range(24):
-        own, path = _branch(rows, np.full(len(rows), np.uint64(mix64(np.array([node + tree * 7919 + level], np.uint64))[0])), sketch)
-        order = np.argsort(path, kind="stable")
-        own, path = own[order], path[order]
-        edge = np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])
-        for a, b in zip(edge[:-1], edge[1:], strict=True):
-            if b - a > 1:
-                for below in _small_nodes(sketch[own[a:b]], int(path[a]) & 0x7FFFFFFFFFFF, level + 1):
-                    yield own[a:b][below]
+    if len(rows) > LEAF:
+        below = []
+        for tree in range(trees):
+            own, path = _branch(rows, np.full(len(rows), mix64(np.array([node ^ (tree + 1)], np.uint64))[0]), sketch)
+            order = np.argsort(path, kind="stable")
+            edge = np.flatnonzero(np.r_[True, np.diff(path[order]) != 0, True])
+            below += [own[order[a:b]] for a, b in zip(edge[:-1], edge[1:], strict=True) if b - a > 1]
+            if max(map(len, below), default=0) > len(rows) // 4:  # alike for the most part: comparing is quick
+                break
+        else:
+            yield from below
+            return
+    yield rows
 
 
 def find_ties(classes: DataFrame, similarity: float, depth: int, trees: int) -> DataFrame:
