@@ -295,12 +295,22 @@ def strings(training: DataFrame, group: np.ndarray, text_col: str = "text") -> D
     return materialize(rows.groupBy("key").agg(F.sum("n").alias("n")), "strings")
 
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The strings of a task with their counts, in a fixed pseudorandom order within stretches."""
-    for b in batches:
-        grams, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+def _columns(batches: Iterator[pa.RecordBatch], stretch: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The strings of a task with their counts, by long stretches, each in a fixed pseudorandom order."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        grams, n = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+        held.clear()
         order = np.argsort(mix64(grams.view(np.uint64)))
-        yield grams[order], n[order]
+        return grams[order], n[order]
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= stretch:
+            yield joined()
+    if held:
+        yield joined()
 
 
 def train(grams: DataFrame, group: np.ndarray) -> Model:
