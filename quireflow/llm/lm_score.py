@@ -30,13 +30,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWERED, materialize, mix64, pieces, powers, span_hashes, tokens
 
 BITS = (8, 16, 18, 20, 21)  # of the slots of the byte contexts
-WORD_BITS, SLICES = 24, 64  # of the slots for words, which are built in so many slices
+WORD_BITS, SLICES = (18, 24), 64  # of the slots for words (least and most), which are built in so many slices
 ORDERS, END, PAD, HOT = len(BITS) + 1, 255, 4, 150_000
 SPREAD, STEPS, EDGE, UNIT, SHORT, GROUPS = 1.0, 33, 8.0, 1e-12, 256, 6
 OFFSET = np.r_[0, np.cumsum([1 << b for b in BITS])]
@@ -114,8 +115,11 @@ def stream(raw: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarr
     return (key | grams[at_out - PAD]).view(np.int64), at + np.arange(len(at))
 
 
-def slots(grams: np.ndarray, bit: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The slots that the byte contexts look at for a bit (0 is the highest) of each string, and the word's."""
+def slots(grams: np.ndarray, bit: int, wide: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The slots that the byte contexts look at for a bit (0 is the highest) of each string, and the word's.
+
+    wide: the slots of a slice of the word table.
+    """
     node = ((1 << bit) | ((grams & 255) >> (8 - bit))).astype(np.uint64)
     context = grams.view(np.uint64) >> np.uint64(8)
     out = [node.astype(np.int64)]
@@ -124,8 +128,8 @@ def slots(grams: np.ndarray, bit: int) -> tuple[list[np.ndarray], np.ndarray]:
         own = own if BITS[k] >= 8 * k + 8 else mix64(own + np.uint64(k << 56)) >> np.uint64(64 - BITS[k])
         out.append(own.astype(np.int64) + OFFSET[k])
     word = grams.view(np.uint64) >> np.uint64(40)  # its highest bits are the slice
-    low = mix64(word << np.uint64(8) | node) & np.uint64((1 << WORD_BITS) // SLICES - 1)
-    return out, ((word >> np.uint64(18)) * np.uint64((1 << WORD_BITS) // SLICES) + low).astype(np.int64)
+    low = mix64(word << np.uint64(8) | node) & np.uint64(wide - 1)
+    return out, ((word >> np.uint64(18)) * np.uint64(wide) + low).astype(np.int64)
 
 
 def bit_of(grams: np.ndarray, bit: int) -> np.ndarray:
@@ -133,16 +137,16 @@ def bit_of(grams: np.ndarray, bit: int) -> np.ndarray:
 
 
 class Model:
-    """Packed counts (2 x slots, for bytes and for words), groups of short words, mixing weights, refining map."""
+    """Packed counts (2 x slots, for bytes and for words), mixing weights, refining map."""
 
-    def __init__(self, bytes_: np.ndarray, words: np.ndarray, group: np.ndarray):
-        self.bytes, self.words, self.group = bytes_, words, group
-        self.weights = np.tile(np.r_[np.zeros(ORDERS - 2), 0.3, 0.7, 0], (GATES, 1))
-        self.refine: np.ndarray | None = None
+    def __init__(self, tables: tuple[np.ndarray, np.ndarray], weights: np.ndarray | None = None, refine: np.ndarray | None = None):
+        self.bytes, self.words = tables
+        self.weights = np.tile(np.r_[np.zeros(ORDERS - 2), 0.3, 0.7, 0], (GATES, 1)) if weights is None else weights.copy()
+        self.refine = refine
 
     def inputs(self, grams: np.ndarray, bit: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Stretched predictions (ORDERS + 1 columns) and gates; without: the bit to take one occurrence of out."""
-        lower, word = slots(grams, bit)
+        lower, word = slots(grams, bit, self.words.shape[1] // SLICES)
         x = np.ones((len(grams), ORDERS + 1))
         total, p = [], 0.5
         for k in range(ORDERS):  # each predictor falls back on the one before it
@@ -196,9 +200,11 @@ class Model:
                     out[1] += np.bincount(c, w * y, out.shape[1])
         return out
 
-    def settle(self, seen: np.ndarray) -> None:
+    @staticmethod
+    def settled(seen: np.ndarray) -> np.ndarray:
+        """The refining map from observe()'s counts."""
         centre = np.tile(_squash(np.linspace(-EDGE, EDGE, STEPS)), 256)
-        self.refine = (seen[1] + 4 * centre) / (seen[0] + 4)
+        return (seen[1] + 4 * centre) / (seen[0] + 4)
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """The log10 probability of each string's last byte after the others."""
@@ -313,15 +319,18 @@ def _columns(batches: Iterator[pa.RecordBatch], stretch: int = 1 << 20) -> Itera
         yield joined()
 
 
-def train(grams: DataFrame, group: np.ndarray) -> Model:
-    """The model from strings(); each of its parts has a fixed size.
+def train(grams: DataFrame) -> tuple[Broadcast, np.ndarray | None, np.ndarray | None]:
+    """The model from strings(): its tables as a broadcast, weights, refining map.
+
+    Tables have a slot for each decision after a word that was met, 2**WORD_BITS[1] at most; so all parts are bounded.
 
     The strings are dealt by the slice of the word table that they count in, so a slice is made by one task; the
     tables of byte contexts are summed over tasks by slot.
     """
     spark = grams.sparkSession
     dealt = grams.withColumn("slice", F.shiftrightunsigned("key", 58)).repartition(SLICES, "slice").select("key", "n")
-    total, wide = int(OFFSET[-1]), (1 << WORD_BITS) // SLICES
+    bits = int(np.clip(np.ceil(np.log2(grams.count() * 16 + 1)), *WORD_BITS))
+    total, wide = int(OFFSET[-1]), (1 << bits) // SLICES
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower, slices = None, {}
@@ -331,7 +340,7 @@ def train(grams: DataFrame, group: np.ndarray) -> Model:
             own = g.view(np.uint64) >> np.uint64(58)
             for bit in range(8):
                 y = bit_of(g, bit)
-                rows, word = slots(g, bit)
+                rows, word = slots(g, bit, wide)
                 for row in rows:
                     np.add.at(lower, row + y * total, n)
                 for k in np.unique(own).tolist():
@@ -347,18 +356,18 @@ def train(grams: DataFrame, group: np.ndarray) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([-1 - k]), pa.array([0.0]), pa.array([0.0]), pa.array([packed(x).tobytes()], pa.binary())], ["slot", "n0", "n1", "words"])
 
     made = materialize(dealt.mapInArrow(table, "slot long, n0 double, n1 double, words binary"), "tables")
-    bytes_, words = np.zeros((2, total), np.uint16), np.zeros((2, 1 << WORD_BITS), np.uint16)
+    bytes_, words = np.zeros((2, total), np.uint16), np.zeros((2, 1 << bits), np.uint16)
     sums = made.where("slot >= 0").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     for side in (0, 1):
         bytes_[side, sums.column(0).to_numpy()] = packed(sums.column(1 + side).to_numpy())
     for row in made.where("slot < 0").select("slot", "words").toLocalIterator():
         k = -1 - row["slot"]
         words[:, k * wide : (k + 1) * wide] = np.frombuffer(bytes(row["words"]), np.uint16).reshape(2, wide)
-    model = Model(bytes_, words, group)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((bytes_, words))
+    del sums, bytes_, words
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, mass = Model(shared.value.bytes, shared.value.words, group), 0
+        own, mass = Model(shared.value), 0
         for g, n in _columns(batches):
             own.learn(g, n)
             mass += int(n.sum())
@@ -367,14 +376,12 @@ def train(grams: DataFrame, group: np.ndarray) -> Model:
 
     learned = grams.coalesce(SLICES).mapInArrow(weigh, "weights binary, n double").collect()
     if not learned:
-        return model
+        return shared, None, None
     learned = sorted((bytes(r["weights"]), r["n"]) for r in learned)
-    model.weights = np.average([np.frombuffer(w).reshape(model.weights.shape) for w, _ in learned], axis=0, weights=[n for _, n in learned])
-    weights = model.weights
+    weights = np.average([np.frombuffer(w).reshape(GATES, ORDERS + 1) for w, _ in learned], axis=0, weights=[n for _, n in learned])
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = Model(shared.value.bytes, shared.value.words, group), None
-        own.weights = weights
+        own, seen = Model(shared.value, weights), None
         for g, n in _columns(batches):
             more = own.observe(g, n)
             seen = more if seen is None else seen + more
@@ -382,8 +389,7 @@ def train(grams: DataFrame, group: np.ndarray) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], ["seen"])
 
     seen = sorted(bytes(r["seen"]) for r in grams.coalesce(SLICES).mapInArrow(observe, "seen binary").collect())
-    model.settle(np.sum([np.frombuffer(x).reshape(2, -1) for x in seen], axis=0))
-    return model
+    return shared, weights, Model.settled(np.sum([np.frombuffer(x).reshape(2, -1) for x in seen], axis=0))
 
 
 def frequent(counts: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -422,15 +428,16 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
     n, v = n + texts, v + (texts > 0)
     least, hot, often = frequent(counts)
     group = group_short(counts)
-    model = train(strings(docs.where(training), group, text_col), group)
-    shared = spark.sparkContext.broadcast((model, hot, often))
+    tables, weights, refine = train(strings(docs.where(training), group, text_col))
+    shared = spark.sparkContext.broadcast((hot, often))
     unit = lambda c: np.rint(np.log10(c + 1.0) / UNIT).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot, often = shared.value
+        hot, often = shared.value
+        model = Model(tables.value, weights, refine)
         units = unit(often)
         for part, raw, at in pieces(batches, "text", 12 << 20):
-            grams, rows = _streams(raw, at, model.group)
+            grams, rows = _streams(raw, at, group)
             codes, values = pd.factorize(grams)
             score = np.add.reduceat(model.log10(values)[codes], rows[:-1])
             begin, end, first = tokens(raw, at)
