@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, let
 
 BUDGET, HISTORY, HISTORY_TOKENS = 1024, 2, 256
 OPEN, MIDDLE, CLOSE = "<s>[INST] ", " [/INST] ", "</s>"
@@ -90,13 +90,19 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
 
 def read_back(windows: DataFrame) -> DataFrame:
     """Conversations as the formatted windows have them: conv_id, turns (role, text), targets, formatted_chars."""
-    parts = F.filter(F.split("formatted", CLOSE), lambda p: F.startswith(p, F.lit(OPEN)))
-    inner = F.transform(parts, lambda p: F.substring(p, len(OPEN) + 1, 1 << 30))
-    cut = lambda p: F.struct(unescape(F.substring_index(p, MIDDLE, 1)).alias("role"), unescape(F.substr(p, F.length(F.substring_index(p, MIDDLE, 1)) + len(MIDDLE) + 1)).alias("text"))
-    new = F.slice(inner, F.col("context_turns") + 1, F.greatest(F.size(inner) - F.col("context_turns"), F.lit(0)))
-    loss = F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["length"])))
-    read = windows.select("conv_id", F.struct("window", F.transform(new, cut).alias("turns"), loss.alias("targets")).alias("w"), F.length("formatted").cast("long").alias("chars"))
-    whole = read.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("w"), F.sum("chars").alias("formatted_chars"), F.count("*").alias("n_windows"))
+    def turn(p: Column) -> Column:
+        role = F.substring_index(p, MIDDLE, 1)
+        return F.struct(unescape(role).alias("role"), unescape(F.substr(p, F.length(role) + len(MIDDLE) + 1)).alias("text"))
+
+    def parsed(text: Column) -> Column:
+        parts = F.filter(F.split(text, CLOSE), lambda p: F.startswith(p, F.lit(OPEN)))
+        new = F.slice(parts, F.col("context_turns") + 1, F.greatest(F.size(parts) - F.col("context_turns"), F.lit(0)))
+        turns = F.transform(F.transform(new, lambda p: F.substring(p, len(OPEN) + 1, 1 << 30)), turn)
+        targets = F.transform("loss_spans", lambda s: unescape(F.substr(text, s["start"] + 1, s["length"])))
+        return F.struct("window", turns.alias("turns"), targets.alias("targets"), F.length(text).cast("long").alias("chars"))
+
+    read = windows.select("conv_id", let(F.col("formatted"), parsed).alias("w"))
+    whole = read.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("w"), F.sum("w.chars").alias("formatted_chars"), F.count("*").alias("n_windows"))
     return whole.select("conv_id", F.flatten(F.transform("w", lambda x: x["turns"])).alias("turns"), F.flatten(F.transform("w", lambda x: x["targets"])).alias("targets"), "formatted_chars", "n_windows")
 
 

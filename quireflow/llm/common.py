@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,11 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(F.coalesce(col, F.lit("")), UPPER, LOWER)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once; a plain column would be put in for each use, even inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share.
 
