@@ -48,8 +48,9 @@ COUNT = np.exp2(np.arange(1 << 16) / 2048).astype(np.float32) - 1
 COUNT[COUNT < 1000] = np.rint(COUNT[COUNT < 1000])
 
 
-def packed(counts: np.ndarray) -> np.ndarray:
-    return np.minimum(np.rint(np.log2(counts + 1.0) * 2048), 65535).astype(np.uint16)
+def packed(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    low, high = (np.minimum(np.rint(np.log2(n + 1.0) * 2048), 65535).astype(np.uint32) for n in (zeros, ones))
+    return low | high << np.uint32(16)
 
 
 def short_words(begin: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -115,21 +116,30 @@ def stream(raw: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarr
     return (key | grams[at_out - PAD]).view(np.int64), at + np.arange(len(at))
 
 
-def slots(grams: np.ndarray, bit: int, wide: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The slots that the byte contexts look at for a bit (0 is the highest) of each string, and the word's.
+LOW = (1 << 40) - 1
 
-    wide: the slots of a slice of the word table.
-    """
-    node = ((1 << bit) | ((grams & 255) >> (8 - bit))).astype(np.uint64)
-    context = grams.view(np.uint64) >> np.uint64(8)
+
+def nodes(grams: np.ndarray, bit: int) -> np.ndarray:
+    """The bits of the last byte before a bit (0 is the highest), with a leading one."""
+    return ((1 << bit) | ((grams & 255) >> (8 - bit))).astype(np.uint64)
+
+
+def byte_slots(grams: np.ndarray, bit: int) -> list[np.ndarray]:
+    """The slots that the byte contexts look at for a bit of each string."""
+    node, context = nodes(grams, bit), grams.view(np.uint64) >> np.uint64(8)
     out = [node.astype(np.int64)]
     for k in range(1, len(BITS)):
         own = (context & np.uint64((1 << 8 * k) - 1)) << np.uint64(8) | node
         own = own if BITS[k] >= 8 * k + 8 else mix64(own + np.uint64(k << 56)) >> np.uint64(64 - BITS[k])
         out.append(own.astype(np.int64) + OFFSET[k])
-    word = grams.view(np.uint64) >> np.uint64(40)  # its highest bits are the slice
-    low = mix64(word << np.uint64(8) | node) & np.uint64(wide - 1)
-    return out, ((word >> np.uint64(18)) * np.uint64(wide) + low).astype(np.int64)
+    return out
+
+
+def word_slots(grams: np.ndarray, bit: int, wide: int) -> np.ndarray:
+    """The slot of the word so far, by its slice (the highest bits) and place in it; wide: the slots of a slice."""
+    word = grams.view(np.uint64) >> np.uint64(40)
+    low = mix64(word << np.uint64(8) | nodes(grams, bit)) & np.uint64(wide - 1)
+    return ((word >> np.uint64(18)) * np.uint64(wide) + low).astype(np.int64)
 
 
 def bit_of(grams: np.ndarray, bit: int) -> np.ndarray:
@@ -137,93 +147,112 @@ def bit_of(grams: np.ndarray, bit: int) -> np.ndarray:
 
 
 class Model:
-    """Packed counts (2 x slots, for bytes and for words), mixing weights, refining map."""
+    """Packed counts (for bytes and for words, 0s in the low and 1s in the high half), mixing weights, refining map."""
 
     def __init__(self, tables: tuple[np.ndarray, np.ndarray], weights: np.ndarray | None = None, refine: np.ndarray | None = None):
         self.bytes, self.words = tables
-        self.weights = np.tile(np.r_[np.zeros(ORDERS - 2), 0.3, 0.7, 0], (GATES, 1)) if weights is None else weights.copy()
+        first = np.tile(np.r_[np.zeros(ORDERS - 2), 0.3, 0.7, 0], (GATES, 1))
+        self.weights = (first if weights is None else weights).astype(np.float32)
         self.refine = refine
 
-    def inputs(self, grams: np.ndarray, bit: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions (ORDERS + 1 columns) and gates; without: the bit to take one occurrence of out."""
-        lower, word = slots(grams, bit, self.words.shape[1] // SLICES)
-        x = np.ones((len(grams), ORDERS + 1))
-        total, p = [], 0.5
-        for k in range(ORDERS):  # each predictor falls back on the one before it
-            table, at = (self.words, word) if k == ORDERS - 1 else (self.bytes, lower[k])
-            n0, n1 = COUNT[table[0][at]], COUNT[table[1][at]]
-            if without is not None:
-                n0, n1 = np.maximum(n0 - (without == 0), 0), np.maximum(n1 - (without == 1), 0)
-            total.append(n0 + n1)
-            p = np.clip((n1 + SPREAD * p) / (total[k] + SPREAD), 1e-6, 1 - 1e-6)
+    @staticmethod
+    def _predict(table: np.ndarray, at: np.ndarray, p: np.ndarray | float, without: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The probability of a 1, falling back on p, and how often a slot was met."""
+        both = table[at]
+        n0, n1 = COUNT[both & 0xFFFF], COUNT[both >> 16]
+        if without is not None:
+            n0, n1 = np.maximum(n0 - (without == 0), 0), np.maximum(n1 - (without == 1), 0)
+        total = n0 + n1
+        return np.clip((n1 + np.float32(SPREAD) * p) / (total + np.float32(SPREAD)), np.float32(1e-6), np.float32(1 - 1e-6)), total
+
+    def inputs(self, grams: np.ndarray, five: tuple[np.ndarray, np.ndarray], bit: int, loo: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Stretched predictions (ORDERS + 1 columns) and gates of a bit; loo: without one occurrence of each string.
+
+        five: the distinct five-byte strings and which of them each string has; byte contexts are looked up for these.
+        """
+        own, which = five
+        y = bit_of(own, bit) if loo else None
+        x = np.ones((len(own), ORDERS + 1), np.float32)
+        p, gate, often = np.float32(0.5), np.zeros(len(own), np.int64), None
+        for k, at in enumerate(byte_slots(own, bit)):  # each predictor falls back on the one before it
+            p, total = self._predict(self.bytes, at, p, y)
             x[:, k] = np.log(p / (1 - p))
-        longest, often = np.zeros(len(grams), np.int64), total[0]
-        for k in range(1, len(BITS)):
-            seen = total[k] >= 1
-            longest[seen] = k
-            often = np.where(seen, total[k], often)
-        return x, (longest * (len(SEEN) + 1) + np.searchsorted(SEEN, often, "right")) * (len(WORD_SEEN) + 1) + np.searchsorted(WORD_SEEN, total[-1], "right")
+            seen = total >= 1
+            gate[seen] = k
+            often = total if often is None else np.where(seen, total, often)
+        gate = (gate * (len(SEEN) + 1) + np.searchsorted(SEEN, often, "right")) * (len(WORD_SEEN) + 1)
+        p, total = self._predict(self.words, word_slots(grams, bit, len(self.words) // SLICES), p[which], y[which] if loo else None)
+        x = x[which]
+        x[:, ORDERS - 1] = np.log(p / (1 - p))
+        return x, gate[which] + np.searchsorted(WORD_SEEN, total, "right")
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -EDGE * 2, EDGE * 2)
+        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -EDGE * 2, EDGE * 2).astype(np.float64)
 
-    def learn(self, grams: np.ndarray, n: np.ndarray, batch: int = 4096, rate: float = 0.01, least: int = 400) -> None:
-        """Online steps over strings that occurred n times each; few strings are gone through again."""
-        rounds = -(-least * batch // len(grams))
-        for k in [k for _ in range(rounds) for k in range(0, len(grams), batch)]:
-            g, times = grams[k : k + batch], n[k : k + batch].astype(np.float64)
-            for bit in range(8):
-                y = bit_of(g, bit)
-                x, gate = self.inputs(g, bit, y)
-                error = (y - _squash(self.mixed(x, gate))) * times
-                mass = np.bincount(gate, times, GATES)
-                step = np.stack([np.bincount(gate, error * x[:, j], GATES) for j in range(ORDERS + 1)], 1)
-                self.weights += rate * step / np.maximum(mass, 1)[:, None]
-
-    def cells(self, grams: np.ndarray, bit: int, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def cells(grams: np.ndarray, bit: int, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cell below z in the refining map, and how far z is from it to the next."""
         place = (np.clip(z, -EDGE, EDGE - 1e-9) + EDGE) / (2 * EDGE) * (STEPS - 1)
         low = place.astype(np.int64)
-        return ((1 << bit) | ((grams & 255) >> (8 - bit))) * STEPS + low, place - low
+        return nodes(grams, bit).astype(np.int64) * STEPS + low, place - low
 
-    def observe(self, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """For the refining map: how often each cell was met and how often with a 1 (2 x cells)."""
-        out = np.zeros((2, 256 * STEPS))
-        for k in range(0, len(grams), 1 << 15):
-            g, times = grams[k : k + (1 << 15)], n[k : k + (1 << 15)].astype(np.float64)
-            for bit in range(8):
-                y = bit_of(g, bit)
-                x, gate = self.inputs(g, bit, y)
-                cell, part = self.cells(g, bit, self.mixed(x, gate))
-                for c, w in ((cell, times * (1 - part)), (cell + 1, times * part)):
-                    out[0] += np.bincount(c, w, out.shape[1])
-                    out[1] += np.bincount(c, w * y, out.shape[1])
-        return out
+    def learn(self, grams: np.ndarray, n: np.ndarray, seen: np.ndarray, batch: int = 8192, rate: float = 0.015, least: int = 300) -> None:
+        """Online steps over strings that occurred n times each; few strings are gone through again.
+
+        seen (2 x cells) gathers, in the last round, how often a cell of the refining map was met, and met with a 1.
+        """
+        rounds = -(-least * batch // len(grams))
+        for round_ in range(rounds):
+            for k in range(0, len(grams), batch):
+                g, times = grams[k : k + batch], n[k : k + batch].astype(np.float64)
+                five = _five(g)
+                for bit in range(8):
+                    y = bit_of(g, bit)
+                    x, gate = self.inputs(g, five, bit, True)
+                    z = self.mixed(x, gate)
+                    error = (y - _squash(z)) * times
+                    mass = np.bincount(gate, times, GATES)
+                    step = np.stack([np.bincount(gate, error * x[:, j], GATES) for j in range(ORDERS + 1)], 1)
+                    self.weights += (rate * step / np.maximum(mass, 1)[:, None]).astype(np.float32)
+                    if round_ == rounds - 1:
+                        cell, part = self.cells(g, bit, z)
+                        for c, w in ((cell, times * (1 - part)), (cell + 1, times * part)):
+                            seen[0] += np.bincount(c, w, seen.shape[1])
+                            seen[1] += np.bincount(c, w * y, seen.shape[1])
 
     @staticmethod
     def settled(seen: np.ndarray) -> np.ndarray:
-        """The refining map from observe()'s counts."""
+        """The refining map from learn()'s counts."""
         centre = np.tile(_squash(np.linspace(-EDGE, EDGE, STEPS)), 256)
         return (seen[1] + 4 * centre) / (seen[0] + 4)
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """The log10 probability of each string's last byte after the others."""
         out = np.zeros(len(grams))
+        order = np.argsort(grams & LOW)
         for k in range(0, len(grams), 1 << 15):
-            g = grams[k : k + (1 << 15)]
-            total = np.zeros(len(g))
+            mine = order[k : k + (1 << 15)]
+            g = grams[mine]
+            five = _five(g)
+            product = np.ones(len(g))
             for bit in range(8):
-                x, gate = self.inputs(g, bit)
+                x, gate = self.inputs(g, five, bit)
                 z = self.mixed(x, gate)
                 p = _squash(z)
                 if self.refine is not None:
                     cell, part = self.cells(g, bit, z)
                     p = 0.5 * p + 0.5 * (self.refine[cell] * (1 - part) + self.refine[cell + 1] * part)
-                total += np.log10(np.where(bit_of(g, bit) == 1, p, 1 - p))
-            out[k : k + (1 << 15)] = total
+                product *= np.where(bit_of(g, bit) == 1, p, 1 - p)
+            out[mine] = np.log10(product)
         return out
 
 
+def _five(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct five-byte strings, and which of them each string has."""
+    codes, values = pd.factorize(grams & LOW)
+    return values, codes
+
+
 def _squash(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
@@ -236,18 +265,31 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def gather(training: DataFrame, text_col: str = "text") -> DataFrame:
     """kind (1: token hashes, 2: texts, 3: pairs of short words in a row), key, n of the training texts."""
 
+    def count(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for kind, keys in held.items():
+            values, n = _counted(np.concatenate(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int8)), pa.array(values), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, raw, at in pieces(batches, text_col, 4 << 20):
+        held: dict[int, list[np.ndarray]] = {1: [], 2: [], 3: []}
+        size = 0
+        for _, raw, at in pieces(batches, text_col, 2 << 20):
             raw = LOWERED[raw]
             begin, end, first = tokens(raw, at)
-            h = span_hashes(raw, begin, end, mixed=False)
-            short = short_words(begin, end, mix64(h))
+            h = mix64(span_hashes(raw, begin, end, mixed=False))
+            short = short_words(begin, end, h)
             where = np.flatnonzero(short >= 0)
             row = np.searchsorted(first, where, "right")
             both = np.flatnonzero(row[1:] == row[:-1]) if len(row) else where
-            for kind, keys in ((1, mix64(h).view(np.int64)), (2, np.zeros(len(at) - 1, np.int64)), (3, short[where[both]] * SHORT + short[where[both + 1]])):
-                values, n = _counted(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int8)), pa.array(values), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
+            held[1].append(h.view(np.int64))
+            held[2].append(np.zeros(len(at) - 1, np.int64))
+            held[3].append(short[where[both]] * SHORT + short[where[both + 1]])
+            size += len(raw)
+            if size > 24 << 20:
+                yield from count(held)
+                held, size = {1: [], 2: [], 3: []}, 0
+        if held[2]:
+            yield from count(held)
 
     rows = training.select(F.col(text_col)).mapInArrow(run, "kind byte, key long, n long")
     return materialize(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
@@ -287,7 +329,7 @@ def strings(training: DataFrame, group: np.ndarray, text_col: str = "text") -> D
         for _, raw, at in pieces(batches, text_col, 1 << 20):
             held.append(stream(raw, at, group)[0])
             size += len(raw)
-            if size > 8 << 20:
+            if size > 12 << 20:
                 yield count(held)
                 held, size = [], 0
         if held:
@@ -301,14 +343,14 @@ def strings(training: DataFrame, group: np.ndarray, text_col: str = "text") -> D
     return materialize(rows.groupBy("key").agg(F.sum("n").alias("n")), "strings")
 
 
-def _columns(batches: Iterator[pa.RecordBatch], stretch: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _columns(batches: Iterator[pa.RecordBatch], stretch: int = 1 << 19, ordered: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The strings of a task with their counts, by long stretches, each in a fixed pseudorandom order."""
     held: list[pa.RecordBatch] = []
 
     def joined() -> tuple[np.ndarray, np.ndarray]:
         grams, n = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
         held.clear()
-        order = np.argsort(mix64(grams.view(np.uint64)))
+        order = np.argsort(mix64(grams.view(np.uint64))) if ordered else slice(None)
         return grams[order], n[order]
 
     for b in batches:
@@ -334,18 +376,19 @@ def train(grams: DataFrame) -> tuple[Broadcast, np.ndarray | None, np.ndarray |
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower, slices = None, {}
-        for b in batches:
-            g, n = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.float32)
+        for g, n in _columns(batches, ordered=False):
             lower = np.zeros(2 * total, np.float32) if lower is None else lower
-            own = g.view(np.uint64) >> np.uint64(58)
+            own, codes = _five(g)
+            times = np.bincount(codes, n, len(own)).astype(np.float32)
+            part, n = g.view(np.uint64) >> np.uint64(58), n.astype(np.float32)
             for bit in range(8):
-                y = bit_of(g, bit)
-                rows, word = slots(g, bit, wide)
-                for row in rows:
-                    np.add.at(lower, row + y * total, n)
-                for k in np.unique(own).tolist():
-                    mine = own == k
-                    np.add.at(slices.setdefault(k, np.zeros((2, wide), np.float32)), (y[mine], word[mine] - k * wide), n[mine])
+                y = bit_of(own, bit) * total
+                for at in byte_slots(own, bit):
+                    np.add.at(lower, at + y, times)
+                y, word = bit_of(g, bit), word_slots(g, bit, wide)
+                for k in np.unique(part).tolist():
+                    mine = part == k
+                    np.add.at(slices.setdefault(k, np.zeros(2 * wide, np.float32)), y[mine] * wide + word[mine] - k * wide, n[mine])
         if lower is not None:
             lower = lower.reshape(2, total)
             used = np.flatnonzero(lower.any(0))
@@ -353,43 +396,32 @@ def train(grams: DataFrame) -> tuple[Broadcast, np.ndarray | None, np.ndarray |
                 u = used[k : k + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(lower[0, u].astype(np.float64)), pa.array(lower[1, u].astype(np.float64)), pa.nulls(len(u), pa.binary())], ["slot", "n0", "n1", "words"])
             for k, x in slices.items():
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - k]), pa.array([0.0]), pa.array([0.0]), pa.array([packed(x).tobytes()], pa.binary())], ["slot", "n0", "n1", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - k]), pa.array([0.0]), pa.array([0.0]), pa.array([packed(*x.reshape(2, -1)).tobytes()], pa.binary())], ["slot", "n0", "n1", "words"])
 
     made = materialize(dealt.mapInArrow(table, "slot long, n0 double, n1 double, words binary"), "tables")
-    bytes_, words = np.zeros((2, total), np.uint16), np.zeros((2, 1 << bits), np.uint16)
+    bytes_, words = np.zeros(total, np.uint32), np.zeros(1 << bits, np.uint32)
     sums = made.where("slot >= 0").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    for side in (0, 1):
-        bytes_[side, sums.column(0).to_numpy()] = packed(sums.column(1 + side).to_numpy())
+    bytes_[sums.column(0).to_numpy()] = packed(sums.column(1).to_numpy(), sums.column(2).to_numpy())
     for row in made.where("slot < 0").select("slot", "words").toLocalIterator():
         k = -1 - row["slot"]
-        words[:, k * wide : (k + 1) * wide] = np.frombuffer(bytes(row["words"]), np.uint16).reshape(2, wide)
+        words[k * wide : (k + 1) * wide] = np.frombuffer(bytes(row["words"]), np.uint32)
     shared = spark.sparkContext.broadcast((bytes_, words))
     del sums, bytes_, words
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, mass = Model(shared.value), 0
+        own, mass, seen = Model(shared.value), 0, np.zeros((2, 256 * STEPS))
         for g, n in _columns(batches):
-            own.learn(g, n)
+            own.learn(g, n, seen)
             mass += int(n.sum())
         if mass:
-            yield pa.RecordBatch.from_arrays([pa.array([own.weights.tobytes()], pa.binary()), pa.array([float(mass)])], ["weights", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([own.weights.tobytes()], pa.binary()), pa.array([float(mass)]), pa.array([seen.tobytes()], pa.binary())], ["weights", "n", "seen"])
 
-    learned = grams.coalesce(SLICES).mapInArrow(weigh, "weights binary, n double").collect()
+    learned = grams.coalesce(SLICES).mapInArrow(weigh, "weights binary, n double, seen binary").collect()
     if not learned:
         return shared, None, None
-    learned = sorted((bytes(r["weights"]), r["n"]) for r in learned)
-    weights = np.average([np.frombuffer(w).reshape(GATES, ORDERS + 1) for w, _ in learned], axis=0, weights=[n for _, n in learned])
-
-    def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = Model(shared.value, weights), None
-        for g, n in _columns(batches):
-            more = own.observe(g, n)
-            seen = more if seen is None else seen + more
-        if seen is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()], pa.binary())], ["seen"])
-
-    seen = sorted(bytes(r["seen"]) for r in grams.coalesce(SLICES).mapInArrow(observe, "seen binary").collect())
-    return shared, weights, Model.settled(np.sum([np.frombuffer(x).reshape(2, -1) for x in seen], axis=0))
+    learned = sorted((bytes(r["weights"]), r["n"], bytes(r["seen"])) for r in learned)
+    weights = np.average([np.frombuffer(w, np.float32).reshape(GATES, ORDERS + 1) for w, _, _ in learned], axis=0, weights=[n for _, n, _ in learned])
+    return shared, weights, Model.settled(np.sum([np.frombuffer(x).reshape(2, -1) for _, _, x in learned], axis=0))
 
 
 def frequent(counts: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -436,7 +468,7 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
         hot, often = shared.value
         model = Model(tables.value, weights, refine)
         units = unit(often)
-        for part, raw, at in pieces(batches, "text", 12 << 20):
+        for part, raw, at in pieces(batches, "text", 6 << 20):
             grams, rows = _streams(raw, at, group)
             codes, values = pd.factorize(grams)
             score = np.add.reduceat(model.log10(values)[codes], rows[:-1])
