@@ -2,9 +2,463 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from .functions import classify
+from .functions import text as tx
+from .operators import enrich, merge, metrics, profile, relations, render, route, state
+from .operators.relations import table
+from .plans import convert
+from .sources import html
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) under its name, with the SQL for the same rows."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.line_blocks(docs(spark, sf_dir))
+
+
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.report_lines(spark, sf_dir)
+
+
+# --- parts of the SQL ---------------------------------------------------------------------------------------------
+
+MD_TYPE = r"""CASE WHEN starts_with(trim({t}), '#') THEN 'heading' WHEN starts_with(trim({t}), '$$') OR starts_with(trim({t}), '\[') THEN 'equation'
+  WHEN starts_with(trim({t}), '```') THEN 'code' WHEN starts_with(trim({t}), '|') THEN 'table' WHEN starts_with(trim({t}), '![') THEN 'figure'
+  WHEN starts_with(trim({t}), '- ') OR starts_with(trim({t}), '* ') OR regexp_matches(trim({t}), '^\d+\.') THEN 'list' ELSE 'paragraph' END"""
+LINES = f"""raw AS (SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS idx, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents),
+lines AS (
+  SELECT doc_id, (idx // 20 + 1)::INT AS page, idx AS ord, {MD_TYPE.format(t="text")} AS type, text, 0.0::DOUBLE AS x0, (idx % 20 * 50)::DOUBLE AS y0, 612.0::DOUBLE AS x1, (idx % 20 * 50 + 50)::DOUBLE AS y1
+  FROM raw WHERE trim(text) <> ''
+)"""
+REPORT = """report AS (
+  SELECT n_nationkey::BIGINT AS doc_id, 0::BIGINT AS ord, '# ' || n_name AS text FROM nation
+  UNION ALL SELECT n_nationkey, 1, 'The nation ' || n_name || ' lies in region ' || n_regionkey || '.' FROM nation
+  UNION ALL SELECT s_nationkey, s_suppkey + 10, '- ' || s_name FROM supplier
+  UNION ALL SELECT p_partkey % 25, p_partkey * 6 + 1000000, '### ' || p_name FROM part
+  UNION ALL SELECT p_partkey % 25, p_partkey * 6 + 1000001, '| ' || p_brand || ' | x |' FROM part
+  UNION ALL SELECT p_partkey % 25, p_partkey * 6 + 1000002, '$$' || p_size || '$$' FROM part
+  UNION ALL SELECT p_partkey % 25, p_partkey * 6 + 1000003, '![' || p_name || '](part.png)' FROM part
+  UNION ALL SELECT p_partkey % 25, p_partkey * 6 + 1000004, '```' || p_type || '```' FROM part
+  UNION ALL SELECT p_partkey % 25, p_partkey * 6 + 1000005, p_size || '. item' FROM part
+)"""
+REGION_TYPE = r"""CASE WHEN trim({t}) = '' THEN 'paragraph' WHEN starts_with(trim({t}), '#') OR (length(trim({t})) < 80 AND regexp_matches(trim({t}), '^\p{{Lu}}') AND NOT ends_with(trim({t}), '.')) THEN 'heading'
+  WHEN regexp_matches(trim({t}), '[∑∫∏√∞≈≠≤≥±×÷∂∇∈∉⊂⊃∪∩αβ]') OR contains(trim({t}), '$$') OR contains(trim({t}), '\[') OR regexp_matches(trim({t}), '\\\\(frac|int|sum)') THEN 'equation'
+  WHEN starts_with(trim({t}), '- ') OR starts_with(trim({t}), '* ') OR regexp_matches(trim({t}), '^\d+\.\s') THEN 'list' WHEN starts_with(trim({t}), '```') THEN 'code' ELSE 'paragraph' END"""
+REGIONS = f"""numbered AS (SELECT *, ((row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) - 1) // 5)::INT AS region FROM lines),
+regions AS (
+  SELECT doc_id, page, region, {REGION_TYPE.format(t="first_text")} AS type, x0, y0, x1, y1, blocks
+  FROM (SELECT doc_id, page, region, arg_min(text, ord) AS first_text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS blocks FROM numbered GROUP BY ALL)
+)"""
+BLOCK_MD = r"""CASE WHEN type IN ('header', 'footer') THEN NULL
+  WHEN type = 'heading' THEN repeat('#', CASE WHEN regexp_matches(trim(text), '^#{1,6}\s') THEN length(regexp_extract(trim(text), '^(#{1,6})\s', 1)) ELSE 2 END::INT) || ' ' || regexp_replace(trim(text), '^#{1,6}\s*', '')
+  WHEN type = 'equation' THEN CASE WHEN starts_with(trim(text), '$$') THEN trim(text) ELSE '$$' || chr(10) || trim(text) || chr(10) || '$$' END
+  WHEN type = 'code' THEN CASE WHEN starts_with(trim(text), '```') THEN text ELSE '```' || chr(10) || text || chr(10) || '```' END
+  WHEN type = 'caption' THEN '*' || trim(text) || '*' ELSE trim(text) END"""
+SIGNALS = r"""pages_ AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY ord) AS text FROM lines GROUP BY ALL),
+signals AS (
+  SELECT doc_id, page, length(trim(text)) > 0 AS has_text, CASE WHEN length(trim(text)) > 0 THEN least(length(text) / 8000.0::DOUBLE, 1.0) ELSE 0.0 END AS density,
+    (len(regexp_extract_all(text, '\$')) >= 2 OR contains(text, '\begin{equation}') OR contains(text, '\begin{align}') OR contains(text, '\frac') OR contains(text, '\sum') OR contains(text, '\int')) AS equations,
+    len(list_filter(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '\|')) >= 2)) >= 3 AS tables, length(text) AS chars
+  FROM pages_
+)"""
+
+
+# --- scans and scalar functions -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {LINES} SELECT doc_id, page, ord, type, text, y0, y1 FROM lines")
+def scan_lines(spark, d):
+    return lines(spark, d).select("doc_id", "page", "ord", "type", "text", F.col("box.y0").alias("y0"), F.col("box.y1").alias("y1"))
+
+
+@query()
+def scan_html(spark, d):
+    return html.html_blocks(table(spark, d, "pages"))
+
+
+@query(rf"WITH {REPORT} SELECT doc_id, ord, {MD_TYPE.format(t='text')} AS type FROM report")
+def classify_markdown(spark, d):
+    return report(spark, d).select("doc_id", "ord", classify.markdown_type(F.col("text")).alias("type"))
+
+
+@query(rf"""WITH {REPORT} SELECT doc_id, ord, CASE WHEN starts_with(text, '$$') OR starts_with(text, '\[') THEN 'equation' WHEN starts_with(text, '#') THEN 'heading'
+  WHEN starts_with(text, '|') THEN 'table' WHEN starts_with(text, '![') THEN 'figure' WHEN starts_with(text, '- ') OR starts_with(text, '* ') THEN 'list' ELSE 'paragraph' END AS type FROM report""")
+def classify_list_engine(spark, d):
+    return report(spark, d).select("doc_id", "ord", classify.list_type(F.col("text")).alias("type"))
+
+
+@query(rf"WITH {REPORT} SELECT doc_id, ord, {REGION_TYPE.format(t='text')} AS type FROM report")
+def classify_regions(spark, d):
+    return report(spark, d).select("doc_id", "ord", classify.region_type(F.col("text")).alias("type"))
+
+
+@query(r"SELECT event_type, CASE event_type WHEN 'x' THEN 'paragraph' ELSE 'other' END AS type, count(*) AS n FROM events GROUP BY ALL")
+def classify_engine_types(spark, d):
+    return table(spark, d, "events").groupBy("event_type", classify.engine_type(F.col("event_type")).alias("type")).agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH {REPORT} SELECT doc_id, ord, 'h' || CASE WHEN regexp_matches(text, '^#{{1,6}}\s') THEN length(regexp_extract(text, '^(#{{1,6}})\s', 1)) ELSE 2 END AS level, regexp_replace(text, '^#{{1,6}}\s*', '') AS title FROM report""")
+def heading_levels(spark, d):
+    return report(spark, d).select("doc_id", "ord", tx.heading_level(F.col("text")).alias("level"), tx.heading_text(F.col("text")).alias("title"))
+
+
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '\$')) >= 2 OR len(list_filter(['\begin{equation}', '\begin{align}', '\frac', '\sum', '\int', '\prod', '\sqrt', '\alpha', '\beta', '\gamma', '\theta', '\lambda', '\partial', '\infty'], lambda m: contains(text, m))) > 0 AS equations,
+  len(list_filter(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '\|')) >= 2)) >= 3 AS tables,
+  regexp_matches(text, '[∑∫∏√∞≈≠≤≥±×÷∂∇∈∉⊂⊃∪∩αβ]') OR contains(text, '$$') OR contains(text, '\[') OR regexp_matches(text, '\\\\(frac|int|sum)') AS math FROM documents""")
+def text_signals(spark, d):
+    t = F.col("text")
+    return docs(spark, d).select("doc_id", tx.has_equation(t).alias("equations"), tx.has_table(t).alias("tables"), tx.has_math(t).alias("math"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN len(regexp_extract_all(substr(text, 1, 2000), '[çğıöşüÇĞİÖŞÜ]')) > 5 THEN 'tr'
+  WHEN len(regexp_extract_all(substr(text, 1, 2000), '\p{L}')) > 0 AND len(regexp_extract_all(substr(text, 1, 2000), '[A-Za-z]')) > 0.9 * len(regexp_extract_all(substr(text, 1, 2000), '\p{L}')) THEN 'en' END AS language,
+  round(len(regexp_extract_all(text, '[A-Za-z]')) / nullif(length(text), 0), 3) AS latin FROM documents""")
+def languages(spark, d):
+    return docs(spark, d).select("doc_id", tx.language(F.col("text")).alias("language"), tx.latin_share(F.col("text")).alias("latin"))
+
+
+@query(r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}'))) AS word FROM documents")
+def word_sets(spark, d):
+    return docs(spark, d).select("doc_id", F.explode(tx.word_set(F.col("text"))).alias("word"))
+
+
+@query(r"""SELECT doc_id, rtrim_ || chr(10) AS text FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), '^\s+|\s+$', '', 'g') AS rtrim_ FROM documents)""")
+def whitespace_fixed(spark, d):
+    return docs(spark, d).select("doc_id", tx.fix_whitespace(F.col("text")).alias("text"))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '\$\s+', '$ ', 'g'), '\s+\$', ' $', 'g') AS text FROM documents")
+def latex_sanitized(spark, d):
+    return docs(spark, d).select("doc_id", tx.sanitize_latex(F.col("text")).alias("text"))
+
+
+@query()
+def cleaned_texts(spark, d):
+    t = F.col("text")
+    return docs(spark, d).select("doc_id", tx.clean_text(t).alias("text"), tx.composed_form(t).alias("composed"), tx.is_rtl(t).alias("rtl"))
+
+
+@query(r"SELECT event_id, CASE WHEN value IS NULL OR value < 0 THEN '??:??' WHEN floor(value * 100) >= 3600 THEN (floor(value * 100)::BIGINT // 3600) || ':' || lpad(((floor(value * 100)::BIGINT // 60) % 60)::VARCHAR, 2, '0') || ':' || lpad((floor(value * 100)::BIGINT % 60)::VARCHAR, 2, '0') ELSE lpad(((floor(value * 100)::BIGINT // 60) % 60)::VARCHAR, 2, '0') || ':' || lpad((floor(value * 100)::BIGINT % 60)::VARCHAR, 2, '0') END AS shown FROM events")
+def durations(spark, d):
+    return table(spark, d, "events").select("event_id", tx.duration(F.col("value") * 100).alias("shown"))
+
+
+@query(r"""SELECT page_id, CASE WHEN n = '' THEN 'input.pdf' ELSE n END AS name FROM (SELECT page_id, substr(regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '[^\p{L}\p{N}._-]', '', 'g'), 1, 200) AS n FROM pages)""")
+def safe_names(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.safe_name(F.col("url")).alias("name"))
+
+
+@query(r"""SELECT conv_id, turn, length(text) >= 10 AND len(regexp_split_to_array(trim(text), '\s+')) >= 3 AND NOT (starts_with(lower(text), 'i cannot') OR starts_with(lower(text), 'i can''t') OR starts_with(lower(text), 'i''m sorry') OR starts_with(lower(text), 'as an ai')) AS ok FROM conversations""")
+def captions_ok(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.caption_ok(F.col("text")).alias("ok"))
+
+
+# --- profiles and layout ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {LINES}, {SIGNALS} SELECT doc_id, page, has_text, density, equations, tables, chars FROM signals")
+def page_signals(spark, d):
+    return relations.page_signals(docs(spark, d)).drop("language")
+
+
+@query(f"""WITH {LINES}, {SIGNALS}, p AS (
+  SELECT doc_id, count(*) AS pages, bool_or(equations) AS math, bool_or(tables) AS tables, count(*) FILTER (NOT has_text) > 0.5 * count(*) AS scanned FROM signals GROUP BY doc_id)
+SELECT *, CASE WHEN math AND tables THEN 'academic' WHEN tables THEN 'tabular' WHEN math THEN 'scientific' WHEN scanned THEN 'scanned' ELSE 'text-heavy' END AS dominant FROM p""")
+def document_profiles(spark, d):
+    return profile.document_profile(relations.page_signals(docs(spark, d))).drop("complexity")
+
+
+@query(f"""WITH {LINES}, {SIGNALS} SELECT doc_id, round(least(sum((density + CASE WHEN equations THEN 0.2::DOUBLE ELSE 0.0 END + CASE WHEN tables THEN 0.2::DOUBLE ELSE 0.0 END)::DECIMAL(20, 10))::DOUBLE / count(*), 1), 6) AS complexity FROM signals GROUP BY doc_id""")
+def document_complexity(spark, d):
+    return profile.document_profile(relations.page_signals(docs(spark, d))).select("doc_id", F.round("complexity", 6).alias("complexity"))
+
+
+@query(f"WITH {LINES}, {SIGNALS} SELECT doc_id, avg(CASE WHEN chars > 50 THEN 1.0 ELSE 0.0 END) >= 0.6 AS text_layer FROM signals WHERE page <= 3 GROUP BY doc_id")
+def text_layers(spark, d):
+    return profile.has_text_layer(relations.page_signals(docs(spark, d)))
+
+
+@query(f"WITH {LINES}, {REGIONS} SELECT doc_id, page, region, type, x0, y0, x1, y1, blocks FROM regions")
+def page_regions(spark, d):
+    return relations.regions(lines(spark, d)).select("doc_id", "page", "region", "type", "box.*", "blocks")
+
+
+@query(f"""WITH {LINES}, {REGIONS} SELECT doc_id, page, round(greatest(0.0, least(1.0, least(1.0, 0.08::DOUBLE * count(*)) + CASE WHEN bool_or(type IN ('table', 'figure')) THEN 0.12::DOUBLE ELSE 0.0 END
+  - least(0.4::DOUBLE, 0.05::DOUBLE * count(*) FILTER (x1 <= x0 OR y1 <= y0 OR x1 > 612 OR y1 > 1000)))), 6) AS quality FROM regions GROUP BY ALL""")
+def layout_quality(spark, d):
+    return profile.layout_quality(relations.regions(lines(spark, d)))
+
+
+# --- routing ------------------------------------------------------------------------------------------------------
+
+
+def _chains_sql(gpu: bool) -> str:
+    rows = []
+    for kind, chain in route.CHAINS.items():
+        own = [p for p in chain if gpu or p not in route.GPU] or chain
+        rows += [f"('{kind}', {k}, '{p}', {route.SCORES[p][classify.BLOCK_TYPES.index(kind)]}::DOUBLE)" for k, p in enumerate(own)]
+    return f"chains(type, pos, provider, score) AS (VALUES {', '.join(rows)}), best AS (SELECT type, arg_max(provider, score * 100 - pos * 0.001) AS best, max(score) AS score, string_agg(provider, ',' ORDER BY pos) AS chain FROM chains GROUP BY type)"
+
+
+@query(f"WITH {LINES}, {REGIONS}, {_chains_sql(True)} SELECT doc_id, page, region, type, best, score, chain FROM regions JOIN best USING (type)")
+def routed_regions(spark, d):
+    return convert.routing_plan(docs(spark, d)).select("doc_id", "page", "region", "type", "best", "score", F.array_join("chain", ",").alias("chain"))
+
+
+@query(f"WITH {LINES}, {REGIONS}, {_chains_sql(False)} SELECT doc_id, page, region, type, best, score, chain FROM regions JOIN best USING (type)")
+def routed_without_gpu(spark, d):
+    return convert.routing_plan(docs(spark, d), gpu=False).select("doc_id", "page", "region", "type", "best", "score", F.array_join("chain", ",").alias("chain"))
+
+
+@query(f"WITH {LINES}, {REGIONS}, {_chains_sql(True)} SELECT DISTINCT doc_id, page, provider FROM regions JOIN chains USING (type)")
+def providers_needed(spark, d):
+    return route.providers_needed(convert.routing_plan(docs(spark, d)))
+
+
+@query(f"WITH {LINES}, {REGIONS}, {_chains_sql(True)} SELECT best AS provider, doc_id, count(DISTINCT page) AS pages FROM regions JOIN best USING (type) GROUP BY ALL")
+def provider_pages(spark, d):
+    return route.provider_pages(convert.routing_plan(docs(spark, d)))
+
+
+@query(f"WITH {LINES}, {REGIONS}, {_chains_sql(True)} SELECT DISTINCT doc_id, page, provider FROM regions JOIN best USING (type) JOIN chains USING (type) WHERE best.score < 0.92 AND pos BETWEEN 1 AND 3 AND provider NOT IN ('marker', 'opendataloader')")
+def second_pass(spark, d):
+    return route.second_pass(convert.routing_plan(docs(spark, d)), 0.92)
+
+
+@query(f"""WITH {LINES}, {REGIONS}, {_chains_sql(True)}, p AS (SELECT DISTINCT best AS provider, doc_id, page FROM regions JOIN best USING (type)),
+r AS (SELECT *, page - row_number() OVER (PARTITION BY provider, doc_id ORDER BY page) AS run FROM p) SELECT provider, doc_id, min(page) AS first, max(page) AS last FROM r GROUP BY provider, doc_id, run""")
+def page_ranges(spark, d):
+    return route.page_ranges(convert.routing_plan(docs(spark, d)).select(F.col("best").alias("provider"), "doc_id", "page"))
+
+
+# --- matching, de-duplication, order, rendering -------------------------------------------------------------------
+
+PAIRS = f"""steps AS (SELECT *, idx - idx % CASE WHEN (idx // 20 + 1) % 2 = 1 THEN 2 ELSE 1 END AS first FROM raw WHERE trim(text) <> ''),
+pairs AS (
+  SELECT doc_id, (first // 20 + 1)::INT AS page, first AS ord, string_agg(text, chr(10) ORDER BY idx) AS text, 0.0::DOUBLE AS x0, (first % 20 * 50)::DOUBLE AS y0, 612.0::DOUBLE AS x1, (max(idx) % 20 * 50 + 50)::DOUBLE AS y1
+  FROM steps GROUP BY doc_id, first
+), blocks AS (
+  SELECT doc_id, page, ord, 'lines' AS provider, type, text, x0, y0, x1, y1, 0.85::DOUBLE AS confidence FROM lines
+  UNION ALL SELECT doc_id, page, ord, 'paras', {MD_TYPE.format(t="text")}, text, x0, y0, x1, y1, 0.7 FROM pairs
+)"""
+MATCHED = """matched AS (
+  SELECT r.region, r.type AS region_type, b.* FROM regions r JOIN blocks b ON r.doc_id = b.doc_id AND r.page = b.page
+  WHERE (r.x1 - r.x0) * (r.y1 - r.y0) <= 0 OR greatest(least(b.x1, r.x1) - greatest(b.x0, r.x0), 0) * greatest(least(b.y1, r.y1) - greatest(b.y0, r.y0), 0) / ((b.x1 - b.x0) * (b.y1 - b.y0)) >= 0.3
+)"""
+
+
+def _blocks(spark, d):
+    return lines(spark, d).unionByName(relations.pair_blocks(docs(spark, d)))
+
+
+@query(f"WITH {LINES}, {REGIONS}, {PAIRS}, {MATCHED} SELECT doc_id, page, region, provider, ord FROM matched")
+def match_blocks(spark, d):
+    return merge.match_blocks(relations.regions(lines(spark, d)), _blocks(spark, d)).select("doc_id", "page", "region", "provider", "ord")
+
+
+@query(f"""WITH {LINES}, {REGIONS}, {PAIRS}, {MATCHED} SELECT doc_id, page, region, provider, ord FROM matched
+QUALIFY CASE provider WHEN 'paras' THEN 1 ELSE 2 END = min(CASE provider WHEN 'paras' THEN 1 ELSE 2 END) OVER (PARTITION BY doc_id, page, region)""")
+def first_provider(spark, d):
+    matched = merge.match_blocks(relations.regions(lines(spark, d)), _blocks(spark, d))
+    return merge.first_provider(matched, ["paras", "lines"]).select("doc_id", "page", "region", "provider", "ord")
+
+
+DEDUP = """ordered AS (SELECT doc_id, page, list({'provider': provider, 'ord': ord, 'y0': y0, 'y1': y1} ORDER BY confidence DESC, provider, ord) AS a FROM blocks GROUP BY ALL),
+kept AS (
+  SELECT doc_id, page, unnest(list_reduce(list_transform(a, lambda b: [b]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k:
+    greatest(least(k.y1, x[1].y1) - greatest(k.y0, x[1].y0), 0) / ((k.y1 - k.y0) + (x[1].y1 - x[1].y0) - greatest(least(k.y1, x[1].y1) - greatest(k.y0, x[1].y0), 0)) > 0.8)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS k FROM ordered
+)"""
+
+
+@query(f"WITH {LINES}, {PAIRS}, {DEDUP} SELECT doc_id, page, k.provider AS provider, k.ord AS ord FROM kept")
+def drop_overlapping(spark, d):
+    return merge.drop_overlapping(_blocks(spark, d)).select("doc_id", "page", "provider", "ord")
+
+
+@query(f"""WITH {LINES}, {PAIRS}, {DEDUP} SELECT doc_id, page, k.provider AS provider, k.ord AS ord, row_number() OVER (PARTITION BY doc_id ORDER BY page, k.y0, k.provider, k.ord) - 1 AS reading_order FROM kept""")
+def reading_order(spark, d):
+    return merge.reading_order(merge.drop_overlapping(_blocks(spark, d))).select("doc_id", "page", "provider", "ord", "reading_order")
+
+
+@query(f"WITH {LINES}, md AS (SELECT doc_id, page, ord, {BLOCK_MD} AS md FROM lines) SELECT doc_id, page, string_agg(md, chr(10) || chr(10) ORDER BY ord) AS markdown FROM md WHERE trim(coalesce(md, '')) <> '' GROUP BY ALL")
+def page_markdown(spark, d):
+    return convert.convert_lines(docs(spark, d))
+
+
+@query()
+def convert_documents(spark, d):
+    return render.document_markdown(convert.convert_pages(docs(spark, d)))
+
+
+@query(f"WITH {REPORT}, t AS (SELECT *, {MD_TYPE.format(t='text')} AS type FROM report) SELECT doc_id, ord, {BLOCK_MD} AS markdown FROM t")
+def render_report(spark, d):
+    return report(spark, d).select("doc_id", "ord", render.block_markdown(classify.markdown_type(F.col("text")), F.col("text")).alias("markdown"))
+
+
+@query("""SELECT p_partkey, CASE WHEN body = '' THEN '[Gorsel: ' || p_name || ']' ELSE body END AS markdown FROM (
+  SELECT *, concat_ws(chr(10), CASE WHEN p_size % 3 > 0 THEN '![' || p_name || '](p.png)' END,
+    CASE WHEN p_size % 2 = 0 THEN '*' || p_type || '*' WHEN p_size % 5 = 0 THEN '*[Figure context: ' || p_brand || ']*' END) AS body FROM part)""")
+def render_figures(spark, d):
+    size = F.col("p_size")
+    figure = render.figure_markdown(F.lit(""), F.col("p_name"), F.when(size % 3 == 0, "").otherwise("p.png"), F.when(size % 2 == 0, F.col("p_type")).otherwise(""), F.when(size % 5 == 0, F.col("p_brand")).otherwise(""))
+    return table(spark, d, "part").select("p_partkey", figure.alias("markdown"))
+
+
+@query(rf"""WITH {LINES}, m AS (SELECT *, trim(lag(text) OVER w) AS b FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+j AS (SELECT *, coalesce(b <> '' AND NOT regexp_matches(b, '[:.!?|]$') AND regexp_matches(trim(text), '^\p{{Ll}}'), false) AS joins FROM m),
+l AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord)::BIGINT AS line FROM j)
+SELECT doc_id, line, string_agg(trim(text), ' ' ORDER BY ord) AS text FROM l GROUP BY ALL""")
+def join_broken_lines(spark, d):
+    return render.join_broken_lines(lines(spark, d).select("doc_id", "ord", "text"))
+
+
+@query(rf"""WITH {REPORT}, h AS (SELECT doc_id, ord, length(regexp_extract(text, '^(#{{1,6}})\s', 1)) AS level, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rn FROM report WHERE regexp_matches(text, '^#{{1,6}}\s'))
+SELECT doc_id, ord, level::INT AS level, (min(level - rn) OVER (PARTITION BY doc_id ORDER BY ord) + rn)::INT AS clamped FROM h""")
+def clamp_headings(spark, d):
+    heads = report(spark, d).where(F.col("text").rlike(r"^#{1,6}\s"))
+    return render.clamp_headings(heads.select("doc_id", "ord", F.length(F.regexp_extract("text", r"^(#{1,6})\s", 1)).alias("level")))
+
+
+def _split(text: str, mark: str) -> str:
+    return f"unnest(range(len(string_split({text}, {mark})))) AS idx, unnest(string_split({text}, {mark})) AS text"
+
+
+@query(f"""WITH {REPORT}, r AS (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS md FROM report GROUP BY doc_id) SELECT doc_id, idx, text FROM (SELECT doc_id, {_split("md", "chr(10) || chr(10)")} FROM r) WHERE trim(text) <> ''""")
+def split_paragraphs(spark, d):
+    whole = report(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("p"))
+    return render.split_paragraphs(whole.select("doc_id", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("markdown")))
+
+
+# --- neighbours ---------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {LINES}, n AS (SELECT *, lag(type) OVER w AS bt, trim(lag(text) OVER w) AS b, lead(type) OVER w AS at_, trim(lead(text) OVER w) AS a FROM lines WINDOW w AS (PARTITION BY doc_id, page ORDER BY ord))
+SELECT doc_id, page, ord, concat_ws(' [...] ', CASE WHEN bt NOT IN ('header', 'footer') AND b <> '' THEN substr(b, 1, 200) END, CASE WHEN at_ NOT IN ('header', 'footer') AND a <> '' THEN substr(a, 1, 200) END) AS context FROM n""")
+def context_snippets(spark, d):
+    return enrich.context_snippets(merge.page_order(lines(spark, d))).select("doc_id", "page", "ord", "context")
+
+
+@query()
+def nearby_captions(spark, d):
+    return enrich.nearby_captions(merge.page_order(lines(spark, d))).select("doc_id", "page", "ord", "caption")
+
+
+@query(f"""WITH {LINES}, s AS (SELECT *, coalesce(y0 - max(y1) OVER (PARTITION BY doc_id, page ORDER BY y0, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 15, true)::INT AS starts FROM lines)
+SELECT doc_id, page, ord, sum(starts) OVER (PARTITION BY doc_id, page ORDER BY y0, ord)::BIGINT AS cluster FROM s""")
+def paragraph_clusters(spark, d):
+    return enrich.paragraph_clusters(lines(spark, d)).select("doc_id", "page", "ord", "cluster")
+
+
+@query("""SELECT conv_id, turn, lag(role) OVER w AS before, lead(role) OVER w AS after, substr(lag(text) OVER w, 1, 100) AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)""")
+def turn_neighbours(spark, d):
+    at = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.lag("role").over(at).alias("before"), F.lead("role").over(at).alias("after"), F.substring(F.lag("text").over(at), 1, 100).alias("context"))
+
+
+# --- state, assets, sets, metrics ---------------------------------------------------------------------------------
+
+_STATUS = "CASE {e} WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END"
+
+
+@query(f"SELECT user_id AS job, arg_max({_STATUS.format(e='event_type')}, (ts, event_id)) AS status, min(ts) AS created, max(ts) AS updated, count(*) AS changes FROM events GROUP BY user_id")
+def latest_jobs(spark, d):
+    return state.latest_jobs(table(spark, d, "events"))
+
+
+@query(f"WITH j AS (SELECT user_id AS job, arg_max({_STATUS.format(e='event_type')}, (ts, event_id)) AS s FROM events GROUP BY user_id) SELECT job, CASE s WHEN 'running' THEN 'pending' ELSE s END AS status, s = 'running' AS recovered FROM j")
+def recovered_jobs(spark, d):
+    return state.recover(state.latest_jobs(table(spark, d, "events")))
+
+
+@query("SELECT * FROM (SELECT user_id AS job, ts AS at, floor(epoch(ts))::BIGINT - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)))::BIGINT AS gap FROM events) WHERE gap > 1800")
+def stalls(spark, d):
+    return state.stalls(table(spark, d, "events"), 1800)
+
+
+@query("SELECT event_id AS key, ts AS mtime FROM events ORDER BY ts DESC, event_id DESC LIMIT 512")
+def cache_kept(spark, d):
+    return state.evict(table(spark, d, "events").select(F.col("event_id").alias("key"), F.col("ts").alias("mtime")), 512)
+
+
+@query("SELECT substr(sha256(text), 1, 16) AS asset_id, max(strlen(text)) AS bytes, count(*) AS links FROM documents GROUP BY 1")
+def assets(spark, d):
+    return state.asset_store(docs(spark, d).select(F.col("doc_id").alias("block_id"), F.col("text").alias("content")))[0]
+
+
+@query("SELECT doc_id AS block_id, substr(sha256(text), 1, 16) AS asset_id FROM documents")
+def asset_links(spark, d):
+    return state.asset_store(docs(spark, d).select(F.col("doc_id").alias("block_id"), F.col("text").alias("content")))[1]
+
+
+@query("SELECT doc_id AS key, sha256(text) AS digest, greatest((strlen(text) + 399) // 400, 1) AS parts, true AS same FROM documents")
+def shard_round_trip(spark, d):
+    source = docs(spark, d).select(F.col("doc_id").alias("key"), F.col("text").cast("binary").alias("content"))
+    cut = state.shards(source, 400)
+    whole = state.reassemble(cut).join(cut.groupBy("key").agg(F.count("*").alias("parts")), "key")
+    return whole.join(source.withColumnRenamed("content", "was"), "key").select("key", F.sha2("content", 256).alias("digest"), "parts", (F.col("content") == F.col("was")).alias("same"))
+
+
+@query("SELECT event_type, count(*) AS n, sum(value) > 0 AS any_value FROM events GROUP BY event_type")
+def batch_totals(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), (F.sum("value") > 0).alias("any_value"))
+
+
+@query(f"""WITH {LINES}, needed AS (SELECT DISTINCT doc_id, page FROM lines), cached AS (SELECT DISTINCT doc_id, page FROM lines WHERE type <> 'paragraph') SELECT * FROM needed EXCEPT SELECT * FROM cached""")
+def pages_to_extract(spark, d):
+    own = lines(spark, d)
+    return own.select("doc_id", "page").distinct().join(own.where("type <> 'paragraph'").select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
+
+
+@query(f"WITH {LINES} SELECT doc_id, page, type, count(*) AS blocks FROM lines GROUP BY ALL")
+def blocks_by_type(spark, d):
+    return lines(spark, d).groupBy("doc_id", "page", "type").agg(F.count("*").alias("blocks"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, page, ord, substr(text, 1, 80) AS preview FROM lines WHERE page <= 3 QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) <= 5")
+def previews(spark, d):
+    at = W.partitionBy("doc_id", "page").orderBy("ord")
+    own = lines(spark, d).where("page <= 3").withColumn("k", F.row_number().over(at)).where("k <= 5")
+    return own.select("doc_id", "page", "ord", F.substring("text", 1, 80).alias("preview"))
+
+
+@query(r"""WITH p AS (SELECT a.doc_id, a.text AS x, b.text AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
+SELECT doc_id, CASE WHEN greatest(length(x), length(y)) = 0 THEN 1.0 ELSE len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: x[i] = y[i])) / greatest(length(x), length(y)) END AS fidelity FROM p""")
+def markdown_fidelity(spark, d):
+    a = docs(spark, d)
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    return a.join(b, "doc_id").select("doc_id", metrics.character_fidelity(F.col("text"), F.col("other")).alias("fidelity"))
+
+
+@query("""WITH RECURSIVE nodes(name) AS (VALUES ('ocr'), ('layout'), ('table'), ('text'), ('merge')), edges(src, dst) AS (VALUES ('ocr', 'layout'), ('layout', 'table'), ('layout', 'text'), ('table', 'merge'), ('text', 'merge')),
+r AS (SELECT name, 0 AS level FROM nodes WHERE name NOT IN (SELECT dst FROM edges) UNION ALL SELECT e.dst, r.level + 1 FROM r JOIN edges e ON e.src = r.name) SELECT name, max(level) AS level FROM r GROUP BY name""")
+def graph_levels(spark, d):
+    spark.createDataFrame([("ocr",), ("layout",), ("table",), ("text",), ("merge",)], "name string").createOrReplaceTempView("graph_nodes")
+    spark.createDataFrame([("ocr", "layout"), ("layout", "table"), ("layout", "text"), ("table", "merge"), ("text", "merge")], "src string, dst string").createOrReplaceTempView("graph_edges")
+    return state.levels(spark, "graph_nodes", "graph_edges")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.convert_lines(docs(spark, sf_dir))
