@@ -38,7 +38,7 @@ from .common import LOWERED, materialize, mix64, pieces, powers, span_hashes, to
 
 BITS = (8, 16, 18, 20, 21)  # of the slots of the byte contexts
 WORD_BITS, SLICES = (18, 24), 64  # of the slots for words (least and most), which are built in so many slices
-ORDERS, END, PAD, HOT = len(BITS) + 1, 255, 4, 150_000
+ORDERS, END, PAD, HOT, ROUNDS = len(BITS) + 1, 255, 4, 150_000, 4_000_000
 SPREAD, STEPS, EDGE, UNIT, SHORT, GROUPS = 1.0, 33, 8.0, 1e-12, 256, 6
 OFFSET = np.r_[0, np.cumsum([1 << b for b in BITS])]
 SEEN, WORD_SEEN = np.array([1, 2, 3, 5, 17, 65]), np.array([1, 2, 4, 9, 33])  # counts at which a gate changes
@@ -76,8 +76,8 @@ def registers(short: np.ndarray, first: np.ndarray, group: np.ndarray) -> np.nda
     return out
 
 
-def stream(raw: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What stands for each byte (and end) of all rows, and the rows' offsets.
+def stream(raw: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """What stands for each byte, and for the end, of all rows one after another.
 
     The low 40 bits are five bytes, the last of which is to be predicted, the high 24 a hash of the word before it
     and its register.
@@ -113,7 +113,7 @@ def stream(raw: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarr
     grams = out[PAD:].astype(np.uint64)
     for k in range(1, PAD + 1):
         grams |= out[PAD - k : len(out) - k].astype(np.uint64) << np.uint64(8 * k)
-    return (key | grams[at_out - PAD]).view(np.int64), at + np.arange(len(at))
+    return (key | grams[at_out - PAD]).view(np.int64)
 
 
 LOW = (1 << 40) - 1
@@ -196,12 +196,11 @@ class Model:
         low = place.astype(np.int64)
         return nodes(grams, bit).astype(np.int64) * STEPS + low, place - low
 
-    def learn(self, grams: np.ndarray, n: np.ndarray, seen: np.ndarray, batch: int = 8192, rate: float = 0.015, least: int = 300) -> None:
-        """Online steps over strings that occurred n times each; few strings are gone through again.
+    def learn(self, grams: np.ndarray, n: np.ndarray, seen: np.ndarray, rounds: int = 1, batch: int = 4096, rate: float = 0.01) -> None:
+        """Online steps over strings that occurred n times each.
 
         seen (2 x cells) gathers, in the last round, how often a cell of the refining map was met, and met with a 1.
         """
-        rounds = -(-least * batch // len(grams))
         for round_ in range(rounds):
             for k in range(0, len(grams), batch):
                 g, times = grams[k : k + batch], n[k : k + batch].astype(np.float64)
@@ -326,8 +325,8 @@ def strings(training: DataFrame, group: np.ndarray, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for _, raw, at in pieces(batches, text_col, 1 << 20):
-            held.append(stream(raw, at, group)[0])
+        for _, raw, at in pieces(batches, text_col, 2 << 20):
+            held.append(_streams(raw, at, group))
             size += len(raw)
             if size > 12 << 20:
                 yield count(held)
@@ -371,7 +370,8 @@ def train(grams: DataFrame) -> tuple[Broadcast, np.ndarray | None, np.ndarray |
     """
     spark = grams.sparkSession
     dealt = grams.withColumn("slice", F.shiftrightunsigned("key", 58)).repartition(SLICES, "slice").select("key", "n")
-    bits = int(np.clip(np.ceil(np.log2(grams.count() * 16 + 1)), *WORD_BITS))
+    met = grams.count()
+    bits, rounds = int(np.clip(np.ceil(np.log2(met * 16 + 1)), *WORD_BITS)), max(1, ROUNDS // (met + 1))  # few strings are gone through again
     total, wide = int(OFFSET[-1]), (1 << bits) // SLICES
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,7 +411,7 @@ def train(grams: DataFrame) -> tuple[Broadcast, np.ndarray | None, np.ndarray |
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, mass, seen = Model(shared.value), 0, np.zeros((2, 256 * STEPS))
         for g, n in _columns(batches):
-            own.learn(g, n, seen)
+            own.learn(g, n, seen, rounds)
             mass += int(n.sum())
         if mass:
             yield pa.RecordBatch.from_arrays([pa.array([own.weights.tobytes()], pa.binary()), pa.array([float(mass)]), pa.array([seen.tobytes()], pa.binary())], ["weights", "n", "seen"])
@@ -442,14 +442,15 @@ def frequent(counts: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return least, key[order], n[order]
 
 
-def _streams(raw: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """stream() in smaller parts, which stay in the processor's cache."""
-    parts, row = [], 0
+def _streams(raw: np.ndarray, at: np.ndarray, group: np.ndarray, part: int = 1 << 17) -> np.ndarray:
+    """stream()'s strings, made in small parts that stay in the processor's cache."""
+    out, row, done = np.empty(len(raw) + len(at) - 1, np.int64), 0, 0
     while row < len(at) - 1:
-        end = max(row + 1, int(np.searchsorted(at, at[row] + (1 << 20), "right")) - 1)
-        parts.append(stream(raw[at[row] : at[end]], at[row : end + 1] - at[row], group)[0])
-        row = end
-    return np.concatenate(parts), at + np.arange(len(at))
+        end = max(row + 1, int(np.searchsorted(at, at[row] + part, "right")) - 1)
+        own = stream(raw[at[row] : at[end]], at[row : end + 1] - at[row], group)
+        out[done : done + len(own)] = own
+        row, done = end, done + len(own)
+    return out
 
 
 def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -468,10 +469,10 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
         hot, often = shared.value
         model = Model(tables.value, weights, refine)
         units = unit(often)
-        for part, raw, at in pieces(batches, "text", 6 << 20):
-            grams, rows = _streams(raw, at, group)
-            codes, values = pd.factorize(grams)
-            score = np.add.reduceat(model.log10(values)[codes], rows[:-1])
+        for part, raw, at in pieces(batches, "text", 3 << 20):
+            codes, values = pd.factorize(_streams(raw, at, group))
+            score = np.add.reduceat(model.log10(values)[codes], (at + np.arange(len(at)))[:-1])
+            del codes, values
             begin, end, first = tokens(raw, at)
             h = span_hashes(LOWERED[raw], begin, end).view(np.int64)
             place = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1))
