@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes
+from .common import text_bytes, trimmed
 
 NONE = 1 << 30
-BATCH_BYTES = 12 << 20
-KNOWN = 250_000
+BATCH_BYTES = 6 << 20
+KNOWN = 150_000
 FEW = 40
 
 
@@ -236,8 +236,7 @@ class Codec:
         """Each text as numbers of distinct pre-tokens, all of which are encoded then."""
         known, new, out = self.known, [], []
         if len(known) > KNOWN:
-            known.clear()
-            self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+            self.forget()
         for text in texts:
             row = array("i")
             add = row.append
@@ -253,6 +252,10 @@ class Codec:
             self.ids, self.at = np.r_[self.ids, ids], np.r_[self.at, at[1:] + self.at[-1]]
         return out
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [ragged(self.ids, self.at, np.frombuffer(row, np.int32) if len(row) else np.zeros(0, np.int32)) for row in self.learn(texts)]
 
@@ -333,8 +336,9 @@ class Tokenizer:
                         held, size = [], 0
             if held:
                 yield from flush(held)
+            codec.forget()
 
-        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(c, T.BinaryType()) for c in added]]))
+        return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, *[T.StructField(c, T.BinaryType()) for c in added]]))
 
     def decode(self, encoded: DataFrame, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
         """encoded with a column of the bytes that the ids stand for."""

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERED, mix64, pieces, span_hashes, tokens
+from .common import LOWERED, mix64, pieces, span_hashes, tokens, trimmed
 
 BUCKETS, DIM, NONZERO, SHAPES, SLABS, SAMPLE, HIDDEN = 16384, 32, 4, 4096, 128, 20_000, 32
 THRESHOLD = 0.7
@@ -92,7 +92,7 @@ def context_table(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slab", "sums"])
 
-    rows = docs.select(F.col(text_col)).mapInArrow(count, schema).repartition(SLABS, "slab").mapInArrow(add, schema).collect()
+    rows = docs.select(F.col(text_col)).mapInArrow(trimmed(count), schema).repartition(SLABS, "slab").mapInArrow(trimmed(add), schema).collect()
     table = np.zeros((SLABS, BUCKETS * DIM // SLABS))
     for row in rows:
         table[row["slab"]] = np.frombuffer(bytes(row["sums"]), np.int64)
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in features(raw, at, names.value)], pa.binary())], ["id", "y", "x"])
 
     known = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), F.col("id") == chosen["doc_id"]).select("id", "y", "text")
-    rows = sorted(known.mapInArrow(pool, "id long, y int, x binary").collect())
+    rows = sorted(known.mapInArrow(trimmed(pool), "id long, y int, x binary").collect())
     if not rows:
         return table, None
     x = np.stack([np.frombuffer(bytes(r["x"]), np.float32) for r in rows]).astype(np.float64)
@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network | None]) -> DataFram
             p = net.score(features(raw, at, table).astype(np.float64)) if net else np.full(part.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), "doc_id long, score double, predicted int")
 
 
 def training_labels(spark, sf_dir: str) -> DataFrame:
@@ -216,4 +216,4 @@ def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             good = net.score(features(raw, at, table).astype(np.float64)) >= THRESHOLD if net else np.ones(part.num_rows, bool)
             yield part.filter(pa.array(good)).select(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

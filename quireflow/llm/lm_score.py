@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERED, materialize, mix64, pieces, powers, span_hashes, tokens
+from .common import LOWERED, materialize, mix64, pieces, powers, span_hashes, tokens, trimmed
 
 BITS = (8, 16, 18, 20, 21)  # of the slots of the byte contexts
 WORD_BITS, SLICES = (18, 24), 64  # of the slots for words (least and most), which are built in so many slices
@@ -272,7 +272,7 @@ def gather(training: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {1: [], 2: [], 3: []}
         size = 0
-        for _, raw, at in pieces(batches, text_col, 2 << 20):
+        for _, raw, at in pieces(batches, text_col):
             raw = LOWERED[raw]
             begin, end, first = tokens(raw, at)
             h = mix64(span_hashes(raw, begin, end, mixed=False))
@@ -290,7 +290,7 @@ def gather(training: DataFrame, text_col: str = "text") -> DataFrame:
         if held[2]:
             yield from count(held)
 
-    rows = training.select(F.col(text_col)).mapInArrow(run, "kind byte, key long, n long")
+    rows = training.select(F.col(text_col)).mapInArrow(trimmed(run), "kind byte, key long, n long")
     return materialize(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
@@ -325,7 +325,7 @@ def strings(training: DataFrame, group: np.ndarray, text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for _, raw, at in pieces(batches, text_col, 2 << 20):
+        for _, raw, at in pieces(batches, text_col):
             held.append(_streams(raw, at, group))
             size += len(raw)
             if size > 12 << 20:
@@ -338,7 +338,7 @@ def strings(training: DataFrame, group: np.ndarray, text_col: str = "text") -> D
         values, n = _counted(np.concatenate(held))
         return pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    rows = training.select(F.col(text_col)).mapInArrow(run, "key long, n long")
+    rows = training.select(F.col(text_col)).mapInArrow(trimmed(run), "key long, n long")
     return materialize(rows.groupBy("key").agg(F.sum("n").alias("n")), "strings")
 
 
@@ -398,7 +398,7 @@ def train(grams: DataFrame) -> tuple[Broadcast, np.ndarray | None, np.ndarray |
             for k, x in slices.items():
                 yield pa.RecordBatch.from_arrays([pa.array([-1 - k]), pa.array([0.0]), pa.array([0.0]), pa.array([packed(*x.reshape(2, -1)).tobytes()], pa.binary())], ["slot", "n0", "n1", "words"])
 
-    made = materialize(dealt.mapInArrow(table, "slot long, n0 double, n1 double, words binary"), "tables")
+    made = materialize(dealt.mapInArrow(trimmed(table), "slot long, n0 double, n1 double, words binary"), "tables")
     bytes_, words = np.zeros(total, np.uint32), np.zeros(1 << bits, np.uint32)
     sums = made.where("slot >= 0").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     bytes_[sums.column(0).to_numpy()] = packed(sums.column(1).to_numpy(), sums.column(2).to_numpy())
@@ -416,7 +416,7 @@ def train(grams: DataFrame) -> tuple[Broadcast, np.ndarray | None, np.ndarray |
         if mass:
             yield pa.RecordBatch.from_arrays([pa.array([own.weights.tobytes()], pa.binary()), pa.array([float(mass)]), pa.array([seen.tobytes()], pa.binary())], ["weights", "n", "seen"])
 
-    learned = grams.coalesce(SLICES).mapInArrow(weigh, "weights binary, n double, seen binary").collect()
+    learned = grams.coalesce(SLICES).mapInArrow(trimmed(weigh), "weights binary, n double, seen binary").collect()
     if not learned:
         return shared, None, None
     learned = sorted((bytes(r["weights"]), r["n"], bytes(r["seen"])) for r in learned)
@@ -483,7 +483,7 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(first)), pa.array(upto(known)), pa.array(base), rare, pa.array(score), pa.array(np.diff(at))], ["row", "id", "words", "known", "units", "rare", "score", "n_bytes"])
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scored = materialize(source.mapInArrow(run, "row long, id long, words long, known long, units long, rare array<long>, score double, n_bytes long"), "scored")
+    scored = materialize(source.mapInArrow(trimmed(run), "row long, id long, words long, known long, units long, rare array<long>, score double, n_bytes long"), "scored")
     lookup = counts.where(f"kind = 1 and n < {least}").select("key", "n")
     found = scored.select("row", F.explode("rare").alias("key")).join(lookup, "key")
     found = found.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.round(F.log10(F.col("n") + 1.0) / UNIT).cast("long")).alias("extra"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWERED, materialize, mix64, pieces, span_hashes, tokens
+from .common import LOWERED, materialize, mix64, pieces, span_hashes, tokens, trimmed
 from .components import components, reach
 from .vector_dedup import whole_runs
 
@@ -75,7 +75,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
     """id, n (set size), digest, signature (SIGNATURE 32-bit values) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw, at in pieces(batches, "text", 2 << 20):
+        for part, raw, at in pieces(batches, "text"):
             sets, rows = shingles(raw, at, width)
             full = np.flatnonzero(np.diff(rows))
             sig = np.zeros((part.num_rows, SIGNATURE), np.uint32)
@@ -83,7 +83,7 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
                 sig[full, k] = np.minimum.reduceat(sets * _MULTIPLY[k], rows[:-1][full]) >> np.uint64(16) & np.uint64(0xFFFFFFFF)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(rows)), pa.array(_digests(sets, rows), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "n", "digest", "signature"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, digest binary, signature binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "id long, n long, digest binary, signature binary")
 
 
 def plan_trees(classes: int, similarity: float, recall: float = RECALL) -> tuple[int, int]:
@@ -189,8 +189,8 @@ def find_ties(classes: DataFrame, similarity: float, depth: int, trees: int) ->
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in (0, 1)], ["u", "v"])
 
-    entries = classes.select("cid", "signature").mapInArrow(grow, "node long, cid long, sketch binary")
-    return entries.repartition("node").sortWithinPartitions("node", "cid").mapInArrow(compare, "u long, v long")
+    entries = classes.select("cid", "signature").mapInArrow(trimmed(grow), "node long, cid long, sketch binary")
+    return entries.repartition("node").sortWithinPartitions("node", "cid").mapInArrow(trimmed(compare), "u long, v long")
 
 
 def linked(sets: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
@@ -237,7 +237,7 @@ def _forests(rows: DataFrame, keys: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in (0, 1)], ["u", "v"])
 
     names = rows.columns[:keys]
-    return rows.repartition(*names).sortWithinPartitions(*names, "cid").mapInArrow(run, "u long, v long")
+    return rows.repartition(*names).sortWithinPartitions(*names, "cid").mapInArrow(trimmed(run), "u long, v long")
 
 
 def _full_sets(docs: DataFrame, chosen: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
@@ -254,7 +254,7 @@ def _full_sets(docs: DataFrame, chosen: DataFrame, width: int, id_col: str, text
             members = pa.array([sets[a:b].tobytes() for a, b in zip(rows[:-1], rows[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), members], ["group", "chunk", "cid", "members"]).filter(pa.array(same))
 
-    return found.mapInArrow(run, "group long, chunk long, cid long, members binary")
+    return found.mapInArrow(trimmed(run), "group long, chunk long, cid long, members binary")
 
 
 def class_roots(docs: DataFrame, classes: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components, reach
-from .common import materialize
+from .common import materialize, trimmed
 
 COSINE, FILTERS, CODES, PARTS, BLOCK, DIRECT = 0.95, 12, 8, 2, 256, 2048
 
@@ -168,10 +168,10 @@ def find_links(classes: DataFrame, size: int, cosine: float = COSINE) -> DataFra
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in out])) for k in (0, 1)], ["u", "v"])
 
-    entries = classes.select("cid", "vec").mapInArrow(decode, "dim int, filter long, cid long")
+    entries = classes.select("cid", "vec").mapInArrow(trimmed(decode), "dim int, filter long, cid long")
     shared = entries.withColumn("m", F.count("*").over(W.partitionBy("dim", "filter"))).where("m > 1")  # vectors travel only to these
     entries = shared.join(classes.select("cid", "vec"), "cid").select("dim", "filter", "cid", "vec")
-    return entries.repartition("dim", "filter").sortWithinPartitions("dim", "filter", "cid").mapInArrow(verify, "u long, v long")
+    return entries.repartition("dim", "filter").sortWithinPartitions("dim", "filter", "cid").mapInArrow(trimmed(verify), "u long, v long")
 
 
 def count_links(members: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -197,7 +197,7 @@ def count_links(members: DataFrame, cosine: float = COSINE) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(sums).astype(np.int64))], ["cid", "links"])
 
-    return spread.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(count, "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
+    return spread.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(trimmed(count), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
