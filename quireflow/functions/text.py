@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What counts as a sign of mathematics, and letters of Turkish.
 LATEX_MARKS = ["\\begin{equation}", "\\begin{align}", "\\frac", "\\sum", "\\int", "\\prod", "\\sqrt", "\\alpha", "\\beta", "\\gamma", "\\theta", "\\lambda", "\\partial", "\\infty"]
@@ -23,25 +24,25 @@ def drop_replacement(t: Column) -> Column:
     return F.replace(t, F.lit("�"), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def plain_form(t: pd.Series) -> pd.Series:
     """NFKC without zero-width and direction marks and soft hyphens; ASCII texts pass as they are."""
     drop = re.compile("[​-‏‪-‮⁠﻿­]")
     return t.map(lambda s: s if s is None or s.isascii() else drop.sub("", unicodedata.normalize("NFKC", s)), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed_form(t: pd.Series) -> pd.Series:
     """NFC."""
     return t.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_html(t: pd.Series) -> pd.Series:
     return t.map(lambda s: html.unescape(s) if "&" in s else s, na_action="ignore")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_rtl(t: pd.Series) -> pd.Series:
     """Whether one of the first 500 characters is written from right to left."""
     return t.map(lambda s: any(unicodedata.bidirectional(c) in ("R", "AL", "AN") for c in (s or "")[:500])).astype(bool)
