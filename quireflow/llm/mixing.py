@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, let, materialize
 
 WEIGHTS, CAP, BLOCK, BUCKETS, ROUNDS, CHUNK = (5, 2, 1), 3, 128, 256, 8, 4096
 
@@ -133,17 +133,24 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: a row for each pass that takes words of a document, with docs' columns.
 
     A document that a pass takes whole keeps its text; of others the words taken are joined by one space. n_chars,
-    where there is such a column, is counted anew.
+    where there is such a column, is counted anew. Rows that share an id are told apart by their order (size, text).
     """
     mix = Mix(docs, **options)
+    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    order = W.partitionBy("key").orderBy("size", "bucket", "r")
+    mix.located = mix.located.withColumn("key", key(F.col("id"))).withColumn("k", F.row_number().over(order))
     used = mix.pieces().join(mix.slots.select("sid", "block", "pass"), ["sid", "block"])
-    runs = used.groupBy("id", "r", "pass", "size").agg(F.sum("words").alias("got"), F.array_sort(F.collect_list(F.struct("at", "words"))).alias("runs"))
-    whole = docs.join(runs, docs["doc_id"] == runs["id"])
+    runs = used.groupBy("key", "k", "pass").agg((F.sum("words") == F.first("size")).alias("__whole"), F.array_sort(F.collect_list(F.struct("at", "words"))).alias("__runs"))
+    runs = runs.select(F.col("key").alias("__at"), F.col("k").alias("__of"), "__whole", "__runs")
+    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD))
+    rows = docs.withColumn("__key", key(F.col("doc_id"))).withColumn("__k", F.row_number().over(W.partitionBy("__key").orderBy(size, "text")))
+    found = rows.join(runs, (F.col("__key") == F.col("__at")) & (F.col("__k") - F.col("__of") == 0))  # texts are dealt once, by key
     words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD})"), F.lit(1))
-    chosen = F.array_join(F.flatten(F.transform("runs", lambda p: F.slice(words, (p["at"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    text = F.when(F.col("got") == F.col("size"), F.col("text")).otherwise(chosen)
-    put = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return whole.select(*[put[c].alias(c) if c in put else docs[c] for c in docs.columns])
+    chosen = let(words, lambda w: F.array_join(F.flatten(F.transform("__runs", lambda p: F.slice(w, (p["at"] + 1).cast("int"), p["words"].cast("int")))), " "))
+    found = found.withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(chosen))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast("long"))
+    return found.select(*docs.columns)
 
 
 def op9_source_mix(spark, sf_dir: str) -> DataFrame:
