@@ -191,9 +191,9 @@ def document_profiles(spark, d):
     return profile.document_profile(relations.page_signals(docs(spark, d))).drop("complexity")
 
 
-@query(f"""WITH {LINES}, {SIGNALS} SELECT doc_id, round(least(sum((density + CASE WHEN equations THEN 0.2::DOUBLE ELSE 0.0 END + CASE WHEN tables THEN 0.2::DOUBLE ELSE 0.0 END)::DECIMAL(20, 10))::DOUBLE / count(*), 1), 6) AS complexity FROM signals GROUP BY doc_id""")
+@query(f"""WITH {LINES}, {SIGNALS} SELECT doc_id, least(sum((density + CASE WHEN equations THEN 0.2::DOUBLE ELSE 0.0 END + CASE WHEN tables THEN 0.2::DOUBLE ELSE 0.0 END)::DECIMAL(20, 10))::DOUBLE / count(*), 1) AS complexity FROM signals GROUP BY doc_id""")
 def document_complexity(spark, d):
-    return profile.document_profile(relations.page_signals(docs(spark, d))).select("doc_id", F.round("complexity", 6).alias("complexity"))
+    return profile.document_profile(relations.page_signals(docs(spark, d))).select("doc_id", "complexity")
 
 
 @query(f"WITH {LINES}, {SIGNALS} SELECT doc_id, avg(CASE WHEN chars > 50 THEN 1.0 ELSE 0.0 END) >= 0.6 AS text_layer FROM signals WHERE page <= 3 GROUP BY doc_id")
