@@ -38,7 +38,7 @@ from .common import LOWERED, materialize, mix64, pieces, powers, span_hashes, to
 
 BITS = (8, 16, 18, 20, 21)  # of the slots of the byte contexts
 WORD_BITS, SLICES = (18, 24), 64  # of the slots for words (least and most), which are built in so many slices
-ORDERS, END, PAD, HOT, ROUNDS = len(BITS) + 1, 255, 4, 150_000, 4_000_000
+ORDERS, END, PAD, HOT, ROUNDS, HELD, TOGETHER = len(BITS) + 1, 255, 4, 150_000, 4_000_000, 3_000_000, 24 << 20
 SPREAD, STEPS, EDGE, UNIT, SHORT, GROUPS = 1.0, 33, 8.0, 1e-12, 256, 6
 OFFSET = np.r_[0, np.cumsum([1 << b for b in BITS])]
 SEEN, WORD_SEEN = np.array([1, 2, 3, 5, 17, 65]), np.array([1, 2, 4, 9, 33])  # counts at which a gate changes
@@ -324,19 +324,19 @@ def strings(training: DataFrame, group: np.ndarray, text_col: str = "text") -> D
     """key (as of stream()) and n of the training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for _, raw, at in pieces(batches, text_col):
-            held.append(_streams(raw, at, group))
-            size += len(raw)
-            if size > 12 << 20:
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # counted by parts, then together
+        for _, raw, at in pieces(batches, text_col, 3 << 20):
+            held.append(_counted(_streams(raw, at, group)))
+            if sum(len(n) for _, n in held) > HELD:
                 yield count(held)
-                held, size = [], 0
         if held:
             yield count(held)
 
-    def count(held: list[np.ndarray]) -> pa.RecordBatch:
-        values, n = _counted(np.concatenate(held))
-        return pa.RecordBatch.from_arrays([pa.array(values), pa.array(n.astype(np.int64))], ["key", "n"])
+    def count(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        codes, values = pd.factorize(np.concatenate([v for v, _ in held]))
+        n = np.bincount(codes, np.concatenate([n for _, n in held]), len(values)).astype(np.int64)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], ["key", "n"])
 
     rows = training.select(F.col(text_col)).mapInArrow(trimmed(run), "key long, n long")
     return materialize(rows.groupBy("key").agg(F.sum("n").alias("n")), "strings")
@@ -469,10 +469,20 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
         hot, often = shared.value
         model = Model(tables.value, weights, refine)
         units = unit(often)
+        held: list[tuple[list[pa.Array], np.ndarray, np.ndarray, np.ndarray]] = []  # strings of several parts are scored together
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            which, values = pd.factorize(np.concatenate([v for _, _, v, _ in held]))
+            score, done = model.log10(values)[which], 0
+            for columns, codes, own, begin in held:
+                total = np.add.reduceat(score[done : done + len(own)][codes], begin)
+                done += len(own)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(total)], ["row", "id", "words", "known", "units", "rare", "n_bytes", "score"])
+            held.clear()
+
         for part, raw, at in pieces(batches, "text", 3 << 20):
             codes, values = pd.factorize(_streams(raw, at, group))
-            score = np.add.reduceat(model.log10(values)[codes], (at + np.arange(len(at)))[:-1])
-            del codes, values
+            codes = codes.astype(np.int32)
             begin, end, first = tokens(raw, at)
             h = span_hashes(LOWERED[raw], begin, end).view(np.int64)
             place = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1))
@@ -480,10 +490,15 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
             upto = lambda x: np.diff(np.r_[0, np.cumsum(x)][first])
             base = upto(np.where(known, units[place], 0) if len(hot) else np.zeros(len(h), np.int64))
             rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(~known)][first].astype(np.int32)), pa.array(h[~known]))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(first)), pa.array(upto(known)), pa.array(base), rare, pa.array(score), pa.array(np.diff(at))], ["row", "id", "words", "known", "units", "rare", "score", "n_bytes"])
+            ids = [part.column(k).take(pa.array(np.arange(part.num_rows))) for k in (0, 1)]  # copies, so that the texts can go
+            held.append(([*ids, pa.array(np.diff(first)), pa.array(upto(known)), pa.array(base), rare, pa.array(np.diff(at))], codes, values, (at + np.arange(len(at)))[:-1]))
+            if sum(len(c) for _, c, _, _ in held) > TOGETHER:
+                yield from flush()
+        if held:
+            yield from flush()
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scored = materialize(source.mapInArrow(trimmed(run), "row long, id long, words long, known long, units long, rare array<long>, score double, n_bytes long"), "scored")
+    scored = materialize(source.mapInArrow(trimmed(run), "row long, id long, words long, known long, units long, rare array<long>, n_bytes long, score double"), "scored")
     lookup = counts.where(f"kind = 1 and n < {least}").select("key", "n")
     found = scored.select("row", F.explode("rare").alias("key")).join(lookup, "key")
     found = found.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.round(F.log10(F.col("n") + 1.0) / UNIT).cast("long")).alias("extra"))
