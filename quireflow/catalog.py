@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import classify
+from .functions import classify, geometry
 from .functions import text as tx
-from .operators import enrich, merge, metrics, profile, relations, render, route, state
+from .operators import enrich, layout, merge, metrics, models, profile, progress, relations, render, route, state
 from .operators.relations import table
 from .plans import convert
 from .sources import html
@@ -460,5 +460,163 @@ def graph_levels(spark, d):
     return state.levels(spark, "graph_nodes", "graph_edges")
 
 
+# --- layouts, models, progress ------------------------------------------------------------------------------------
+
+
+@query(f"WITH {LINES}, {REGIONS} SELECT doc_id, page, 0::BIGINT AS seg, type, x0, y0, x1, y1, 0.82::DOUBLE AS confidence FROM regions")
+def layout_json(spark, d):
+    r = relations.regions(lines(spark, d))
+    seg = F.struct(F.col("type").alias("block_type"), F.array("box.x1", "box.y0", "box.x0", "box.y1").alias("bbox"))
+    made = r.select("doc_id", F.to_json(F.struct(F.col("page").alias("page_number"), F.array(seg).alias("segments"))).alias("layout"))
+    return layout.parse_layout(made).select("doc_id", "page", "seg", "type", "box.*", "confidence")
+
+
+@query(f"WITH {LINES} SELECT doc_id, page, ord, 'lines' AS provider FROM lines WHERE page % 2 = 1 UNION ALL SELECT doc_id, page, ord, 'spare' FROM lines WHERE page % 2 = 0")
+def fill_gaps(spark, d):
+    own = lines(spark, d).select("doc_id", "page", "ord", "provider")
+    return layout.fill_gaps(own.where("page % 2 = 1"), own.withColumn("provider", F.lit("spare")))
+
+
+@query(f"WITH {LINES} SELECT doc_id, page + 100 AS page, ord FROM lines WHERE page <= 2")
+def renumbered_pages(spark, d):
+    own = lines(spark, d).select("doc_id", "page", "ord")
+    return layout.renumber(own, own.select("doc_id", "page").distinct().where("page <= 2").withColumn("original", F.col("page") + 100))
+
+
+@query(f"""WITH {LINES} SELECT doc_id, page, ord FROM lines l WHERE NOT EXISTS (SELECT 1 FROM lines t WHERE t.doc_id = l.doc_id AND t.page = l.page AND t.ord % 7 = 0 AND l.y0 >= t.y0 - 2 AND l.y1 <= t.y1 + 2)""")
+def outside_tables(spark, d):
+    own = lines(spark, d)
+    return layout.outside_tables(own.select("doc_id", "page", "ord", "box"), own.where("ord % 7 = 0")).select("doc_id", "page", "ord")
+
+
+@query(f"""WITH {LINES} SELECT doc_id, page, count(*) + 0 AS ord, 'p' || page || '.png' AS path FROM lines GROUP BY doc_id, page HAVING count(*) FILTER (type = 'figure') = 0""")
+def missing_figures(spark, d):
+    own = lines(spark, d)
+    images = own.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(0).alias("idx"), F.concat(F.lit("p"), F.col("page").cast("string"), F.lit(".png")).alias("path"))
+    return layout.missing_figures(own, images)
+
+
+@query(f"WITH {LINES} SELECT doc_id, page, min(ord // 10) AS chunk FROM lines GROUP BY doc_id, page")
+def first_chunk_of_page(spark, d):
+    chunks = lines(spark, d).select("doc_id", F.floor(F.col("ord") / 10).alias("chunk"), "page").distinct()
+    return layout.first_of_page(chunks)
+
+
+@query(f"WITH {REPORT} SELECT doc_id, ord, CASE WHEN regexp_extract(text, '!\\[([^\\]]*)\\]', 1) = '' THEN 'figure' ELSE regexp_extract(text, '!\\[([^\\]]*)\\]', 1) END AS alt, regexp_extract(text, '\\]\\(([^)]*)\\)', 1) AS path FROM report WHERE starts_with(text, '![')")
+def image_links(spark, d):
+    return report(spark, d).where(F.startswith("text", F.lit("!["))).select("doc_id", "ord", tx.image_link(F.col("text")).alias("l")).select("doc_id", "ord", "l.*")
+
+
+@query("SELECT p_partkey, '| ' || p_name || ' | ' || CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END || ' |' AS line FROM part")
+def table_rows(spark, d):
+    cells = F.array("p_name", F.when(F.col("p_size") % 2 == 0, F.col("p_brand")))
+    return table(spark, d, "part").select("p_partkey", tx.table_row(cells).alias("line"))
+
+
+@query("SELECT p_partkey, unnest(list_filter(list_transform(string_split(p_name || ', ,' || p_type, ','), lambda x: trim(x)), lambda x: x <> '')) AS keyword FROM part")
+def keyword_lists(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.explode(tx.keywords(F.concat_ws(", ,", "p_name", "p_type"))).alias("keyword"))
+
+
+@query(f"""WITH {LINES}, h AS (SELECT doc_id, ord, regexp_extract(text, '((?i:figure|fig|diagram|illustration|schematic|sekil|şekil)\\.?\\s*\\d+[.-]?\\d*)', 1) AS reference FROM lines) SELECT * FROM h""")
+def figure_references(spark, d):
+    return lines(spark, d).select("doc_id", "ord", tx.figure_reference(F.col("text")).alias("reference"))
+
+
+_MODELS = [("large", 8500, 1, ["en", "de", "fr", "es", "tr", "it"]), ("middle", 4200, 2, ["en", "tr"]), ("small", 1800, 3, ["en"]), ("tiny", 600, 4, ["multilingual"])]
+_MODELS_SQL = "models(model_id, min_vram_mb, quality_rank, languages) AS (VALUES ('large', 8500, 1, ['en', 'de', 'fr', 'es', 'tr', 'it']), ('middle', 4200, 2, ['en', 'tr']), ('small', 1800, 3, ['en']), ('tiny', 600, 4, ['multilingual']))"
+
+
+def _models(spark):
+    return spark.createDataFrame(_MODELS, "model_id string, min_vram_mb int, quality_rank int, languages array<string>")
+
+
+@query(f"WITH {_MODELS_SQL} SELECT model_id, quality_rank FROM models WHERE min_vram_mb <= 4500")
+def fitting_models(spark, d):
+    return models.fitting_models(_models(spark), 4500).select("model_id", "quality_rank")
+
+
+@query(f"WITH {_MODELS_SQL} SELECT model_id FROM models WHERE min_vram_mb <= 4500 ORDER BY (list_contains(languages, 'de') OR list_contains(languages, 'multilingual') OR len(languages) > 5) DESC, quality_rank LIMIT 1")
+def chosen_model(spark, d):
+    return models.choose_model(_models(spark), 4500, "de").select("model_id")
+
+
+@query("SELECT p_partkey, (p_size // 10 > 2) OR (p_size // 10 = 2 AND p_size % 10 >= 5) AS recent FROM part")
+def versions(spark, d):
+    v = F.concat_ws(".", F.floor(F.col("p_size") / 10).cast("string"), (F.col("p_size") % 10).cast("string"), F.lit("rc"))
+    return table(spark, d, "part").select("p_partkey", models.version_at_least(v, F.lit("2.5")).alias("recent"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN false ELSE s_acctbal >= 2000 OR (s_suppkey % 3 = 1 AND s_acctbal > 0) END AS use_gpu, CASE WHEN s_nationkey < 10 THEN 1 ELSE 4 END AS batch FROM supplier")
+def memory_decisions(spark, d):
+    mode = F.element_at(F.array(F.lit("cpu_only"), F.lit("gpu_preferred"), F.lit("auto")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    return table(spark, d, "supplier").select("s_suppkey", models.memory_decision(mode, F.col("s_acctbal"), F.col("s_nationkey"), 2000, 10).alias("m")).select("s_suppkey", "m.*")
+
+
+@query("SELECT doc_id, 'Describe this figure in ' || CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' ELSE 'English' END || '. Context: ' || substr(text, 1, 200) AS prompt FROM documents")
+def caption_prompts(spark, d):
+    return docs(spark, d).select("doc_id", models.caption_prompt(F.col("lang"), F.col("text")).alias("prompt"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 > 0 AND event_id % 10 < 8 THEN value / (event_id % 10) * (8 - event_id % 10) END AS eta FROM events")
+def progress_eta(spark, d):
+    return table(spark, d, "events").select("event_id", progress.eta(F.col("value"), F.col("event_id") % 10, F.lit(8)).alias("eta"))
+
+
+@query("SELECT user_id AS job, coalesce(max(event_id) FILTER (event_type = 'purchase'), 0) AS last FROM events GROUP BY user_id")
+def completed_pages(spark, d):
+    tasks = table(spark, d, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("page"), state.status_of(F.col("event_type")).alias("status"))
+    return progress.completed_page(tasks)
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (event_type IN ('view', 'click')) AS pending, count(*) FILTER (value < 20) AS below FROM events")
+def review_summary(spark, d):
+    status = F.when(F.col("event_type") == "view", "low-confidence").when(F.col("event_type") == "click", "review-needed").otherwise("ok")
+    return progress.review_summary(table(spark, d, "events").select(status.alias("status"), F.col("value").alias("confidence")), 20.0)
+
+
+@query("SELECT c_custkey AS block_id, arg_max(o_orderpriority, o_orderkey) AS action, count(o_orderkey) AS actions FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def review_actions(spark, d):
+    actions = table(spark, d, "orders").select(F.col("o_custkey").alias("block_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("action"))
+    return progress.apply_actions(table(spark, d, "customer").select(F.col("c_custkey").alias("block_id")), actions)
+
+
+@query("SELECT event_id, ts FROM events WHERE ts > (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+def updates_since(spark, d):
+    own = table(spark, d, "events").select("event_id", "ts")
+    return progress.updates_since(own, F.lit(own.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 1 DAY"))
+
+
+@query("""SELECT user_id AS job, arg_min(event_type, event_id) FILTER (value > 50) AS provider, count(*) AS tries, CASE WHEN count(*) FILTER (value > 50) = 0 THEN arg_max(event_type, event_id) END AS error FROM events GROUP BY user_id""")
+def first_success(spark, d):
+    e = table(spark, d, "events")
+    return progress.first_success(e.select(F.col("user_id").alias("job"), F.col("event_id").alias("pos"), F.col("event_type").alias("provider"), (F.coalesce(F.col("value"), F.lit(0.0)) > 50).alias("ok"), F.col("event_type").alias("error")))
+
+
+@query("SELECT event_type AS provider, user_id % 5 AS method, count(*) AS calls, max(value) AS slowest FROM events GROUP BY ALL")
+def provider_latencies(spark, d):
+    return progress.latencies(table(spark, d, "events").select(F.col("event_type").alias("provider"), (F.col("user_id") % 5).alias("method"), F.col("value").alias("elapsed_ms")))
+
+
+@query(f"WITH {LINES}, a AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')) AS w FROM documents) SELECT x.doc_id, len(list_intersect(x.w, y.w)) AS shared FROM a x JOIN a y ON y.doc_id = x.doc_id + 1")
+def shared_words(spark, d):
+    a = docs(spark, d).select("doc_id", tx.word_set(F.col("text")).alias("w"))
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
+    return a.join(b, "doc_id").select("doc_id", F.size(F.array_intersect("w", "v")).cast("long").alias("shared"))
+
+
+@query(f"WITH {LINES}, {REGIONS} SELECT r.doc_id, r.page, r.region, l.ord, round(CASE WHEN (l.x1 - l.x0) * (l.y1 - l.y0) > 0 THEN greatest(least(l.y1, r.y1) - greatest(l.y0, r.y0), 0) / (l.y1 - l.y0) ELSE 0 END, 6) AS share, round(greatest(least(l.y1, r.y1) - greatest(l.y0, r.y0), 0) / ((l.y1 - l.y0) + (r.y1 - r.y0) - greatest(least(l.y1, r.y1) - greatest(l.y0, r.y0), 0)), 6) AS iou FROM regions r JOIN lines l ON l.doc_id = r.doc_id AND l.page = r.page")
+def box_overlaps(spark, d):
+    own = lines(spark, d)
+    r = relations.regions(own).select("doc_id", "page", "region", F.col("box").alias("r"))
+    both = r.join(own.select("doc_id", "page", "ord", "box"), ["doc_id", "page"])
+    return both.select("doc_id", "page", "region", "ord", F.round(geometry.share_of(F.col("box"), F.col("r")), 6).alias("share"), F.round(geometry.iou(F.col("box"), F.col("r")), 6).alias("iou"))
+
+
+@query("SELECT job, status, created FROM (SELECT user_id AS job, arg_max(CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END, (ts, event_id)) AS status, min(ts) AS created FROM events GROUP BY user_id) ORDER BY created DESC, job LIMIT 50")
+def newest_jobs(spark, d):
+    return state.latest_jobs(table(spark, d, "events")).orderBy(F.col("created").desc(), "job").limit(50).select("job", "status", "created")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.convert_lines(docs(spark, sf_dir))

@@ -151,3 +151,23 @@ def job_id_ok(t: Column) -> Column:
 
 def digest_ok(t: Column) -> Column:
     return F.coalesce(t.rlike("^[0-9a-fA-F]{64}$"), F.lit(False))
+
+
+def image_link(t: Column) -> Column:
+    """alt and path of the first Markdown image; the alt text defaults to figure."""
+    alt = F.regexp_extract(t, r"!\[([^\]]*)\]\(([^)]*)\)", 1)
+    return F.struct(F.when(alt == "", "figure").otherwise(alt).alias("alt"), F.regexp_extract(t, r"!\[([^\]]*)\]\(([^)]*)\)", 2).alias("path"))
+
+
+def table_row(cells: Column) -> Column:
+    """A Markdown table's row; null cells are empty."""
+    return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), " | "), F.lit(" |"))
+
+
+def keywords(t: Column) -> Column:
+    return F.filter(F.transform(F.split(t, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def image_header(content: Column) -> Column:
+    """Whether bytes are a JPEG or PNG of some size."""
+    return (F.octet_length(content) >= 200) & F.hex(F.substring(content, 1, 2)).isin("FFD8", "8950")

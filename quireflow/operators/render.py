@@ -72,5 +72,5 @@ def split_paragraphs(texts: DataFrame) -> DataFrame:
 
 def split_pages(texts: DataFrame, mark: str = r"\n---\n\n") -> DataFrame:
     """doc_id, page (from 1), markdown; empty pages are left out and not numbered."""
-    parts = F.filter(F.transform(F.split("markdown", mark), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("markdown", mark), lambda x: F.trim(x)), lambda x: x != "")
     return texts.select("doc_id", F.posexplode(parts).alias("p", "markdown")).select("doc_id", (F.col("p") + 1).cast("long").alias("page"), "markdown")
