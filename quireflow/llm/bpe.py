@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes, trimmed
+from .common import text_bytes, trim, trimmed
 
 NONE = 1 << 30
-BATCH_BYTES = 6 << 20
-KNOWN = 150_000
+BATCH_BYTES = 4 << 20
+KNOWN = 100_000
+AT_ONCE = 40_000
 FEW = 40
 
 
@@ -143,8 +144,8 @@ class Codec:
         edge = np.r_[0, np.cumsum(sizes)]
         n = int(edge[-1])
         sym = self.bytes_of[np.frombuffer(b"".join(pieces), np.uint8)]
-        owner = np.repeat(np.arange(len(pieces), dtype=np.int64), sizes)
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         nxt[edge[1:][sizes > 0] - 1] = -1
         prv[edge[:-1][sizes > 0]] = -1
         rank = np.full(n, NONE, np.int32)
@@ -159,7 +160,7 @@ class Codec:
         sym[~np.isin(np.arange(n), edge[:-1][alone]) & alone[owner]] = -1
         sym[edge[:-1][alone]] = whole[alone]
         live = sym >= 0
-        return sym[live].astype(np.int32), np.r_[0, np.cumsum(live)][edge]
+        return sym[live], np.r_[0, np.cumsum(live)][edge]
 
     def _merge(self, queue: RankQueue, sym, nxt, prv, rank, owner) -> None:
         s, after, before, at = memoryview(sym), memoryview(nxt), memoryview(prv), memoryview(rank)
@@ -247,9 +248,12 @@ class Codec:
                     new.append(piece.encode("utf-8", "surrogatepass"))
                 add(number)
             out.append(row)
-        if new:
-            ids, at = self.encode_pieces(new)
-            self.ids, self.at = np.r_[self.ids, ids], np.r_[self.at, at[1:] + self.at[-1]]
+        done, total = [(self.ids, self.at)], self.at[-1]
+        for k in range(0, len(new), AT_ONCE):
+            ids, at = self.encode_pieces(new[k : k + AT_ONCE])
+            done.append((ids, at[1:] + total))
+            total += len(ids)
+        self.ids, self.at = (np.concatenate([x[i] for x in done]) for i in (0, 1))
         return out
 
     def forget(self) -> None:
@@ -313,11 +317,12 @@ class Tokenizer:
             codec = _shared(ranks, pattern)
 
             def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                trim()
                 texts = [x if x is not None else "" for b in held for x in b.column(b.schema.get_field_index(text_col)).to_pylist()]
                 rows, k = codec.learn(texts), 0
                 del texts
                 for b in held:
-                    for part in _slices(b, text_col, 2 << 20):
+                    for part in _slices(b, text_col, 1 << 20):
                         own = rows[k : k + part.num_rows]
                         k += part.num_rows
                         ids = [ragged(codec.ids, codec.at, np.frombuffer(x, np.int32)) if len(x) else b"" for x in own]
@@ -325,6 +330,7 @@ class Tokenizer:
                         if decoded is not None:
                             new.append(_binary([codec.decode(np.asarray(x)) if len(x) else b"" for x in ids]))
                         yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *added])
+                        del ids, new
 
             held, size = [], 0
             for b in batches:
