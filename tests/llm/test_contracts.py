@@ -72,7 +72,7 @@ def test_language_model_counts_and_base_score(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)  # beats the unigram model on unseen texts
 
 
-def test_pipeline_stages_against_brute_force(spark, sf_dir):
+def test_pipeline_stages_against_brute_force(spark, sf_dir, tmp_path):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -101,5 +101,5 @@ def test_pipeline_stages_against_brute_force(spark, sf_dir):
             assert all(r["decoded_sha256"] == hashlib.sha256((before[r["doc_id"]]["text"] or "").encode()).hexdigest() for r in after if after.count(r) == 1 and sum(x["doc_id"] == r["doc_id"] for x in after) == 1)
         if name != "byte-level bpe":
             assert out.columns == columns
-            out.write.mode("overwrite").parquet(f"/tmp/quireflow-test/{name.replace(' ', '-')}")
-            docs = spark.read.parquet(f"/tmp/quireflow-test/{name.replace(' ', '-')}")
+            out.write.mode("overwrite").parquet(str(tmp_path / name))
+            docs = spark.read.parquet(str(tmp_path / name))
