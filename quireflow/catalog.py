@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import classify, geometry
+from .functions import classify, config, geometry
 from .functions import text as tx
 from .operators import enrich, layout, merge, metrics, models, profile, progress, relations, render, route, state
 from .operators.relations import table
@@ -618,5 +618,123 @@ def newest_jobs(spark, d):
     return state.latest_jobs(table(spark, d, "events")).orderBy(F.col("created").desc(), "job").limit(50).select("job", "status", "created")
 
 
+# --- more scans, settings and alignment ---------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, 0::BIGINT AS idx, trim(text) AS text, 0.5::DOUBLE AS confidence FROM documents WHERE trim(text) <> '' UNION ALL SELECT doc_id, 0, '', 0.3 FROM documents WHERE trim(coalesce(text, '')) = ''")
+def text_fallback(spark, d):
+    return layout.text_fallback(docs(spark, d)).select("doc_id", "idx", "text", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query("SELECT p_partkey, 'name' AS key, CASE WHEN p_size % 3 = 0 THEN p_name || '=x' ELSE p_name END AS value FROM part WHERE p_size % 2 = 0")
+def overrides(spark, d):
+    given = F.concat(F.when(F.col("p_size") % 2 == 0, F.lit("name = ")).otherwise(F.lit("name ")), F.col("p_name"), F.when((F.col("p_size") % 3 == 0) & (F.col("p_size") % 2 == 0), F.lit("=x")).otherwise(F.lit("")))
+    return table(spark, d, "part").select("p_partkey", config.override(given).alias("o")).where("o IS NOT NULL").select("p_partkey", "o.*")
+
+
+@query("SELECT p_partkey, p_brand AS a, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_name END AS b FROM part")
+def layered_settings(spark, d):
+    first = F.create_map(F.lit("a"), F.col("p_brand"), F.lit("b"), F.col("p_name"))
+    second = F.when(F.col("p_size") % 2 == 0, F.create_map(F.lit("b"), F.col("p_type"))).otherwise(F.create_map().cast("map<string,string>"))
+    return table(spark, d, "part").select("p_partkey", config.layered(first, second).alias("m")).select("p_partkey", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"))
+
+
+@query("SELECT p_partkey, p_size AS page, p_name AS value FROM part")
+def numbered_pages(spark, d):
+    m = F.create_map(F.col("p_size").cast("string"), F.col("p_name"), F.lit("x"), F.col("p_type"))
+    return table(spark, d, "part").select("p_partkey", F.inline(config.numbered_keys(m)))
+
+
+@query("SELECT p_partkey, greatest(p_size % 5, 1) AS page, CASE WHEN p_size % 4 > 0 THEN (p_size % 4)::DOUBLE WHEN p_size % 3 > 0 THEN (p_size % 3)::DOUBLE ELSE 0.0 END AS x0 FROM part")
+def engine_boxes(spark, d):
+    size = F.col("p_size")
+    side = config.engine_side((size % 4).cast("double"), (size % 3).cast("double"))
+    return table(spark, d, "part").select("p_partkey", config.engine_page(size % 5).alias("page"), side.alias("x0"))
+
+
+@query("SELECT p_partkey, floor(p_size * 100 * least(1.0::DOUBLE, 1024::DOUBLE / greatest(p_size * 100, 900)))::INT AS width, floor(900 * least(1.0::DOUBLE, 1024::DOUBLE / greatest(p_size * 100, 900)))::INT AS height FROM part")
+def fitted_images(spark, d):
+    return table(spark, d, "part").select("p_partkey", config.fitted_size(F.col("p_size") * 100, F.lit(900)).alias("s")).select("p_partkey", "s.*")
+
+
+@query()
+def aligned_paragraphs(spark, d):
+    pages = render.page_markdown(merge.page_order(lines(spark, d))).withColumnRenamed("markdown", "text")
+    return layout.align_paragraphs(lines(spark, d).select("doc_id", F.col("ord").alias("idx"), "text"), pages)
+
+
+@query("""WITH l AS (SELECT n_name AS path, 'img/' || n_nationkey AS target FROM nation), b AS (SELECT s_suppkey AS block_id, CASE s_suppkey % 3 WHEN 0 THEN n_name WHEN 1 THEN 'x_' || n_name || '.png' ELSE '#' || s_suppkey END AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT block_id, path, coalesce((SELECT target FROM l WHERE l.path = b.path), (SELECT arg_min(target, l.path) FROM l WHERE contains(b.path, l.path) OR contains(l.path, b.path)), path) AS target FROM b""")
+def rewritten_links(spark, d):
+    nation = table(spark, d, "nation")
+    links = nation.select(F.col("n_name").alias("path"), F.concat(F.lit("img/"), F.col("n_nationkey").cast("string")).alias("target"))
+    k = F.col("s_suppkey")
+    path = F.when(k % 3 == 0, F.col("n_name")).when(k % 3 == 1, F.concat(F.lit("x_"), "n_name", F.lit(".png"))).otherwise(F.concat(F.lit("#"), k.cast("string")))
+    return layout.rewrite_links(table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(k.alias("block_id"), path.alias("path")), links)
+
+
+@query()
+def flattened_elements(spark, d):
+    part = table(spark, d, "part")
+    leaf = F.struct(F.col("p_type").alias("type"), F.col("p_name").alias("content"))
+    tree = F.struct(F.array(F.struct(F.array(leaf, leaf).alias("kids"))).alias("elements"))
+    return layout.flatten_elements(part.select(F.col("p_partkey").alias("doc_id"), F.to_json(tree).alias("layout")))
+
+
+@query()
+def line_changes(spark, d):
+    a = docs(spark, d).select("doc_id", "text")
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    return a.join(b, "doc_id").select("doc_id", metrics.line_changes(F.col("text"), F.col("other")).alias("c")).select("doc_id", "c.*")
+
+
+@query()
+def word_lines(spark, d):
+    words = lines(spark, d).where("page = 1").select("doc_id", "page", F.col("box.y0").alias("top"), F.posexplode(F.split(F.trim("text"), " +")).alias("k", "text"))
+    return enrich.line_clusters(words.select("doc_id", "page", "top", F.col("k").cast("double").alias("x0"), "text"))
+
+
+@query(f"""WITH {LINES} SELECT doc_id, '{{"page":' || page || ',"blocks":' || count(*) || '}}' AS line FROM lines GROUP BY doc_id, page""")
+def status_lines(spark, d):
+    counts = lines(spark, d).groupBy("doc_id", "page").agg(F.count("*").alias("blocks"))
+    return counts.select("doc_id", F.to_json(F.struct("page", "blocks")).alias("line"))
+
+
+@query(f"""WITH {LINES}, {SIGNALS} SELECT doc_id, page, CASE WHEN equations THEN 'equation' WHEN tables THEN 'table' WHEN density < 0.1 AND NOT has_text THEN 'figure' ELSE 'paragraph' END AS type FROM signals""")
+def dominant_blocks(spark, d):
+    s = relations.page_signals(docs(spark, d))
+    return s.select("doc_id", "page", classify.dominant_block_type(F.col("equations"), F.col("tables"), F.col("density"), F.col("has_text")).alias("type"))
+
+
+@query(f"WITH {LINES}, md AS (SELECT doc_id, page, ord, {BLOCK_MD} AS md FROM lines), p AS (SELECT doc_id, page, string_agg(md, chr(10) || chr(10) ORDER BY ord) AS m FROM md WHERE trim(coalesce(md, '')) <> '' GROUP BY ALL) SELECT doc_id, count(*) AS pages, string_agg(m, chr(10) || '---' || chr(10) || chr(10) ORDER BY page) AS markdown FROM p GROUP BY doc_id")
+def document_markdown(spark, d):
+    return render.document_markdown(convert.convert_lines(docs(spark, d)))
+
+
+@query(f"WITH {LINES} SELECT doc_id, page, count(*) AS blocks FROM lines WHERE page <= 2 GROUP BY ALL")
+def first_pages(spark, d):
+    return lines(spark, d).where("page <= 2").groupBy("doc_id", "page").agg(F.count("*").alias("blocks"))
+
+
+@query(f"WITH {LINES}, {REGIONS}, {_chains_sql(True)}, n AS (SELECT doc_id, count(DISTINCT page) AS n FROM lines GROUP BY doc_id) SELECT best AS provider, doc_id, count(DISTINCT page) / n >= 0.7 AS whole FROM regions JOIN best USING (type) JOIN n USING (doc_id) GROUP BY best, doc_id, n")
+def subset_or_whole(spark, d):
+    total = lines(spark, d).groupBy("doc_id").agg(F.count_distinct("page").alias("n"))
+    return route.provider_pages(convert.routing_plan(docs(spark, d))).join(total, "doc_id").select("provider", "doc_id", (F.col("pages") / F.col("n") >= 0.7).alias("whole"))
+
+
+@query("SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3")
+def last_events(spark, d):
+    at = W.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    return table(spark, d, "events").withColumn("k", F.row_number().over(at)).where("k <= 3").select("event_id")
+
+
+@query("SELECT doc_id, 'body' AS provider, length(text) AS chars FROM documents WHERE length(trim(text)) > 100")
+def first_long_text(spark, d):
+    own = docs(spark, d)
+    head = own.select("doc_id", F.lit(0).alias("pos"), F.lit("head").alias("provider"), F.substring("text", 1, 100).alias("text"))
+    both = head.unionByName(own.select("doc_id", F.lit(1).alias("pos"), F.lit("body").alias("provider"), "text"))
+    return layout.first_success_text(both).select("doc_id", "provider", F.length("text").alias("chars"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.convert_lines(docs(spark, sf_dir))

@@ -90,3 +90,50 @@ def flatten_elements(layouts: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "ord", "type", "content"])
 
     return layouts.select("doc_id", "layout").mapInPandas(run, "doc_id long, ord long, type string, content string")
+
+
+def align_paragraphs(paragraphs: DataFrame, pages: DataFrame, back: int = 1, ahead: int = 4) -> DataFrame:
+    """doc_id, idx, page: paragraphs (doc_id, idx, text) set to the pages (doc_id, page, text) whose words they share most.
+
+    A fold over a document's paragraphs: the page never falls, and only the pages near the last one are looked at; a
+    paragraph that shares nothing stays on the last page. One document is one group, as in any reader.
+    """
+    own = paragraphs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", _words("text").alias("w")))).alias("paras"))
+    there = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", _words("text").alias("w")))).alias("pages"))
+    start = F.struct(F.lit(1).alias("last"), F.expr("cast(array() as array<struct<idx:bigint,page:int>>)").alias("out"))
+
+    def step(acc, para):
+        near = F.filter("pages", lambda p: (p["page"] >= acc["last"] - back) & (p["page"] < acc["last"] + ahead))
+        scored = F.transform(near, lambda p: F.struct(F.size(F.array_intersect(p["w"], para["w"])).alias("n"), (-p["page"]).alias("rank")))
+        best = F.array_max(scored)
+        page = F.when(F.coalesce(best["n"], F.lit(0)) > 0, F.greatest(acc["last"], -best["rank"])).otherwise(acc["last"]).cast("int")
+        return F.struct(page.alias("last"), F.concat(acc["out"], F.array(F.struct(para["idx"].cast("bigint").alias("idx"), page.alias("page")))).alias("out"))
+
+    return own.join(there, "doc_id").select("doc_id", F.inline(F.aggregate("paras", start, step)["out"]))
+
+
+def _words(name: str):
+    return F.array_distinct(F.regexp_extract_all(F.lower(name), F.lit("([a-z0-9]{3,})"), F.lit(1)))
+
+
+def text_fallback(texts: DataFrame) -> DataFrame:
+    """doc_id, idx, text, confidence: paragraphs between blank lines; one empty paragraph for a text without any."""
+    parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = texts.select("doc_id", F.posexplode_outer(parts).alias("idx", "t"))
+    return rows.select("doc_id", F.coalesce("idx", F.lit(0)).cast("long").alias("idx"), F.coalesce("t", F.lit("")).alias("text"), F.when(F.col("t").isNull(), 0.3).otherwise(0.5).alias("confidence"))
+
+
+def rewrite_links(blocks: DataFrame, links: DataFrame) -> DataFrame:
+    """blocks (block_id, path) with target: the link (path, target) of that name, else one whose name contains it or lies in it."""
+    exact = blocks.join(links.withColumnRenamed("path", "p"), F.col("path") == F.col("p"), "left").drop("p")
+    rest = exact.where("target IS NULL").drop("target")
+    near = rest.join(links.select(F.col("path").alias("p"), "target"), F.contains("path", F.col("p")) | F.contains("p", F.col("path")))
+    found = near.groupBy("block_id", "path").agg(F.min_by("target", "p").alias("target"))
+    open_ = rest.join(found.select("block_id", "target"), "block_id", "left")
+    return exact.where("target IS NOT NULL").unionByName(open_.withColumn("target", F.coalesce("target", "path")))
+
+
+def first_success_text(candidates: DataFrame, least: int = 100) -> DataFrame:
+    """doc_id, provider, text of candidates (doc_id, pos, provider, text): the first long enough."""
+    good = candidates.where(F.length(F.trim("text")) > least)
+    return good.groupBy("doc_id").agg(F.min_by(F.struct("provider", "text"), "pos").alias("b")).select("doc_id", "b.*")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def character_fidelity(actual: Column, expected: Column) -> Column:
@@ -25,3 +29,14 @@ def count_ratio(actual: Column, expected: Column, pattern: str) -> Column:
     """How alike the numbers of matches are: smaller by larger, 1 if there are none."""
     a, b = F.regexp_count(actual, F.lit(pattern)), F.regexp_count(expected, F.lit(pattern))
     return F.when(F.greatest(a, b) == 0, 1.0).otherwise(F.least(a, b) / F.greatest(a, b))
+
+
+@F.pandas_udf(T.StructType([T.StructField("added", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("same", T.LongType())]))
+def line_changes(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    """How many lines were added, removed and kept."""
+    rows = []
+    for a, b in zip(old.fillna(""), new.fillna(""), strict=True):
+        a, b = a.split("\n"), b.split("\n")
+        same = sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        rows.append((len(b) - same, len(a) - same, same))
+    return pd.DataFrame(rows, columns=["added", "removed", "same"])
