@@ -145,3 +145,37 @@ def test_stream_counts_equal_the_batch(spark, sf_dir, tmp_path):
     q.awaitTermination()
     batch = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == batch
+
+
+def test_files_round_trip(spark, tmp_path):
+    from quireflow.sources import files
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# A\n\nb")
+    (tmp_path / "in" / "b.pdf").write_bytes(b"%PDF-1.7 x")
+    (tmp_path / "in" / "c.pdf").write_bytes(b"no")
+    assert files.read_texts(spark, str(tmp_path / "in")).first()["text"] == "# A\n\nb"
+    assert sorted((r["length"], r["ok"]) for r in files.read_binary(spark, str(tmp_path / "in")).collect()) == [(2, False), (10, True)]
+    pages = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z")], "doc_id long, page int, markdown string")
+    files.write_pages(pages, str(tmp_path / "pages"))
+    files.write_pages(pages, str(tmp_path / "pages"))
+    assert spark.read.json(str(tmp_path / "pages")).count() == 3
+    rows = spark.createDataFrame([("ab12", "e", 0, "p"), ("cd34", "e", 0, "")], "file_hash string, engine string, page_limit int, payload string")
+    files.cache_put(str(tmp_path / "cache"), rows)
+    assert [r["file_hash"] for r in files.cache_miss(rows, spark.read.parquet(str(tmp_path / "cache"))).collect()] == ["cd34"]
+
+
+def test_layout_json_tolerates_bad_rows(spark):
+    from quireflow.operators import layout
+
+    rows = [(1, '{"page_number": 3, "segments": [{"block_type": "table", "bbox": [10, 60, 400, 200]}, {"block_type": "odd", "bbox": [5, 5, 1, 1], "confidence": 0.5}, {"bbox": [1, 2]}, {"bbox": [1, 1, 1.5, 9]}]}'), (2, "no json"), (3, None)]
+    got = layout.parse_layout(spark.createDataFrame(rows, "doc_id long, layout string")).orderBy("seg").collect()
+    assert [(r["page"], r["type"], r["confidence"], r["box"]["x0"]) for r in got] == [(3, "table", 0.82, 10.0), (3, "paragraph", 0.5, 1.0)]
+
+
+def test_alignment_moves_forward(spark):
+    from quireflow.operators import layout
+
+    paragraphs = spark.createDataFrame([(1, 0, "alpha beta"), (1, 1, "gamma delta"), (1, 2, "???"), (1, 3, "alpha")], "doc_id long, idx long, text string")
+    pages = spark.createDataFrame([(1, 1, "alpha beta"), (1, 2, "gamma delta"), (1, 3, "omega")], "doc_id long, page int, text string")
+    assert [r["page"] for r in layout.align_paragraphs(paragraphs, pages).orderBy("idx").collect()] == [1, 2, 2, 2]
