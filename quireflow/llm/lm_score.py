@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERED, materialize, mix64, pieces, powers, span_hashes, tokens, trimmed
+from .common import LOWERED, materialize, mix64, pieces, powers, release, span_hashes, tokens, trimmed
 
 BITS = (8, 16, 18, 20, 21)  # of the slots of the byte contexts
 WORD_BITS, SLICES = (18, 24), 64  # of the slots for words (least and most), which are built in so many slices
@@ -405,6 +405,7 @@ def train(grams: DataFrame) -> tuple[Broadcast, np.ndarray | None, np.ndarray |
     for row in made.where("slot < 0").select("slot", "words").toLocalIterator():
         k = -1 - row["slot"]
         words[k * wide : (k + 1) * wide] = np.frombuffer(bytes(row["words"]), np.uint32)
+    release(made)
     shared = spark.sparkContext.broadcast((bytes_, words))
     del sums, bytes_, words
 
@@ -461,7 +462,9 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
     n, v = n + texts, v + (texts > 0)
     least, hot, often = frequent(counts)
     group = group_short(counts)
-    tables, weights, refine = train(strings(docs.where(training), group, text_col))
+    met = strings(docs.where(training), group, text_col)
+    tables, weights, refine = train(met)
+    release(met)
     shared = spark.sparkContext.broadcast((hot, often))
     unit = lambda c: np.rint(np.log10(c + 1.0) / UNIT).astype(np.int64)
 
