@@ -24,3 +24,19 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 ho
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over what there is and stops; the checkpoint makes a rerun go on where it ended."""
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def job_states(events: DataFrame) -> DataFrame:
+    """job, status, changes: each job's state after its latest event; for complete or update mode."""
+    last = F.max_by(status_of(F.col("event_type")), F.struct("at", "event_id"))
+    return events.groupBy(F.col("user_id").alias("job")).agg(last.alias("status"), F.count("*").alias("changes"))
+
+
+def activity(events: DataFrame, silence: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """job, start, end, n: stretches of a job's events without a silence; a stretch's end is where a stall may begin."""
+    return events.withWatermark("at", late).groupBy(F.session_window("at", silence).alias("w"), F.col("user_id").alias("job")).agg(F.count("*").alias("n")).select("job", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def unique_events(events: DataFrame, late: str = "2 hours") -> DataFrame:
+    """events without those that were delivered again within the watermark."""
+    return events.withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"])

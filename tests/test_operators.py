@@ -179,3 +179,23 @@ def test_alignment_moves_forward(spark):
     paragraphs = spark.createDataFrame([(1, 0, "alpha beta"), (1, 1, "gamma delta"), (1, 2, "???"), (1, 3, "alpha")], "doc_id long, idx long, text string")
     pages = spark.createDataFrame([(1, 1, "alpha beta"), (1, 2, "gamma delta"), (1, 3, "omega")], "doc_id long, page int, text string")
     assert [r["page"] for r in layout.align_paragraphs(paragraphs, pages).orderBy("idx").collect()] == [1, 2, 2, 2]
+
+
+def test_stream_job_states_equal_the_batch(spark, sf_dir):
+    source = events.read_events(spark, f"{sf_dir}/events.parque[t]")
+    q = events.job_states(source).writeStream.format("memory").queryName("states").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    batch = {(r["job"], r["status"]) for r in state.latest_jobs(spark.read.parquet(f"{sf_dir}/events.parquet")).collect()}
+    assert {(r["job"], r["status"]) for r in spark.table("states").collect()} == batch
+
+
+def test_stream_writes_once_over_a_restart(spark, sf_dir, tmp_path):
+    for _ in range(2):
+        stream = events.unique_events(events.read_events(spark, f"{sf_dir}/events.parque[t]"))
+        events.run_to_table(stream.select("event_id", "event_type"), str(tmp_path / "out"), str(tmp_path / "check"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_sessions_cover_all_events(spark, sf_dir):
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    assert events.activity(batch).agg(F.sum("n")).first()[0] == batch.count()
