@@ -38,7 +38,7 @@ from .common import LOWERED, materialize, mix64, pieces, powers, release, span_h
 
 BITS = (8, 16, 18, 20, 21)  # of the slots of the byte contexts
 WORD_BITS, SLICES = (18, 24), 64  # of the slots for words (least and most), which are built in so many slices
-ORDERS, END, PAD, HOT, ROUNDS, HELD, TOGETHER = len(BITS) + 1, 255, 4, 150_000, 4_000_000, 3_000_000, 24 << 20
+ORDERS, END, PAD, HOT, ROUNDS, HELD, TOGETHER = len(BITS) + 1, 255, 4, 150_000, 4_000_000, 5_000_000, 40 << 20
 SPREAD, STEPS, EDGE, UNIT, SHORT, GROUPS = 1.0, 33, 8.0, 1e-12, 256, 6
 OFFSET = np.r_[0, np.cumsum([1 << b for b in BITS])]
 SEEN, WORD_SEEN = np.array([1, 2, 3, 5, 17, 65]), np.array([1, 2, 4, 9, 33])  # counts at which a gate changes
@@ -165,13 +165,11 @@ class Model:
         total = n0 + n1
         return np.clip((n1 + np.float32(SPREAD) * p) / (total + np.float32(SPREAD)), np.float32(1e-6), np.float32(1 - 1e-6)), total
 
-    def inputs(self, grams: np.ndarray, five: tuple[np.ndarray, np.ndarray], bit: int, loo: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions (ORDERS + 1 columns) and gates of a bit; loo: without one occurrence of each string.
+    def lower(self, own: np.ndarray, bit: int, y: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct five-byte strings: stretched predictions by byte contexts, gates so far, the last prediction.
 
-        five: the distinct five-byte strings and which of them each string has; byte contexts are looked up for these.
+        y: the bits themselves, to take one occurrence of each string out of the counts.
         """
-        own, which = five
-        y = bit_of(own, bit) if loo else None
         x = np.ones((len(own), ORDERS + 1), np.float32)
         p, gate, often = np.float32(0.5), np.zeros(len(own), np.int64), None
         for k, at in enumerate(byte_slots(own, bit)):  # each predictor falls back on the one before it
@@ -180,8 +178,12 @@ class Model:
             seen = total >= 1
             gate[seen] = k
             often = total if often is None else np.where(seen, total, often)
-        gate = (gate * (len(SEEN) + 1) + np.searchsorted(SEEN, often, "right")) * (len(WORD_SEEN) + 1)
-        p, total = self._predict(self.words, word_slots(grams, bit, len(self.words) // SLICES), p[which], y[which] if loo else None)
+        return x, (gate * (len(SEEN) + 1) + np.searchsorted(SEEN, often, "right")) * (len(WORD_SEEN) + 1), p
+
+    def upper(self, grams: np.ndarray, lower: tuple[np.ndarray, np.ndarray, np.ndarray], which: np.ndarray, bit: int, y: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Stretched predictions (ORDERS + 1 columns) and gates of strings; which: their rows in lower()."""
+        x, gate, p = lower
+        p, total = self._predict(self.words, word_slots(grams, bit, len(self.words) // SLICES), p[which], y)
         x = x[which]
         x[:, ORDERS - 1] = np.log(p / (1 - p))
         return x, gate[which] + np.searchsorted(WORD_SEEN, total, "right")
@@ -204,10 +206,10 @@ class Model:
         for round_ in range(rounds):
             for k in range(0, len(grams), batch):
                 g, times = grams[k : k + batch], n[k : k + batch].astype(np.float64)
-                five = _five(g)
+                own, which = _five(g)
                 for bit in range(8):
                     y = bit_of(g, bit)
-                    x, gate = self.inputs(g, five, bit, True)
+                    x, gate = self.upper(g, self.lower(own, bit, bit_of(own, bit)), which, bit, y)
                     z = self.mixed(x, gate)
                     error = (y - _squash(z)) * times
                     mass = np.bincount(gate, times, GATES)
@@ -227,23 +229,19 @@ class Model:
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """The log10 probability of each string's last byte after the others."""
-        out = np.zeros(len(grams))
-        order = np.argsort(grams & LOW)
-        for k in range(0, len(grams), 1 << 15):
-            mine = order[k : k + (1 << 15)]
-            g = grams[mine]
-            five = _five(g)
-            product = np.ones(len(g))
-            for bit in range(8):
-                x, gate = self.inputs(g, five, bit)
+        product, (own, which) = np.ones(len(grams)), _five(grams)
+        for bit in range(8):
+            lower = self.lower(own, bit)
+            for k in range(0, len(grams), 1 << 15):
+                g = grams[k : k + (1 << 15)]
+                x, gate = self.upper(g, lower, which[k : k + (1 << 15)], bit)
                 z = self.mixed(x, gate)
                 p = _squash(z)
                 if self.refine is not None:
                     cell, part = self.cells(g, bit, z)
                     p = 0.5 * p + 0.5 * (self.refine[cell] * (1 - part) + self.refine[cell + 1] * part)
-                product *= np.where(bit_of(g, bit) == 1, p, 1 - p)
-            out[mine] = np.log10(product)
-        return out
+                product[k : k + (1 << 15)] *= np.where(bit_of(g, bit) == 1, p, 1 - p)
+        return np.log10(product)
 
 
 def _five(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -488,10 +486,12 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
             codes = codes.astype(np.int32)
             begin, end, first = tokens(raw, at)
             h = span_hashes(LOWERED[raw], begin, end).view(np.int64)
-            place = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1))
-            known = hot[place] == h if len(hot) else np.zeros(len(h), bool)
+            which, distinct = pd.factorize(h)
+            place = np.minimum(np.searchsorted(hot, distinct), max(0, len(hot) - 1))
+            met = hot[place] == distinct if len(hot) else np.zeros(len(distinct), bool)
+            known = met[which]
             upto = lambda x: np.diff(np.r_[0, np.cumsum(x)][first])
-            base = upto(np.where(known, units[place], 0) if len(hot) else np.zeros(len(h), np.int64))
+            base = upto(np.where(met, units[place], 0)[which] if len(hot) else np.zeros(len(h), np.int64))
             rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(~known)][first].astype(np.int32)), pa.array(h[~known]))
             ids = [part.column(k).take(pa.array(np.arange(part.num_rows))) for k in (0, 1)]  # copies, so that the texts can go
             held.append(([*ids, pa.array(np.diff(first)), pa.array(upto(known)), pa.array(base), rare, pa.array(np.diff(at))], codes, values, (at + np.arange(len(at)))[:-1]))
