@@ -42,6 +42,7 @@ ORDERS, END, PAD, HOT, ROUNDS, HELD, TOGETHER = len(BITS) + 1, 255, 4, 150_000,
 SPREAD, STEPS, EDGE, UNIT, SHORT, GROUPS = 1.0, 33, 8.0, 1e-12, 256, 6
 OFFSET = np.r_[0, np.cumsum([1 << b for b in BITS])]
 SEEN, WORD_SEEN = np.array([1, 2, 3, 5, 17, 65]), np.array([1, 2, 4, 9, 33])  # counts at which a gate changes
+WORD_KIND = np.searchsorted(WORD_SEEN, np.arange(WORD_SEEN[-1] + 1), "right")  # by the count, up to the last
 GATES = len(BITS) * (len(SEEN) + 1) * (len(WORD_SEEN) + 1)
 #: Counts are kept as logarithms in 16 bits; this gives them back, those below 1000 exactly.
 COUNT = np.exp2(np.arange(1 << 16) / 2048).astype(np.float32) - 1
@@ -186,7 +187,7 @@ class Model:
         p, total = self._predict(self.words, word_slots(grams, bit, len(self.words) // SLICES), p[which], y)
         x = x[which]
         x[:, ORDERS - 1] = np.log(p / (1 - p))
-        return x, gate[which] + np.searchsorted(WORD_SEEN, total, "right")
+        return x, gate[which] + WORD_KIND[np.minimum(total, WORD_SEEN[-1]).astype(np.int64)]
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -EDGE * 2, EDGE * 2).astype(np.float64)
@@ -198,7 +199,7 @@ class Model:
         low = place.astype(np.int64)
         return nodes(grams, bit).astype(np.int64) * STEPS + low, place - low
 
-    def learn(self, grams: np.ndarray, n: np.ndarray, seen: np.ndarray, rounds: int = 1, batch: int = 4096, rate: float = 0.01) -> None:
+    def learn(self, grams: np.ndarray, n: np.ndarray, seen: np.ndarray, rounds: int = 1, batch: int = 8192, rate: float = 0.015) -> None:
         """Online steps over strings that occurred n times each.
 
         seen (2 x cells) gathers, in the last round, how often a cell of the refining map was met, and met with a 1.
@@ -229,18 +230,23 @@ class Model:
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """The log10 probability of each string's last byte after the others."""
-        product, (own, which) = np.ones(len(grams)), _five(grams)
+        product, (own, which), wide = np.ones(len(grams)), _five(grams), len(self.words) // SLICES
+        kinds = np.arange(len(WORD_SEEN) + 1)
         for bit in range(8):
-            lower = self.lower(own, bit)
-            for k in range(0, len(grams), 1 << 15):
-                g = grams[k : k + (1 << 15)]
-                x, gate = self.upper(g, lower, which[k : k + (1 << 15)], bit)
-                z = self.mixed(x, gate)
+            x, gate, last = self.lower(own, bit)
+            x[:, ORDERS - 1] = 0
+            base = np.stack([np.einsum("ij,ij->i", x, self.weights[gate + k]) for k in kinds], 1).ravel()  # all but the word's part
+            for at in range(0, len(grams), 1 << 15):
+                g, w = grams[at : at + (1 << 15)], which[at : at + (1 << 15)]
+                p, total = self._predict(self.words, word_slots(g, bit, wide), last[w], None)
+                kind = WORD_KIND[np.minimum(total, WORD_SEEN[-1]).astype(np.int64)]
+                z = base[w * len(kinds) + kind] + np.log(p / (1 - p)) * self.weights[gate[w] + kind, ORDERS - 1]
+                z = np.clip(z, -EDGE * 2, EDGE * 2).astype(np.float64)
                 p = _squash(z)
                 if self.refine is not None:
                     cell, part = self.cells(g, bit, z)
                     p = 0.5 * p + 0.5 * (self.refine[cell] * (1 - part) + self.refine[cell + 1] * part)
-                product[k : k + (1 << 15)] *= np.where(bit_of(g, bit) == 1, p, 1 - p)
+                product[at : at + (1 << 15)] *= np.where(bit_of(g, bit) == 1, p, 1 - p)
         return np.log10(product)
 
 
@@ -337,7 +343,7 @@ def strings(training: DataFrame, group: np.ndarray, text_col: str = "text") -> D
         return pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], ["key", "n"])
 
     rows = training.select(F.col(text_col)).mapInArrow(trimmed(run), "key long, n long")
-    return materialize(rows.groupBy("key").agg(F.sum("n").alias("n")), "strings")
+    return materialize(rows.repartition("key").groupBy("key").agg(F.sum("n").alias("n")), "strings")  # tasks have counted; no partial sums again
 
 
 def _columns(batches: Iterator[pa.RecordBatch], stretch: int = 1 << 19, ordered: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
