@@ -34,11 +34,11 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERED, materialize, mix64, pieces, powers, release, span_hashes, tokens, trimmed
+from .common import LOWERED, materialize, mix64, pieces, powers, release, span_hashes, tokens, trim, trimmed
 
 BITS = (8, 16, 18, 20, 21)  # of the slots of the byte contexts
 WORD_BITS, SLICES = (18, 24), 64  # of the slots for words (least and most), which are built in so many slices
-ORDERS, END, PAD, HOT, ROUNDS, HELD, TOGETHER = len(BITS) + 1, 255, 4, 150_000, 4_000_000, 5_000_000, 40 << 20
+ORDERS, END, PAD, HOT, ROUNDS, HELD, TOGETHER = len(BITS) + 1, 255, 4, 150_000, 4_000_000, 4_000_000, 24 << 20
 SPREAD, STEPS, EDGE, UNIT, SHORT, GROUPS = 1.0, 33, 8.0, 1e-12, 256, 6
 OFFSET = np.r_[0, np.cumsum([1 << b for b in BITS])]
 SEEN, WORD_SEEN = np.array([1, 2, 3, 5, 17, 65]), np.array([1, 2, 4, 9, 33])  # counts at which a gate changes
@@ -230,6 +230,13 @@ class Model:
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """The log10 probability of each string's last byte after the others."""
+        out, block = np.empty(len(grams)), (grams >> 8) & 7
+        for k in range(8):  # in blocks of different five-byte strings, to bound memory
+            own = np.flatnonzero(block == k)
+            out[own] = self._log10(grams[own])
+        return out
+
+    def _log10(self, grams: np.ndarray) -> np.ndarray:
         product, (own, which), wide = np.ones(len(grams)), _five(grams), len(self.words) // SLICES
         kinds = np.arange(len(WORD_SEEN) + 1)
         for bit in range(8):
@@ -479,6 +486,7 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
         held: list[tuple[list[pa.Array], np.ndarray, np.ndarray, np.ndarray]] = []  # strings of several parts are scored together
 
         def flush() -> Iterator[pa.RecordBatch]:
+            trim()
             which, values = pd.factorize(np.concatenate([v for _, _, v, _ in held]))
             score, done = model.log10(values)[which], 0
             for columns, codes, own, begin in held:
