@@ -1,13 +1,10 @@
 """Licence scans with DataFrame functions only.
 
 Texts and templates are read as runs of a-z and 0-9 after lower-casing, and as shingles of `WIDTH` words (of all its
-words, for a shorter template). Both are cut into windows of 2 * STRIDE words that overlap by half; a window's set is
-what it holds of the templates' vocabulary of shingles, since other shingles can't say which template it is. A window
-has BANDS minwise hashes of its set, each a band of one row, and retrieves the template windows that share a band.
-A window with a Jaccard similarity of 0.35 to a template's window is retrieved with probability 1 - 0.65**BANDS,
-which is over 0.999999; the best aligned window of a text that holds 80 % of a template has more than that, unless
-several other templates stand beside it. Retrieved pairs are verified: the share of the template's distinct shingles
-in the text around the window (the template's length to both sides) must be at least 0.8.
+words, for a shorter template). A text is cut into windows of 2 * STRIDE words that overlap by half. A window retrieves
+every template that it shares a shingle with, by a join on the shingles, so that what else stands in the window can't
+hide a short template. Retrieved pairs are verified: the share of the template's distinct shingles in the text around
+the window (the template's length to both sides) must be at least 0.8.
 
 Defined results: null and empty texts match nothing; a template that occurs several times in a text gives one row,
 the one with most shingles, then the first; rows that repeat an id are scanned each and give one row together; a null
@@ -24,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-WIDTH, STRIDE, BANDS, LEAST, VOCABULARY = 5, 32, 40, 0.8, 100_000
+WIDTH, STRIDE, LEAST, VOCABULARY = 5, 32, 0.8, 100_000
 
 #: Notices by which texts state their licence.
 TEMPLATES = {
@@ -57,15 +54,6 @@ def template_shingles(text: str) -> tuple[int, list[str]]:
     return width, [" ".join(w[i : i + width]) for i in range(len(w) - width + 1)]
 
 
-def bands(hashes: Column) -> Column:
-    """The bands of a set of shingle hashes: for each, its number and the minwise hash."""
-
-    def band(number: int) -> Column:
-        return F.struct(F.lit(number).alias("band"), F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(number)))).alias("low"))
-
-    return F.array(*map(band, range(BANDS)))
-
-
 def known_shingles(w: Column, width: int, vocabulary: list[int]) -> Column:
     """Where (word number) in an array of words shingles of the vocabulary are, and their hashes."""
     last = F.size(w) - width + 1
@@ -88,9 +76,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col
     vocabulary = {}
     for r in parts.select("width", "h").distinct().collect():
         vocabulary.setdefault(r["width"], []).append(r["h"])
-    windows = parts.withColumn("window", F.explode(_windows(F.col("at")))).groupBy("license", "window").agg(F.collect_set("h").alias("set"))
-    known = windows.select("license", F.explode(bands(F.col("set"))).alias("b")).select("license", "b.*").distinct()
     whole = parts.groupBy("license").agg(F.collect_set("h").alias("shingles"), F.first("length").alias("length"))
+    known = parts.select("license", "h").distinct().join(whole, "license")
 
     text = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
     hits = let(text, lambda w: F.concat(*[known_shingles(w, width, own) for width, own in sorted(vocabulary.items())]))
@@ -101,12 +88,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col
 
     seen = docs.select(F.col(id_col).alias("id"), F.explode(let(hits, placed)).alias("p")).select("id", "p.*")
     inside = F.filter("hits", lambda x: (x["at"] >= F.col("window") * STRIDE) & (x["at"] < (F.col("window") + 2) * STRIDE))
-    banded = let(F.array_distinct(F.transform(inside, lambda x: x["h"])), bands)
-    keyed = seen.select("id", "hits", "window", F.explode(banded).alias("b")).select("id", "hits", "window", "b.*")
-    pairs = keyed.join(F.broadcast(known), ["band", "low"]).groupBy("id", "window", "hits", "license").agg(F.count("*").alias("bands"))
+    hashes = lambda found: F.transform(found, lambda x: x["h"])
+    keyed = seen.withColumn("own", F.array_distinct(hashes(inside))).select("*", F.explode("own").alias("h"))
+    first = F.col("h") == F.array_min(F.array_intersect("own", "shingles"))  # a window and template are one pair
+    pairs = keyed.join(F.broadcast(known), "h").where(first).drop("own", "h")
     near = F.filter("hits", lambda x: (x["at"] >= F.col("window") * STRIDE - F.col("length")) & (x["at"] < (F.col("window") + 2) * STRIDE + F.col("length")))
-    got = F.size(F.array_intersect("shingles", F.transform(near, lambda x: x["h"])))
-    checked = pairs.join(F.broadcast(whole), "license").withColumn("n_found", got).withColumn("n_shingles", F.size("shingles")).where(F.col("n_found") >= least * F.col("n_shingles"))
+    got = F.size(F.array_intersect("shingles", hashes(near)))
+    checked = pairs.withColumn("n_found", got).withColumn("n_shingles", F.size("shingles")).where(F.col("n_found") >= least * F.col("n_shingles"))
     best = checked.groupBy("id", "license", "n_shingles").agg(F.min(F.struct((-F.col("n_found")).alias("less"), "window")).alias("b"))
     return best.select(F.col("id").alias(id_col), "license", F.col("n_shingles").cast("long"), (-F.col("b.less")).cast("long").alias("n_found"), (F.col("b.window") * STRIDE).cast("long").alias("word_at"))
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -150,6 +151,21 @@ def test_licenses(spark, mixed, empty):
     assert licenses.scan_licenses(mixed).count() == licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_beside_each_other_equal_sql(spark, tmp_path):
+    t = licenses.TEMPLATES
+    heads = [("reserved", "BSD-2-Clause"), ("MIT-notice", "ISC"), ("MIT-notice", "MPL-2.0"), ("CC-BY-NC-4.0-notice", "Apache-2.0")]
+    rows = [(100 * k + at, "word " * at + t[a] + " " + t[b], "s") for k, (a, b) in enumerate(heads) for at in (0, 1, 17, 31, 32, 45, 62, 63, 95)]
+    docs = documents(spark, rows)
+    docs.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    found = con.execute(licenses.OP3_SQL)
+    names = [d[0] for d in found.description]
+    got = licenses.scan_licenses(docs).select(names).collect()
+    assert sorted(map(tuple, got)) == sorted(found.fetchall())
+    assert {(r["doc_id"], r["license"]) for r in got} >= {(100 * k + r[0] % 100, x) for k, pair in enumerate(heads) for r in rows if r[0] // 100 == k for x in pair}
+
+
 def test_mix(spark, empty):
     draw = random.Random(4)
     rows = [(i, " ".join(["w"] * draw.randint(0, 400)), draw.choice(["a", "a", "a", "b", "c", None])) for i in range(500)] + [(1, "x y", "a"), (None, "x", "d"), (777, None, "e")]
