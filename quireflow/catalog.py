@@ -690,7 +690,7 @@ def line_changes(spark, d):
 
 @query()
 def word_lines(spark, d):
-    words = lines(spark, d).where("page = 1").select("doc_id", "page", F.col("box.y0").alias("top"), F.posexplode(F.split(F.trim("text"), " +")).alias("k", "text"))
+    words = lines(spark, d).select("doc_id", "page", F.col("box.y0").alias("top"), F.posexplode(F.split(F.trim("text"), " +")).alias("k", "text"))
     return enrich.line_clusters(words.select("doc_id", "page", "top", F.col("k").cast("double").alias("x0"), "text"))
 
 

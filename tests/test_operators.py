@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quireflow import catalog
 from quireflow.functions import classify, geometry
 from quireflow.functions import text as tx
 from quireflow.operators import enrich, merge, metrics, render, route, state
@@ -99,6 +100,19 @@ def test_line_clusters_compare_with_the_lines_first_word(spark):
     assert got == [(0, "a b"), (1, "c d")]
 
 
+def test_word_lines_of_all_pages(spark, tmp_path):
+    texts = {1: "\n".join(f"w{k}  x{k} y" for k in range(45)), 2: "one line", 3: "\n" * 25 + " late words ", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for d, text in texts.items():
+        held = [(k // 20 + 1, t.split()) for k, t in enumerate((text or "").split("\n")) if t.strip()]
+        for page in {p for p, _ in held}:
+            want += [(d, page, i, " ".join(w)) for i, w in enumerate(w for p, w in held if p == page)]
+    got = catalog.word_lines(spark, str(tmp_path)).select("doc_id", "page", "line", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {r["page"] for r in got} == {1, 2, 3}
+
+
 def test_broken_lines_join(spark):
     rows = [(1, 0, "One line"), (1, 1, "goes on."), (1, 2, "next"), (1, 3, "Upper")]
     got = [r["text"] for r in render.join_broken_lines(spark.createDataFrame(rows, "doc_id int, ord int, text string")).orderBy("line").collect()]
