@@ -38,7 +38,7 @@ from .common import LOWERED, materialize, mix64, pieces, powers, release, span_h
 
 BITS = (8, 16, 18, 20, 21)  # of the slots of the byte contexts
 WORD_BITS, SLICES = (18, 24), 64  # of the slots for words (least and most), which are built in so many slices
-ORDERS, END, PAD, HOT, ROUNDS, HELD, TOGETHER = len(BITS) + 1, 255, 4, 150_000, 4_000_000, 3_000_000, 24 << 20
+ORDERS, END, PAD, HOT, ROUNDS, HELD, TOGETHER = len(BITS) + 1, 255, 4, 150_000, 4, 3_000_000, 24 << 20
 SPREAD, STEPS, EDGE, UNIT, SHORT, GROUPS = 1.0, 33, 8.0, 1e-12, 256, 6
 OFFSET = np.r_[0, np.cumsum([1 << b for b in BITS])]
 SEEN, WORD_SEEN = np.array([1, 2, 3, 5, 17, 65]), np.array([1, 2, 4, 9, 33])  # counts at which a gate changes
@@ -382,7 +382,7 @@ def train(grams: DataFrame) -> tuple[Broadcast, np.ndarray | None, np.ndarray |
     spark = grams.sparkSession
     dealt = grams.withColumn("slice", F.shiftrightunsigned("key", 58)).repartition(SLICES, "slice").select("key", "n")
     met = grams.count()
-    bits, rounds = int(np.clip(np.ceil(np.log2(met * 16 + 1)), *WORD_BITS)), max(1, ROUNDS // (met + 1))  # few strings are gone through again
+    bits, rounds = int(np.clip(np.ceil(np.log2(met * 16 + 1)), *WORD_BITS)), ROUNDS  # as many at every size
     total, wide = int(OFFSET[-1]), (1 << bits) // SLICES
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
