@@ -12,8 +12,8 @@ score; total bits per byte follow.
 The register is adaptive, too: short words are grouped by which of them follow each other in the training texts
 (languages come apart by this), and a word's register is the group most met so far in its text.
 
-All of it is made from counts over all training texts: tables have a fixed size, what the tasks gather grows with the
-corpus. Scoring changes nothing in the model, so scores don't depend on what else is scored or in which order.
+All of it is made from counts over all training texts: what the tasks gather grows with the corpus, but is folded into
+tables that have a fixed size at most and no check tags, so that contexts share slots in a large corpus. Scoring changes nothing in the model, so scores don't depend on what else is scored or in which order.
 
 The base score is a unigram model with add-one smoothing. Counts of frequent tokens (at most HOT of them) go to the
 scoring tasks; rarer tokens are joined by key. Tokens are compared by 64-bit hashes.
