@@ -46,9 +46,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of docs that stay, with all their columns; ids are expected to be unique."""
-    gone = exact_groups(docs, id_col, text_col, salts).where(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of docs that stay, with all their columns: those go, by id and text, that exact_groups() doesn't keep."""
+    gone = exact_groups(docs, id_col, text_col, salts).where(~F.col("kept")).select(F.col(id_col).alias("__gone"), F.col("text_sha256").alias("__sha"))
+    same = docs[id_col].eqNullSafe(gone["__gone"]) & (F.sha2(ascii_lower(docs[text_col]), 256) == gone["__sha"])
+    return docs.join(gone, same, "left_anti")
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

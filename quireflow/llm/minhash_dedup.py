@@ -27,7 +27,7 @@ from math import ceil, exp, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -71,8 +71,9 @@ def _digests(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in np.stack([*out], 1)]
 
 
-def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), digest, signature (SIGNATURE 32-bit values) of each row."""
+def signatures(docs: DataFrame, width: int, id_col: str, text_col: str, key: Column | None = None) -> DataFrame:
+    """id, n (set size), digest, signature (SIGNATURE 32-bit values), key (binary, as given) of each row."""
+    key = F.lit(None).cast("binary") if key is None else key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw, at in pieces(batches, "text"):
@@ -81,9 +82,9 @@ def signatures(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataF
             sig = np.zeros((part.num_rows, SIGNATURE), np.uint32)
             for k in range(SIGNATURE if len(full) else 0):
                 sig[full, k] = np.minimum.reduceat(sets * _MULTIPLY[k], rows[:-1][full]) >> np.uint64(16) & np.uint64(0xFFFFFFFF)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(rows)), pa.array(_digests(sets, rows), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "n", "digest", "signature"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(rows)), pa.array(_digests(sets, rows), pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), part.column(1)], ["id", "n", "digest", "signature", "key"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "id long, n long, digest binary, signature binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "id long, n long, digest binary, signature binary, key binary")
 
 
 def plan_trees(classes: int, similarity: float, recall: float = RECALL) -> tuple[int, int]:
@@ -288,7 +289,11 @@ def class_roots(docs: DataFrame, classes: DataFrame, width: int, percent: int, i
 
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id_col, n_shingles, component_id, kept."""
-    rows = materialize(signatures(docs, width, id_col, text_col), "signatures")
+    return _near_copies(docs, width, percent, id_col, text_col).drop("key")
+
+
+def _near_copies(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, key: Column | None = None) -> DataFrame:
+    rows = materialize(signatures(docs, width, id_col, text_col, key), "signatures")
     grouped = rows.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("id"), F.min("signature").alias("signature"))
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "n", "digest", "id", "signature"), "classes")
     roots = class_roots(docs, classes, width, percent, id_col, text_col)
@@ -296,15 +301,17 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     tied = tied.withColumn("root", F.coalesce("root", "cid"))
     lowest = tied.groupBy("root").agg(F.min("least").alias("lowest"))
     told = tied.join(lowest, "root").select("size", "own", "lowest")
-    out = rows.select("id", "n", "digest").join(told, (F.col("n") == F.col("size")) & (F.col("digest") == F.col("own")), "left")
+    out = rows.select("id", "n", "digest", "key").join(told, (F.col("n") == F.col("size")) & (F.col("digest") == F.col("own")), "left")
     component = F.coalesce("lowest", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "key")
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay, one of each group, with all their columns; ids are expected to be unique."""
-    gone = near_copies(docs, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows of docs that stay, with all their columns: those go, by id and text, that near_copies() doesn't keep."""
+    key = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    gone = _near_copies(docs, width, percent, "doc_id", "text", key).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("key").alias("__key"))
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]) & (F.unhex(F.sha2(F.coalesce(docs["text"], F.lit("")), 256)) == gone["__key"])
+    return docs.join(gone, same, "left_anti")
 
 
 def op10_minhash_dedup(spark, sf_dir: str) -> DataFrame:

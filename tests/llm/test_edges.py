@@ -88,6 +88,16 @@ def test_near_copies_equal_brute_force_in_large_groups(spark):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+def test_drops_go_by_id_and_text(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "same text", "s"), (1, "clean text", "s"), (2, "SAME text", "s"), (None, "same text", "s"), (None, "alone", "s"), (3, None, "s"), (4, "", "s")]
+    got = exact_dedup.drop_exact_copies(documents(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(1, "clean text"), (2, "SAME text"), (None, "alone"), (4, "")], key=repr)
+    rows = [(1, long, "s"), (2, long + " more", "s"), (2, "quite another text of six words", "s"), (None, long, "s"), (None, "nothing like the others at all", "s")]
+    got = minhash_dedup.drop_near_copies(documents(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted([(1, long), (2, rows[2][1]), (None, rows[4][1])], key=repr)
+
+
 def test_components(spark):
     draw = random.Random(9)
     links = [(k, k + 1) for k in range(0, 300)] + [(1000 + draw.randint(0, 99), 1000 + draw.randint(0, 99)) for _ in range(60)] + [(5, 5)]
