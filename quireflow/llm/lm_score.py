@@ -4,16 +4,18 @@ The model reads a text as its bytes (A-Z lower-cased) and one end mark, each byt
 bit predictors look at the last 0 to 4 bytes, and at the word so far together with the text's register: hashed
 (context, bits so far) slots hold how often a 0 and a 1 followed in the training texts, and each predictor falls back
 on the one before it. A mixer adds their stretched probabilities with weights, chosen by a gate (the longest context
-that was seen, how often, and how often the word so far was); weights are learned online, batch by batch, by gradient
-steps on coding cost, with each decision's own occurrence taken out of the counts. An adaptive map from (bits so far,
-mixed probability) to observed frequencies refines the result. The sum of the decisions' log10 probabilities is the
-score; total bits per byte follow.
+that was seen, how often, and how often the word so far was); weights are learned online, batch by batch, by steps on
+coding cost that shrink as a weight's curvature adds up, with each decision's own occurrence taken out of the counts.
+An adaptive map from (bits so far, mixed probability) to observed frequencies refines the result. The sum of the
+decisions' log10 probabilities is the score; total bits per byte follow.
 
 The register is adaptive, too: short words are grouped by which of them follow each other in the training texts
-(languages come apart by this), and a word's register is the group most met so far in its text.
+(languages come apart by this), and a word's register is the group most met so far in its text; white space after a
+word has the register that the next word would have, whether or not there is one.
 
-All of it is made from counts over all training texts: what the tasks gather grows with the corpus, but is folded into
-tables that have a fixed size at most and no check tags, so that contexts share slots in a large corpus. Scoring changes nothing in the model, so scores don't depend on what else is scored or in which order.
+All of it is made from counts over all training texts, in one pass of learning at every size: what the tasks gather
+grows with the corpus, but is folded into tables of one fixed size, without check tags, so that contexts share slots
+in a large corpus. Scoring changes nothing in the model, so scores don't depend on what else is scored or in which order.
 
 The base score is a unigram model with add-one smoothing. Counts of frequent tokens (at most HOT of them) go to the
 scoring tasks; rarer tokens are joined by key. Tokens are compared by 64-bit hashes.
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +40,11 @@ from pyspark.sql import functions as F
 from .common import LOWERED, materialize, mix64, pieces, powers, release, span_hashes, tokens, trim, trimmed
 
 BITS = (8, 16, 18, 20, 21)  # of the slots of the byte contexts
-WORD_BITS, SLICES = (18, 24), 64  # of the slots for words (least and most), which are built in so many slices
-ORDERS, END, PAD, HOT, ROUNDS, HELD, TOGETHER = len(BITS) + 1, 255, 4, 150_000, 4, 3_000_000, 24 << 20
-SPREAD, STEPS, EDGE, UNIT, SHORT, GROUPS = 1.0, 33, 8.0, 1e-12, 256, 6
+WORD_BITS, SLICE_BITS = 24, 14  # of the slots for words, and of the slices that these are built in
+WIDE, MOST, PART = 1 << WORD_BITS - SLICE_BITS, 1 << SLICE_BITS, 1 << 19  # slots of a slice; parts; tokens of a part
+STRETCH, FIVES = 1 << 16, 64  # strings of a row; groups of five-byte strings
+ORDERS, END, PAD, HOT, HELD, TOGETHER = len(BITS) + 1, 255, 4, 150_000, 3_000_000, 12 << 20
+SPREAD, STEPS, EDGE, UNIT, SHORT, GROUPS, RATE, CURVE = 1.0, 33, 8.0, 1e-12, 256, 6, 1.0, 200.0
 OFFSET = np.r_[0, np.cumsum([1 << b for b in BITS])]
 SEEN, WORD_SEEN = np.array([1, 2, 3, 5, 17, 65]), np.array([1, 2, 4, 9, 33])  # counts at which a gate changes
 WORD_KIND = np.searchsorted(WORD_SEEN, np.arange(WORD_SEEN[-1] + 1), "right")  # by the count, up to the last
@@ -59,9 +64,9 @@ def short_words(begin: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray
     return np.where(end - begin <= 3, (h % np.uint64(SHORT)).astype(np.int64), -1)
 
 
-def registers(short: np.ndarray, first: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For each word, the group most met before it in its row (GROUPS: none yet)."""
-    out = np.full(len(short), GROUPS)
+def registers(short: np.ndarray, first: np.ndarray, group: np.ndarray, place: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The group most met in a row before a place (a word's number; GROUPS: none yet)."""
+    out = np.full(len(place), GROUPS)
     where = np.flatnonzero(short >= 0)
     where = where[group[short[where]] >= 0]
     if not len(where):
@@ -69,9 +74,7 @@ def registers(short: np.ndarray, first: np.ndarray, group: np.ndarray) -> np.nda
     met = np.zeros((len(where) + 1, GROUPS), np.int32)
     met[np.arange(1, len(where) + 1), group[short[where]]] = 1
     np.cumsum(met, axis=0, out=met)
-    row = np.searchsorted(first, np.arange(len(short)), "right") - 1
-    before = np.searchsorted(where, np.arange(len(short)))
-    start = np.searchsorted(where, first)[row]
+    before, start = np.searchsorted(where, place), np.searchsorted(where, first)[row]
     seen = before > start
     out[seen] = np.argmax(met[before[seen]] - met[start[seen]], axis=1)
     return out
@@ -87,7 +90,8 @@ def stream(raw: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
     begin, end, first = tokens(raw, at)
     power, inverse = powers(len(raw) + 1)
     total = np.r_[np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * power[: len(raw)], dtype=np.uint64)]
-    state = registers(short_words(begin, end, mix64((total[end] - total[begin]) * inverse[begin])), first, group).astype(np.uint64) + np.uint64(1)
+    short, row = short_words(begin, end, mix64((total[end] - total[begin]) * inverse[begin])), np.arange(len(n))
+    state, after = (registers(short, first, group, *x).astype(np.uint64) + np.uint64(1) for x in ((np.arange(len(begin)), np.repeat(row, np.diff(first))), (first[1:], row)))
     # places: the bytes of all rows with an end after each row; a place's word is the one that began last in its row
     place = np.arange(len(raw)) + np.repeat(np.arange(len(n)), n)
     size = len(raw) + len(n)
@@ -96,17 +100,18 @@ def stream(raw: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
     inside[place[begin] + 1] += 1
     inside[place[end - 1] + 2 if len(end) else end] -= 1
     open_ = np.cumsum(inside)[:size] > 0
-    number = np.zeros(size, np.int64)
-    number[place[begin]] = 1
-    number = np.cumsum(number)
+    number = np.zeros(size + 1, np.int64)  # of the words that began before a place
+    number[place[begin] + 1] = 1
+    number = np.cumsum(number)[:size]
     source = np.empty(size, np.int64)
     source[place] = np.arange(len(raw))
     source[at[1:] + np.arange(len(n))] = at[1:]
     word = np.where(open_, number, 0)
     start = np.r_[0, begin][word]
     prefix = np.where(open_, (total[source] - total[start]) * inverse[start], 0)
-    following = np.minimum(number, max(0, len(begin) - 1))  # a place between words has the register of the next word
-    now = np.where(open_, np.r_[np.uint64(0), state][word], state[following] if len(state) else np.uint64(0))
+    of = np.repeat(row, n + 1)
+    more = number < first[1:][of]  # a place between words has the register of the row's next word, or after its last one
+    now = np.where(open_, np.r_[np.uint64(0), state][word], np.where(more, np.r_[state, np.uint64(0)][number], after[of]))
     key = mix64(prefix + now * np.uint64(0xD1342543DE82EF95)) & np.uint64(0xFFFFFF << 40)
     out = np.full(len(raw) + (PAD + 1) * len(n), END, np.uint8)
     out[np.arange(len(raw)) + np.repeat(np.arange(len(n)) * (PAD + 1) + PAD, n)] = raw
@@ -136,17 +141,28 @@ def byte_slots(grams: np.ndarray, bit: int) -> list[np.ndarray]:
     return out
 
 
-def word_slots(grams: np.ndarray, bit: int, wide: int) -> np.ndarray:
-    """The slot of the word so far, by its slice (the highest bits) and place in it; wide: the slots of a slice."""
+def word_slots(grams: np.ndarray, bit: int) -> np.ndarray:
+    """The slot of the word so far, by its slice (the highest bits) and place in it."""
     word = grams.view(np.uint64) >> np.uint64(40)
-    low = mix64(word << np.uint64(8) | nodes(grams, bit)) & np.uint64(wide - 1)
-    return ((word >> np.uint64(18)) * np.uint64(wide) + low).astype(np.int64)
+    low = mix64(word << np.uint64(8) | nodes(grams, bit)) & np.uint64(WIDE - 1)
+    return ((word >> np.uint64(24 - SLICE_BITS)) * np.uint64(WIDE) + low).astype(np.int64)
 
 
 def bit_of(grams: np.ndarray, bit: int) -> np.ndarray:
     return (grams >> (7 - bit)) & 1
 
 
+class Tables(tuple):
+    """The tables of bytes and words, which travel compressed: those of a small corpus are empty for the most part."""
+
+    def __reduce__(self) -> tuple:
+        return unpacked, tuple(zstandard.compress(x.tobytes(), 1) for x in self)
+
+
+def unpacked(*tables: bytes) -> Tables:
+    return Tables(np.frombuffer(zstandard.decompress(x), np.uint32) for x in tables)
+
+
 class Model:
     """Packed counts (for bytes and for words, 0s in the low and 1s in the high half), mixing weights, refining map."""
 
@@ -154,6 +170,7 @@ class Model:
         self.bytes, self.words = tables
         first = np.tile(np.r_[np.zeros(ORDERS - 2), 0.3, 0.7, 0], (GATES, 1))
         self.weights = (first if weights is None else weights).astype(np.float32)
+        self.curve = np.full((GATES, ORDERS + 1), CURVE)  # curvature met so far
         self.refine = refine
 
     @staticmethod
@@ -184,7 +201,7 @@ class Model:
     def upper(self, grams: np.ndarray, lower: tuple[np.ndarray, np.ndarray, np.ndarray], which: np.ndarray, bit: int, y: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Stretched predictions (ORDERS + 1 columns) and gates of strings; which: their rows in lower()."""
         x, gate, p = lower
-        p, total = self._predict(self.words, word_slots(grams, bit, len(self.words) // SLICES), p[which], y)
+        p, total = self._predict(self.words, word_slots(grams, bit), p[which], y)
         x = x[which]
         x[:, ORDERS - 1] = np.log(p / (1 - p))
         return x, gate[which] + WORD_KIND[np.minimum(total, WORD_SEEN[-1]).astype(np.int64)]
@@ -195,32 +212,31 @@ class Model:
     @staticmethod
     def cells(grams: np.ndarray, bit: int, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The cell below z in the refining map, and how far z is from it to the next."""
-        place = (np.clip(z, -EDGE, EDGE - 1e-9) + EDGE) / (2 * EDGE) * (STEPS - 1)
+        place = np.clip((z + EDGE) * ((STEPS - 1) / (2 * EDGE)), 0, STEPS - 1.00001)
         low = place.astype(np.int64)
-        return nodes(grams, bit).astype(np.int64) * STEPS + low, place - low
+        return nodes(grams, bit).astype(np.int64) * STEPS + low, place - low.astype(place.dtype)
 
-    def learn(self, grams: np.ndarray, n: np.ndarray, seen: np.ndarray, rounds: int = 1, batch: int = 8192, rate: float = 0.015) -> None:
-        """Online steps over strings that occurred n times each.
+    def learn(self, grams: np.ndarray, n: np.ndarray, seen: np.ndarray, batch: int = 8192) -> None:
+        """One pass of online steps over strings that occurred n times each.
 
-        seen (2 x cells) gathers, in the last round, how often a cell of the refining map was met, and met with a 1.
+        seen (2 x cells) gathers how often a cell of the refining map was met, and met with a 1.
         """
-        for round_ in range(rounds):
-            for k in range(0, len(grams), batch):
-                g, times = grams[k : k + batch], n[k : k + batch].astype(np.float64)
-                own, which = _five(g)
-                for bit in range(8):
-                    y = bit_of(g, bit)
-                    x, gate = self.upper(g, self.lower(own, bit, bit_of(own, bit)), which, bit, y)
-                    z = self.mixed(x, gate)
-                    error = (y - _squash(z)) * times
-                    mass = np.bincount(gate, times, GATES)
-                    step = np.stack([np.bincount(gate, error * x[:, j], GATES) for j in range(ORDERS + 1)], 1)
-                    self.weights += (rate * step / np.maximum(mass, 1)[:, None]).astype(np.float32)
-                    if round_ == rounds - 1:
-                        cell, part = self.cells(g, bit, z)
-                        for c, w in ((cell, times * (1 - part)), (cell + 1, times * part)):
-                            seen[0] += np.bincount(c, w, seen.shape[1])
-                            seen[1] += np.bincount(c, w * y, seen.shape[1])
+        for k in range(0, len(grams), batch):
+            g, times = grams[k : k + batch], n[k : k + batch].astype(np.float64)
+            own, which = _five(g)
+            for bit in range(8):
+                y = bit_of(g, bit)
+                x, gate = self.upper(g, self.lower(own, bit, bit_of(own, bit)), which, bit, y)
+                z = self.mixed(x, gate)
+                p = _squash(z)
+                error, bend = (y - p) * times, p * (1 - p) * times
+                step = np.stack([np.bincount(gate, error * x[:, j], GATES) for j in range(ORDERS + 1)], 1)
+                self.curve += np.stack([np.bincount(gate, bend * x[:, j] ** 2, GATES) for j in range(ORDERS + 1)], 1)
+                self.weights += (RATE * step / self.curve).astype(np.float32)
+                cell, part = self.cells(g, bit, z)
+                for c, w in ((cell, times * (1 - part)), (cell + 1, times * part)):
+                    seen[0] += np.bincount(c, w, seen.shape[1])
+                    seen[1] += np.bincount(c, w * y, seen.shape[1])
 
     @staticmethod
     def settled(seen: np.ndarray) -> np.ndarray:
@@ -230,30 +246,35 @@ class Model:
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """The log10 probability of each string's last byte after the others."""
-        out, block = np.empty(len(grams)), (grams >> 8) & 7
+        out, order = np.empty(len(grams)), np.argsort(grams)  # neighbours look at one slice of the word table
+        grams = grams[order]
+        block = (grams >> 8) & 7
         for k in range(8):  # in blocks of different five-byte strings, to bound memory
             own = np.flatnonzero(block == k)
-            out[own] = self._log10(grams[own])
+            out[order[own]] = self._log10(grams[own])
         return out
 
     def _log10(self, grams: np.ndarray) -> np.ndarray:
-        product, (own, which), wide = np.ones(len(grams)), _five(grams), len(self.words) // SLICES
+        product, (own, which) = np.ones(len(grams)), _five(grams)
         kinds = np.arange(len(WORD_SEEN) + 1)
+        refine = None if self.refine is None else np.r_[1 - self.refine, self.refine].astype(np.float32)  # for bits 0, then 1
         for bit in range(8):
             x, gate, last = self.lower(own, bit)
             x[:, ORDERS - 1] = 0
             base = np.stack([np.einsum("ij,ij->i", x, self.weights[gate + k]) for k in kinds], 1).ravel()  # all but the word's part
             for at in range(0, len(grams), 1 << 15):
                 g, w = grams[at : at + (1 << 15)], which[at : at + (1 << 15)]
-                p, total = self._predict(self.words, word_slots(g, bit, wide), last[w], None)
+                p, total = self._predict(self.words, word_slots(g, bit), last[w], None)
                 kind = WORD_KIND[np.minimum(total, WORD_SEEN[-1]).astype(np.int64)]
                 z = base[w * len(kinds) + kind] + np.log(p / (1 - p)) * self.weights[gate[w] + kind, ORDERS - 1]
-                z = np.clip(z, -EDGE * 2, EDGE * 2).astype(np.float64)
-                p = _squash(z)
-                if self.refine is not None:
+                z = np.clip(z, np.float32(-EDGE * 2), np.float32(EDGE * 2))
+                y = bit_of(g, bit)
+                p = _squash(z * (2 * y - 1).astype(np.float32))  # of the bit itself
+                if refine is not None:
                     cell, part = self.cells(g, bit, z)
-                    p = 0.5 * p + 0.5 * (self.refine[cell] * (1 - part) + self.refine[cell + 1] * part)
-                product[at : at + (1 << 15)] *= np.where(bit_of(g, bit) == 1, p, 1 - p)
+                    cell += y * len(self.refine)
+                    p = np.float32(0.5) * (p + refine[cell] + (refine[cell + 1] - refine[cell]) * part)
+                product[at : at + (1 << 15)] *= p
         return np.log10(product)
 
 
@@ -331,109 +352,178 @@ def group_short(counts: DataFrame) -> np.ndarray:
     return group
 
 
-def strings(training: DataFrame, group: np.ndarray, text_col: str = "text") -> DataFrame:
-    """key (as of stream()) and n of the training texts."""
+def strings(training: DataFrame, group: np.ndarray, parts: int, text_col: str = "text") -> DataFrame:
+    """Strings of the training texts and tables of them: kind, at, keys, n (arrays as binaries).
+
+    kind 0: strings (as of stream()) and how often they occur, each once; kind 1: five-byte strings and how often they
+    occur in a part, by groups `at`; kind 2: slice `at` of the word table, packed. The strings are dealt to `parts`
+    tasks by slice, so that a slice is made by one task; they travel as arrays and not as rows.
+    """
+    buckets = min(MOST, 4 * parts)
+    bounds = np.arange(1, buckets, dtype=np.uint64) * np.uint64(MOST) // np.uint64(buckets) << np.uint64(64 - SLICE_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []  # counted by parts, then together
         for _, raw, at in pieces(batches, text_col, 3 << 20):
             held.append(_counted(_streams(raw, at, group)))
             if sum(len(n) for _, n in held) > HELD:
-                yield count(held)
+                yield from dealt(*_folded(held))
         if held:
-            yield count(held)
+            yield from dealt(*_folded(held))
+
+    def dealt(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(key.view(np.uint64))
+        key, n = key[order], n[order]
+        yield from _arrays(0, np.arange(buckets), key, n, np.r_[0, np.searchsorted(key.view(np.uint64), bounds), len(key)])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, least = [], 0, 1 << 20
+        for b in batches:
+            for pair in _read(b):
+                held.append(pair)
+                rows += len(pair[0])
+                if rows > least:
+                    held = [_folded(held)]
+                    rows = len(held[0][0])
+                    least = max(least, 2 * rows)
+        if not held:
+            return
+        key, n = _folded(held)
+        order = np.argsort(key.view(np.uint64))  # the same order in each run
+        key, n = key[order], n[order]
+        edges = np.r_[0 : len(key) : STRETCH, len(key)]
+        yield from _arrays(0, np.zeros(len(edges) - 1, np.int64), key, n, edges)
+        five, often = _folded([(key & LOW, n)])
+        own = (mix64(five.view(np.uint64) >> np.uint64(8) & np.uint64(0xFFFF)) % np.uint64(FIVES)).astype(np.int64)
+        order = np.argsort(own, kind="stable")
+        yield from _arrays(1, np.arange(FIVES), five[order], often[order], np.searchsorted(own[order], np.arange(FIVES + 1)))
+        mine, place = np.unique(key.view(np.uint64) >> np.uint64(64 - SLICE_BITS), return_inverse=True)
+        table, n = np.zeros(2 * len(mine) * WIDE), n.astype(np.float64)
+        for bit in range(8):
+            np.add.at(table, (bit_of(key, bit) * len(mine) + place) * WIDE + (word_slots(key, bit) & WIDE - 1), n)
+        table, words = table.reshape(2, -1), np.zeros(len(mine) * WIDE, np.uint32)
+        used = np.flatnonzero(table.any(0))
+        words[used] = packed(*table[:, used])
+        yield from _arrays(2, mine.astype(np.int64), words, words[:0].astype(np.int64), np.arange(len(mine) + 1) * WIDE)
 
-    def count(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        codes, values = pd.factorize(np.concatenate([v for v, _ in held]))
-        n = np.bincount(codes, np.concatenate([n for _, n in held]), len(values)).astype(np.int64)
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], ["key", "n"])
+    schema = "kind byte, at long, keys binary, n binary"
+    rows = training.select(F.col(text_col)).mapInArrow(trimmed(run), schema).repartition(parts, "at")
+    return materialize(rows.mapInArrow(trimmed(build), schema), "strings")
 
-    rows = training.select(F.col(text_col)).mapInArrow(trimmed(run), "key long, n long")
-    return materialize(rows.groupBy("key").agg(F.sum("n").alias("n")), "strings")
 
+def _arrays(kind: int, at: np.ndarray, keys: np.ndarray, n: np.ndarray, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of strings()'s columns: for each `at` the keys and counts between two edges; none where there are none."""
+    for first in range(0, len(at), 64):
+        use = [k for k in range(first, min(first + 64, len(at))) if edges[k + 1] > edges[k]]
+        cut = [pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in use], pa.binary()) for x in (keys, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(use), kind, np.int8)), pa.array(at[use].astype(np.int64)), *cut], ["kind", "at", "keys", "n"])
 
-def _columns(batches: Iterator[pa.RecordBatch], stretch: int = 1 << 19, ordered: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The keys and counts of strings()'s rows."""
+    keys, n = (batch.column(batch.schema.get_field_index(c)) for c in ("keys", "n"))
+    for k, c in zip(keys, n, strict=True):
+        yield np.frombuffer(k.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.int64)
+
+
+def _folded(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts; empties the list."""
+    codes, values = pd.factorize(np.concatenate([v for v, _ in held]))
+    n = np.bincount(codes, np.concatenate([n for _, n in held]), len(values)).astype(np.int64)
+    held.clear()
+    return values, n
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The strings of a task with their counts, by long stretches, each in a fixed pseudorandom order."""
-    held: list[pa.RecordBatch] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def joined() -> tuple[np.ndarray, np.ndarray]:
-        grams, n = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+        grams, n = (np.concatenate([x[k] for x in held]) for k in (0, 1))
         held.clear()
-        order = np.argsort(mix64(grams.view(np.uint64))) if ordered else slice(None)
+        order = np.argsort(mix64(grams.view(np.uint64)))
         return grams[order], n[order]
 
     for b in batches:
-        held.append(b)
-        if sum(x.num_rows for x in held) >= stretch:
-            yield joined()
+        for pair in _read(b):
+            held.append(pair)
+            if sum(len(x) for x, _ in held) >= 1 << 19:
+                yield joined()
     if held:
         yield joined()
 
 
-def train(grams: DataFrame) -> tuple[Broadcast, np.ndarray | None, np.ndarray | None]:
-    """The model from strings(): its tables as a broadcast, weights, refining map.
-
-    Tables have a slot for each decision after a word that was met, 2**WORD_BITS[1] at most; so all parts are bounded.
+def byte_tables(made: DataFrame, parts: int = 16) -> np.ndarray:
+    """The packed table of byte contexts from strings().
 
-    The strings are dealt by the slice of the word table that they count in, so a slice is made by one task; the
-    tables of byte contexts are summed over tasks by slot.
+    Five-byte strings are dealt by the two bytes before the last, so that slots of the higher orders are met by one
+    task for the most part; the driver adds up what is left, which is bounded by the table's size times `parts`.
     """
-    spark = grams.sparkSession
-    dealt = grams.withColumn("slice", F.shiftrightunsigned("key", 58)).repartition(SLICES, "slice").select("key", "n")
-    met = grams.count()
-    bits, rounds = int(np.clip(np.ceil(np.log2(met * 16 + 1)), *WORD_BITS)), ROUNDS  # as many at every size
-    total, wide = int(OFFSET[-1]), (1 << bits) // SLICES
-
-    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower, slices = None, {}
-        for g, n in _columns(batches, ordered=False):
-            lower = np.zeros(2 * total, np.float32) if lower is None else lower
-            own, codes = _five(g)
-            times = np.bincount(codes, n, len(own)).astype(np.float32)
-            part, n = g.view(np.uint64) >> np.uint64(58), n.astype(np.float32)
+    total = int(OFFSET[-1])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        for b in batches:
+            own, n = _folded(list(_read(b)))
+            n = n.astype(np.float64)  # as the table, else add.at is slow
+            table = np.zeros(2 * total) if table is None else table
             for bit in range(8):
                 y = bit_of(own, bit) * total
                 for at in byte_slots(own, bit):
-                    np.add.at(lower, at + y, times)
-                y, word = bit_of(g, bit), word_slots(g, bit, wide)
-                for k in np.unique(part).tolist():
-                    mine = part == k
-                    np.add.at(slices.setdefault(k, np.zeros(2 * wide, np.float32)), y[mine] * wide + word[mine] - k * wide, n[mine])
-        if lower is not None:
-            lower = lower.reshape(2, total)
-            used = np.flatnonzero(lower.any(0))
+                    np.add.at(table, at + y, n)
+        if table is not None:
+            table = table.reshape(2, total)
+            used = np.flatnonzero(table.any(0))
             for k in range(0, len(used), 1 << 16):
                 u = used[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(lower[0, u].astype(np.float64)), pa.array(lower[1, u].astype(np.float64)), pa.nulls(len(u), pa.binary())], ["slot", "n0", "n1", "words"])
-            for k, x in slices.items():
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - k]), pa.array([0.0]), pa.array([0.0]), pa.array([packed(*x.reshape(2, -1)).tobytes()], pa.binary())], ["slot", "n0", "n1", "words"])
-
-    made = materialize(dealt.mapInArrow(trimmed(table), "slot long, n0 double, n1 double, words binary"), "tables")
-    bytes_, words = np.zeros(total, np.uint32), np.zeros(1 << bits, np.uint32)
-    sums = made.where("slot >= 0").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    bytes_[sums.column(0).to_numpy()] = packed(sums.column(1).to_numpy(), sums.column(2).to_numpy())
-    for row in made.where("slot < 0").select("slot", "words").toLocalIterator():
-        k = -1 - row["slot"]
-        words[k * wide : (k + 1) * wide] = np.frombuffer(bytes(row["words"]), np.uint32)
-    release(made)
-    shared = spark.sparkContext.broadcast((bytes_, words))
-    del sums, bytes_, words
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (u.astype(np.int32), table[0, u], table[1, u])], ["slots", "n0", "n1"])
+
+    dealt = made.where("kind = 1").repartition(parts, "at").select("keys", "n")
+    sums = np.zeros((2, total))
+    for row in materialize(dealt.mapInArrow(trimmed(count), "slots binary, n0 binary, n1 binary"), "bytes").toLocalIterator():
+        slots = np.frombuffer(bytes(row["slots"]), np.int32)
+        sums[0, slots] += np.frombuffer(bytes(row["n0"]))
+        sums[1, slots] += np.frombuffer(bytes(row["n1"]))
+    return packed(*sums)
+
+
+def train(made: DataFrame) -> tuple[Broadcast, np.ndarray | None, np.ndarray | None]:
+    """The model from strings(): its tables (of one size for any corpus) as a broadcast, weights, refining map.
+
+    Each task learns weights of its own; they are averaged by the curvature that they were learned from, first in
+    small groups of tasks.
+    """
+    spark = made.sparkSession
+    words = np.zeros(1 << WORD_BITS, np.uint32)
+    for row in made.where("kind = 2").select("at", "keys").toLocalIterator():
+        words[row["at"] * WIDE : (row["at"] + 1) * WIDE] = np.frombuffer(bytes(row["keys"]), np.uint32)
+    shared = spark.sparkContext.broadcast(Tables((byte_tables(made), words)))
+    del words
+    sizes = (GATES * (ORDERS + 1), GATES * (ORDERS + 1), 2 * 256 * STEPS)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, mass, seen = Model(shared.value), 0, np.zeros((2, 256 * STEPS))
+        own, seen, met = Model(shared.value), np.zeros((2, 256 * STEPS)), False
         for g, n in _columns(batches):
-            own.learn(g, n, seen, rounds)
-            mass += int(n.sum())
-        if mass:
-            yield pa.RecordBatch.from_arrays([pa.array([own.weights.tobytes()], pa.binary()), pa.array([float(mass)]), pa.array([seen.tobytes()], pa.binary())], ["weights", "n", "seen"])
-
-    learned = grams.coalesce(SLICES).mapInArrow(trimmed(weigh), "weights binary, n double, seen binary").collect()
-    if not learned:
+            own.learn(g, n, seen)
+            met = True
+        if met:
+            yield sums(np.concatenate([(own.weights * own.curve).ravel(), own.curve.ravel(), seen.ravel()]))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(x for b in batches for x in b.column(0).to_pylist())  # a fixed order of additions
+        if rows:
+            yield sums(np.sum([np.frombuffer(x) for x in rows], axis=0))
+
+    def sums(x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], ["sums"])
+
+    learned = materialize(made.where("kind = 0").select("keys", "n").mapInArrow(trimmed(weigh), "sums binary"), "learned")
+    rows = learned.repartition(16, F.xxhash64("sums")).mapInArrow(add, "sums binary").collect()
+    release(learned)
+    if not rows:
         return shared, None, None
-    learned = sorted((bytes(r["weights"]), r["n"], bytes(r["seen"])) for r in learned)
-    weights = np.average([np.frombuffer(w, np.float32).reshape(GATES, ORDERS + 1) for w, _, _ in learned], axis=0, weights=[n for _, n, _ in learned])
-    return shared, weights, Model.settled(np.sum([np.frombuffer(x).reshape(2, -1) for _, _, x in learned], axis=0))
+    weights, curve, seen = np.split(np.sum(sorted((np.frombuffer(bytes(r["sums"])) for r in rows), key=bytes), axis=0), np.cumsum(sizes)[:-1])
+    return shared, (weights / curve).reshape(GATES, ORDERS + 1), Model.settled(seen.reshape(2, -1))
 
 
 def frequent(counts: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -473,7 +563,7 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
     n, v = n + texts, v + (texts > 0)
     least, hot, often = frequent(counts)
     group = group_short(counts)
-    met = strings(docs.where(training), group, text_col)
+    met = strings(docs.where(training), group, int(np.clip(n // PART, 1, MOST)), text_col)
     tables, weights, refine = train(met)
     release(met)
     shared = spark.sparkContext.broadcast((hot, often))

@@ -243,17 +243,3 @@ def test_language_model(spark, mixed, empty):
     one = next(r for r in none if r["doc_id"] == 8)
     assert one["score"] == pytest.approx(32 * math.log10(0.5), rel=1e-3)  # three bytes and the end
     assert lm_score.lm_scores(empty, F.lit(True)).count() == 0
-
-
-def test_language_model_learns_in_as_many_rounds_at_every_size(spark):
-    assert lm_score.ROUNDS == 4  # rounds, not a number of strings to go through
-    text = "the cat sat on the mat and the dog sat by the cat"
-    docs = documents(spark, [(1, text, "s"), (2, text[::-1], "s")]).coalesce(1)
-    met = lm_score.strings(docs, np.full(lm_score.SHORT, -1)).coalesce(1)
-    shared, weights, _ = lm_score.train(met)
-    rows = met.toPandas()
-    g, n = rows["key"].to_numpy(), rows["n"].to_numpy()
-    order = np.argsort(lm_score.mix64(g.view(np.uint64)))
-    own = lm_score.Model(shared.value)
-    own.learn(g[order], n[order], np.zeros((2, 256 * lm_score.STEPS)), lm_score.ROUNDS)
-    assert np.allclose(weights, own.weights, atol=1e-5)
