@@ -1,16 +1,18 @@
 """WARC archives with a Zstandard dictionary, and de-duplication of payloads by revisit records.
 
-Every task writes archive files of its own: a leading skippable frame with a dictionary, which is trained on the
-task's first records, then one frame for each record, so that a record can be read alone. Files are written under
-another name and renamed when complete; the content of a task is put in a fixed order, so a task that is run again
-writes the same files. The shared folder may be a local (shared) path or any URI that pyarrow.fs knows.
+Every task writes archive files of its own: a leading skippable frame with a dictionary, which is trained on some of
+the task's records, then one frame for each record, so that a record can be read alone. Files are written under
+another name and renamed when complete; the content of a task is put in a fixed order, which goes by a hash, so that
+the records trained on are a spread sample and a task that is run again writes the same files. The shared folder may
+be a local (shared) path or any URI that pyarrow.fs knows; an archive that the driver can't see afterwards is an error.
 
-Of records with equal payloads (by SHA-256) of at least `least` bytes, the one with the smallest page_id is a
-response and the others are revisits that refer to it.
+Of records with equal payloads (by SHA-256) of at least `least` bytes, the one with the smallest page_id (then url)
+is a response and the others are revisits that refer to it. Records are told apart by page_id, url and digest, and
+copies of one row by their number, so nothing hangs on the order in which rows are read.
 
 Defined results: a null html is an empty payload, a null url leaves the target URI out; a null page_id is the
-largest; of repeated rows with the smallest page_id the first read is the response; an empty table gives no
-archive and no rows; further columns are not looked at.
+largest; of repeated rows with the smallest page_id and url one is the response; an empty table gives no archive and
+no rows; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -38,27 +40,51 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAME = "urn:quireflow:page:"
 
 
-def plan_records(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, html, row, digest, first (page_id and row of the response that a revisit refers to, else null)."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("digest", F.sha2("html", 256))
-    groups = rows.where(F.octet_length("html") >= least).groupBy(F.col("digest").alias("same")).agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"), F.count("*").alias("n"))
-    out = rows.join(groups.where("n > 1"), F.col("digest") == F.col("same"), "left")
-    other = F.col("first").isNotNull() & (F.col("row") != F.col("first.row"))
-    return out.select("page_id", "url", "html", "row", "digest", other.alias("revisit"), F.when(other, F.col("first.page_id")).alias("first_id"), F.when(other, F.col("first.row")).alias("first_row"))
+def plan_records(pages: DataFrame, least: int = LEAST, salts: int = 16) -> DataFrame:
+    """One row for each record: page_id, url, html, size (its bytes), digest, record, revisit, first_id, first_record.
 
-
-def record(page_id, url, html: str, row: int, digest: str, revisit: bool, first_id, first_row) -> bytes:
-    payload = html.encode("utf-8", "surrogatepass")
-    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{NAME}{page_id}:{row}>", f"WARC-Date: {DATE}"]
+    record: a name that tells records of a page_id apart; first_id, first_record: the response that a revisit refers
+    to. html is null for revisits. The payloads are shuffled once, those of one digest to `salts` tasks.
+    """
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html").cast("long"))
+    name = F.substring(F.md5(F.concat_ws(" ", F.coalesce(F.col("url"), F.lit("")), F.col("url").isNull().cast("string"), F.col("digest"))), 1, 16)
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("url").isNull().alias("bare"), "url")
+    groups = rows.where(F.col("size") >= least).groupBy(F.col("digest").alias("same")).agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    groups = groups.where("n > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).drop("n")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).repartition("digest", "salt")
+    each = salted.groupBy("digest", "salt", "page_id", "url").agg(F.first("html").alias("html"), F.first("size").alias("size"), F.count("*").alias("copies"))
+    out = each.join(groups, (F.col("digest") == F.col("same")) & (F.col("salt") == F.col("part")), "left")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    own = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
+    out = out.withColumn("revisit", F.when(F.col("size") < least, F.lit(False)).when(F.col("first").isNull(), F.col("copy") > 0).otherwise(~own | (F.col("copy") > 0)))
+    out = out.withColumn("record", F.concat_ws("-", name, F.col("copy").cast("string")))
+    first = F.coalesce("first", order)
+    out = out.withColumn("first_id", F.when(F.col("revisit"), first["page_id"])).withColumn("first_url", F.when(F.col("revisit"), first["url"]))
+    named = F.substring(F.md5(F.concat_ws(" ", F.coalesce(F.col("first_url"), F.lit("")), F.col("first_url").isNull().cast("string"), F.col("digest"))), 1, 16)
+    return out.select(
+        "page_id",
+        "url",
+        F.when(~F.col("revisit"), F.col("html")).alias("html"),
+        "size",
+        "digest",
+        "record",
+        "revisit",
+        "first_id",
+        F.when(F.col("revisit"), F.concat(named, F.lit("-0"))).alias("first_record"),
+    )
+
+
+def record(page_id, url, html: str | None, size: int, digest: str, name: str, revisit: bool, first_id, first_name) -> bytes:
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{NAME}{page_id}:{name}>", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + quote(url, safe="".join(map(chr, range(33, 127)))))
     head.append(f"WARC-Payload-Digest: sha256:{digest}")
     if revisit:
-        head += [f"WARC-Refers-To: <{NAME}{first_id}:{first_row}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: <{NAME}{first_id}:{first_name}>", f"WARC-Profile: {PROFILE}"]
     else:
-        block += payload
+        block += html.encode("utf-8", "surrogatepass")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -121,18 +147,20 @@ class _Store:
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> tuple[int, int]:
     """Writes the records of pages (page_id, url, html) below path; returns how many records and compressed bytes."""
-    rows = plan_records(pages, least).sortWithinPartitions(F.col("page_id").isNull(), "page_id", "row")
+    spark = pages.sparkSession
+    rows = plan_records(pages, least).sortWithinPartitions(F.xxhash64("page_id", "record"), "page_id", "record")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, store = TaskContext.get(), _Store(path)
         held: list[bytes] = []  # the first records, until there are enough for a dictionary
         frames: list[bytes] = []
-        state = {"size": 0, "file": 0, "held": 0, "records": 0, "bytes": 0}
+        state = {"size": 0, "file": 0, "held": 0, "records": 0, "bytes": 0, "files": 0}
         press = None
 
         def close() -> None:
             store.put(f"part-{task.partitionId():06d}-{state['file']:04d}.warc.zst", frames, task.taskAttemptId())
             state["bytes"] += sum(map(len, frames))
+            state["files"] += 1
             state["file"] += 1
             state["size"] = 0
             del frames[1:]
@@ -168,9 +196,15 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> tuple[int
                 add(y)
         if len(frames) > 1:
             close()
-        yield pa.RecordBatch.from_pydict({"records": [state["records"]], "bytes": [state["bytes"]]})
-
-    done = rows.mapInArrow(run, "records long, bytes long").agg(F.coalesce(F.sum("records"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        yield pa.RecordBatch.from_pydict({"records": [state["records"]], "bytes": [state["bytes"]], "files": [state["files"]]})
+
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    done = rows.mapInArrow(run, "records long, bytes long, files long").agg(total("records"), total("bytes"), total("files")).first()
+    if done[2]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*.warc.zst")
+        found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+        if found is None or len(found) < done[2]:
+            raise RuntimeError(f"{done[2]} archives were written, but not to a folder that the driver shares: {path}")
     return done[0], done[1]
 
 
@@ -207,7 +241,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     names = [x.split()[0] for x in schema.split(", ")]
 
     def page(name: str | None) -> int | None:
-        found = re.fullmatch(rf"<{NAME}(-?\d+|None):\d+>", name or "")
+        found = re.fullmatch(rf"<{NAME}(-?\d+|None):[0-9a-f]+-\d+>", name or "")
         return int(found[1]) if found and found[1] != "None" else None
 
     def row(fields: dict[str, str], block: bytes) -> tuple:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -137,6 +138,29 @@ def test_chat(spark):
     assert chat.read_back(chat.format_chats(turns.limit(0))).count() == 0
 
 
+def test_chat_windows_keep_to_the_budget(spark):
+    draw = random.Random(3)
+    rows = []
+    for c in range(60):
+        if c % 3:
+            rows.append((c, 0, "system", "rule " * draw.randint(0, 60)))
+        rows += [(c, k + 1, ("user", "assistant")[k % 2], "x" * draw.choice([0, 5, 40, 200, 700, 9000]) + " <s>" * draw.randint(0, 9)) for k in range(draw.randint(1, 30))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for budget, history, tokens in ((256, 2, 64), (512, 3, 100), (128, 0, 64)):
+        size = {}
+        for c, _, role, text in rows:  # tokens of the turns, by the formatted bytes
+            escaped = re.sub(chat.CONTROL, r"\1\\\2\3", text)
+            size.setdefault(c, []).append((role, -(-len(chat.OPEN + role + chat.MIDDLE + escaped + chat.CLOSE) // chat.BYTES)))
+        windows = chat.format_chats(turns, budget, history, tokens).collect()
+        for w in windows:
+            own = size[w["conv_id"]]
+            system = own[0][1] if own[0][0] == "system" else 0
+            assert len(w["formatted"]) <= chat.BYTES * max(budget, system + max(n for _, n in own))
+        back = {r["conv_id"]: [t["text"] for t in r["turns"]] for r in chat.read_back(chat.format_chats(turns, budget, history, tokens)).collect()}
+        assert all(back[c] == [r[3] for r in rows if r[0] == c] for c in size)
+        assert history == 0 or sum(w["context_turns"] > 1 for w in windows) > 10
+
+
 def test_warc(spark):
     body = "<html>" + "x" * 200
     rows = [(5, "http://a/ b\r\n", body), (3, None, body), (3, None, body), (None, "u", body), (6, "u", "tiny"), (7, "u", "tiny"), (8, "u", None), (9, "u", "é" * 300_000)]
@@ -162,9 +186,15 @@ def test_licenses(spark, mixed, empty):
 
 
 def test_licenses_beside_each_other_equal_sql(spark, tmp_path):
-    t = licenses.TEMPLATES
-    heads = [("reserved", "BSD-2-Clause"), ("MIT-notice", "ISC"), ("MIT-notice", "MPL-2.0"), ("CC-BY-NC-4.0-notice", "Apache-2.0")]
-    rows = [(100 * k + at, "word " * at + t[a] + " " + t[b], "s") for k, (a, b) in enumerate(heads) for at in (0, 1, 17, 31, 32, 45, 62, 63, 95)]
+    draw = random.Random(12)
+    t, rows = licenses.TEMPLATES, []
+    for a in t:  # all pairs, at several offsets, whole and with words replaced
+        for b in t:
+            for at in (0, 1, 7, 17, 31, 45, 62, 95):
+                body = (t[a] + " " + t[b]).split()
+                body = [w if draw.random() > 0.02 * (at % 3) else "zzz" for w in body]
+                rows.append((len(rows), " ".join(["word"] * at + body), "s"))
+    rows += [(None, t["MIT"], "s"), (None, None, "s"), (0, t["ISC"], "s"), (9_000, t["ISC"] + " " + t["ISC"], "s")]  # ids that repeat, ties
     docs = documents(spark, rows)
     docs.write.parquet(str(tmp_path / "documents"))
     con = duckdb.connect()
@@ -172,8 +202,10 @@ def test_licenses_beside_each_other_equal_sql(spark, tmp_path):
     found = con.execute(licenses.OP3_SQL)
     names = [d[0] for d in found.description]
     got = licenses.scan_licenses(docs).select(names).collect()
-    assert sorted(map(tuple, got)) == sorted(found.fetchall())
-    assert {(r["doc_id"], r["license"]) for r in got} >= {(100 * k + r[0] % 100, x) for k, pair in enumerate(heads) for r in rows if r[0] // 100 == k for x in pair}
+    assert sorted(map(tuple, got), key=repr) == sorted(found.fetchall(), key=repr)
+    pairs = {(r["doc_id"], r["license"]) for r in got}
+    whole = [(k, name) for k in range(0, len(t) ** 2 * 8, 8) for name in (list(t)[k // 8 // len(t)], list(t)[k // 8 % len(t)])]  # those at offset 0
+    assert pairs >= set(whole) and {(None, "MIT"), (0, "ISC"), (9_000, "ISC")} <= pairs
 
 
 def test_mix(spark, empty):
@@ -243,3 +275,35 @@ def test_language_model(spark, mixed, empty):
     one = next(r for r in none if r["doc_id"] == 8)
     assert one["score"] == pytest.approx(32 * math.log10(0.5), rel=1e-3)  # three bytes and the end
     assert lm_score.lm_scores(empty, F.lit(True)).count() == 0
+
+
+def test_warc_keeps_a_response_of_each_payload_in_any_order(spark):
+    rows = [(k % 40 or None, f"u{k % 3}" if k % 7 else None, f"{'x' * (90 + k % 20)}{k % 6}") for k in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for table in (pages.repartition(7, F.rand(3)), pages.orderBy(F.rand(4)).coalesce(3)):
+        path = shared_dir(spark)
+        assert warc.write_archives(table, path)[0] == len(rows)
+        got = warc.read_archives(spark, path, payloads=True).collect()
+        assert len({r["record_id"] for r in got}) == len(rows)
+        responses = {r["record_id"]: r for r in got if r["record_type"] == "response"}
+        want = {}
+        for i, _, html in rows:
+            want.setdefault(html, []).append(i)
+        by = {}
+        for r in got:
+            by.setdefault(r["payload_digest"], []).append(r)
+        for html, ids in want.items():
+            own = by[hashlib.sha256(html.encode()).hexdigest()]
+            assert sorted(map(str, ids)) == sorted(str(r["page_id"]) for r in own)
+            first = [r for r in own if r["record_type"] == "response"]
+            if len(html) < 100:
+                assert len(first) == len(own)
+                continue
+            assert [bytes(r["payload"]) for r in first] == [html.encode()]
+            assert first[0]["page_id"] == min((i for i in ids if i is not None), default=None)
+            assert all(responses[r["refers_to_id"]] is first[0] for r in own if r["record_type"] == "revisit")
+
+
+def test_warc_of_an_empty_table(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.write_archives(pages, shared_dir(spark)) == (0, 0)
