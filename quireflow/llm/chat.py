@@ -1,10 +1,13 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-Prefix sums of the turns' tokens choose the windows: a turn of more than half the budget stands alone, the others go
-by which half-budget stretch of the prefix sum they end in, so that a window's own turns never exceed the budget
-unless a single turn does. Every window begins with the conversation's system turn (its first turn, if that is one)
-and repeats up to `history` turns before it, as far as they fit in `history_tokens`. The loss mask covers the text of
-assistant turns where they are new; repeated turns and the system turn are context only.
+A turn's tokens are reckoned from its formatted bytes (`BYTES` to a token), so that they grow with its length. Every
+window begins with the conversation's system turn (its first turn, if that is one) and repeats up to `history` turns
+before it, as far as they fit in `history_tokens`; what the budget leaves beside these two is the room for a window's
+own turns. Prefix sums of the turns' tokens choose the windows: a turn of more than half the room stands alone, the
+others go by which half-room stretch of the prefix sum they end in, so that a window's own turns never exceed the room.
+A turn that is larger than the room has no history beside it; so a window exceeds the budget only where the system
+turn and one turn of its own do. The loss mask covers the text of assistant turns where they are new; repeated turns
+and the system turn are context only.
 
 Template: a turn is `<s>[INST] role [/INST] text</s>`. Inside roles and texts each control string gets a backslash
 after its first character (one more if it has some already), which unescape() takes away.
@@ -21,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, let
+from .common import let
 
-BUDGET, HISTORY, HISTORY_TOKENS = 1024, 2, 256
+BUDGET, HISTORY, HISTORY_TOKENS, BYTES = 1024, 2, 256, 4
 OPEN, MIDDLE, CLOSE = "<s>[INST] ", " [/INST] ", "</s>"
 #: What may not stand in a text as it is.
 CONTROL = r"(<|\[)(\\*)(/?s>|/?INST\])"
@@ -44,21 +47,24 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     turns: conv_id, turn, role, text. loss_spans: array of (start, length) in code points of formatted.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("n", (F.regexp_count("text", F.lit(WORD)) + F.regexp_count("role", F.lit(WORD)) + 3).cast("long"))
+    size = F.octet_length(escape(F.col("role"))) + F.octet_length(escape(F.col("text"))) + len(OPEN + MIDDLE + CLOSE)
+    rows = rows.withColumn("n", F.ceil(size / BYTES).cast("long"))
     order = W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    half = max(1, budget // 2)
+    first = F.first(F.struct("role", "text", "n")).over(order.rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("lead", first).withColumn("leads", F.col("lead.role") == "system")
+    room = F.lit(budget - (history_tokens if history else 0)) - F.when(F.col("leads"), F.col("lead.n")).otherwise(F.lit(0))
+    rows = rows.withColumn("room", F.greatest(room, F.lit(1))).withColumn("half", F.greatest(F.floor(F.col("room") / 2), F.lit(1)))
     rows = rows.withColumn("pos", F.row_number().over(order)).withColumn("upto", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("stretch", F.when(F.col("n") > half, -F.col("pos").cast("long")).otherwise(F.floor((F.col("upto") - 1) / half)))
+    rows = rows.withColumn("stretch", F.when(F.col("n") > F.col("half"), -F.col("pos").cast("long")).otherwise(F.floor((F.col("upto") - 1) / F.col("half"))))
     rows = rows.withColumn("starts", F.coalesce(F.col("stretch") != F.lag("stretch").over(order), F.lit(True)))
     rows = rows.withColumn("window", F.sum(F.col("starts").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    system = F.first(F.struct("role", "text")).over(order.rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("system", F.when(F.col("starts") & (F.col("pos") > 1) & (system["role"] == "system"), system))
-    rows = rows.withColumn("leads", F.first("role").over(order.rowsBetween(W.unboundedPreceding, 0)) == "system")
+    rows = rows.withColumn("system", F.when(F.col("starts") & (F.col("pos") > 1) & F.col("leads"), F.struct("lead.role", "lead.text")))
 
     def again(k: int) -> Column:
         """The window that starts k turns on and repeats this turn, else null."""
         span = F.lead("upto", k - 1).over(order) - F.col("upto") + F.col("n") if k > 1 else F.col("n")
         fits = F.lead("starts", k).over(order) & (span <= history_tokens) & ~(F.col("leads") & (F.col("pos") == 1))
+        fits = fits & (F.lead("n", k).over(order) <= F.col("room"))
         return F.when(fits, F.lead("window", k).over(order))
 
     rows = rows.withColumn("again", F.filter(F.array(*[again(k) for k in range(1, history + 1)]), lambda w: w.isNotNull()) if history else F.array().cast("array<bigint>"))
@@ -125,23 +131,25 @@ def digests(read: DataFrame) -> DataFrame:
     )
 
 
-_COUNT = r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))"
 _ESCAPE = r"regexp_replace({}, '(<|\[)(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')"
 OP1_SQL = f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
-), n AS (
-  SELECT *, {_COUNT.format("text")} + {_COUNT.format("role")} + 3 AS n, 20 + length({_ESCAPE.format("role")}) + length({_ESCAPE.format("text")}) + 3 AS chars FROM c
+), e AS (SELECT *, {_ESCAPE.format("role")} AS erole, {_ESCAPE.format("text")} AS etext FROM c),
+n AS (
+  SELECT *, (strlen(erole) + strlen(etext) + {len(OPEN + MIDDLE + CLOSE)} + {BYTES - 1}) // {BYTES} AS n, {len(OPEN + MIDDLE + CLOSE)} + length(erole) + length(etext) AS chars FROM e
 ), p AS (
   SELECT *, row_number() OVER o AS pos, sum(n) OVER (o ROWS UNBOUNDED PRECEDING) AS upto, first_value(role) OVER (o ROWS UNBOUNDED PRECEDING) = 'system' AS leads,
-    first_value(chars) OVER (o ROWS UNBOUNDED PRECEDING) AS first_chars
+    first_value(chars) OVER (o ROWS UNBOUNDED PRECEDING) AS first_chars, first_value(n) OVER (o ROWS UNBOUNDED PRECEDING) AS first_n
   FROM n WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
-), s AS (SELECT *, CASE WHEN n > {BUDGET // 2} THEN -pos ELSE (upto - 1) // {BUDGET // 2} END AS stretch FROM p),
+), q AS (SELECT *, greatest({BUDGET - HISTORY_TOKENS} - CASE WHEN leads THEN first_n ELSE 0 END, 1) AS room FROM p),
+s AS (SELECT *, CASE WHEN n > greatest(room // 2, 1) THEN -pos ELSE (upto - 1) // greatest(room // 2, 1) END AS stretch FROM q),
 w AS (
   SELECT *, coalesce(stretch <> lag(stretch) OVER o, true) AS starts FROM s WINDOW o AS (PARTITION BY conv_id ORDER BY pos)
 ), h AS (
-  SELECT *, lead(starts, 1) OVER o AND n <= {HISTORY_TOKENS} AS again1, lead(starts, 2) OVER o AND lead(upto, 1) OVER o - upto + n <= {HISTORY_TOKENS} AS again2
+  SELECT *, lead(starts, 1) OVER o AND n <= {HISTORY_TOKENS} AND lead(n, 1) OVER o <= room AS again1,
+    lead(starts, 2) OVER o AND lead(upto, 1) OVER o - upto + n <= {HISTORY_TOKENS} AND lead(n, 2) OVER o <= room AS again2
   FROM w WINDOW o AS (PARTITION BY conv_id ORDER BY pos)
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
