@@ -5,8 +5,9 @@ its own random code words, and every pair of code words is a direction. A vector
 whose inner product with it exceeds a bound, by sorted inner products and without looking at each pair. The bound is
 set from the dimension so that a vector passes `FILTERS` directions of each of `CODES` independent codes on average;
 vectors with a cosine of 0.95 then share about 40 % of them (at least 4 in 999 of 1000 random pairs at 0.951 in 64
-dimensions). Vectors are joined on filters and verified in double precision. At few dimensions (3 to 8, depending on the
-number of vectors) the caps are narrower than a cosine of 0.95 and most links are missed: not covered.
+dimensions). Vectors are joined on filters and verified in double precision. Up to `FEW` dimensions a block would be too
+small for evenly spread directions: there the code has one block, and only so many directions that caps stay wider than
+a cosine of `WIDEST`; in one or two dimensions all vectors of a length share one filter.
 
 Equal vectors are one class, compared once. A filter's members give a spanning forest of their verified links and not
 all pairs; links are counted afterwards in each component, in blocks of at most `BLOCK` classes, so that a large group
@@ -31,36 +32,45 @@ from pyspark.sql import functions as F
 from .components import components, reach
 from .common import materialize, trimmed
 
-COSINE, FILTERS, CODES, PARTS, BLOCK, DIRECT = 0.95, 12, 8, 2, 256, 2048
+COSINE, FILTERS, CODES, PARTS, BLOCK, DIRECT, FEW, WIDEST = 0.95, 12, 8, 2, 1024, 2048, 16, 0.85
 
 
 def cap_bound(dim: int, directions: float, filters: float) -> float:
     """The inner product that `filters` of so many random directions exceed on average."""
     x = np.linspace(-1, 1, 200_001)
     if dim < 3:
-        return 0.5
+        return -2.0
     density = np.exp(lgamma(dim / 2) - lgamma((dim - 1) / 2) - 0.5 * np.log(np.pi) + (dim - 3) / 2 * np.log(np.maximum(1 - x * x, 1e-300)))
     tail = np.cumsum(density[::-1])[::-1] * (x[1] - x[0])
     return float(x[np.searchsorted(-tail, -filters / directions)])
 
 
 class Code:
-    """The product code of a dimension: `size` code words in each of three blocks."""
+    """The product code of a dimension: `size` code words in each of its blocks (one block at few dimensions)."""
 
     def __init__(self, dim: int, size: int, seed: int = 11, filters: float = FILTERS):
         draw = np.random.default_rng([seed, dim, size])
+        parts = PARTS if dim > FEW else 1
+        if dim < 3:
+            size = 1
+        elif parts == 1:
+            size = min(size, 4096)
+            while size > 16 and cap_bound(dim, size, filters) > WIDEST:
+                size //= 2
         self.turn = np.linalg.qr(draw.normal(size=(dim, dim)))[0]
-        self.cuts = [dim * k // PARTS for k in range(PARTS + 1)]
+        self.cuts = [dim * k // parts for k in range(parts + 1)]
         self.words = []
         for a, b in zip(self.cuts, self.cuts[1:], strict=False):
-            w = draw.normal(size=(size, max(1, b - a)))[:, : b - a]
-            self.words.append(w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12) / PARTS**0.5)
-        self.size, self.bound = size, cap_bound(dim, size**PARTS, filters)
+            w = draw.normal(size=(size, b - a))
+            self.words.append(w / np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12) / parts**0.5)
+        self.size, self.bound = size, cap_bound(dim, size**parts, min(filters, size**parts))
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and filters of all (vector, direction) with an inner product of at least the bound."""
         v = unit @ self.turn
         s = [v[:, a:b] @ w.T for (a, b), w in zip(zip(self.cuts, self.cuts[1:], strict=False), self.words, strict=True)]
+        if len(s) == 1:
+            return np.nonzero(s[0] >= self.bound)
         order = np.argsort(-s[1], axis=1)
         last = np.take_along_axis(s[1], order, axis=1)
         rows, found = [], []
@@ -131,8 +141,9 @@ def find_links(classes: DataFrame, size: int, cosine: float = COSINE) -> DataFra
         codes: dict[tuple[int, int], Code] = {}
         for whole in batches:
             for b in _by_length(whole, "vec"):
-                for k in range(0, b.num_rows, 4096):
-                    part = b.slice(k, 4096)
+                step = max(16, (1 << 22) // size)  # bounds the inner products held at once
+                for k in range(0, b.num_rows, step):
+                    part = b.slice(k, step)
                     unit = _matrix(part.column(1))
                     dim = unit.shape[1]
                     for c in range(CODES):
