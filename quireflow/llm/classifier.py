@@ -173,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in features(raw, at, names.value)], pa.binary())], ["id", "y", "x"])
 
     known = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), F.col("id") == chosen["doc_id"]).select("id", "y", "text")
-    rows = sorted(known.mapInArrow(trimmed(pool), "id long, y int, x binary").collect())
+    pooled = known.mapInArrow(trimmed(pool), "id long, y int, x binary")
+    rows = sorted(pooled.groupBy("id", "y").agg(F.min("x").alias("x")).collect())  # one row for an id that is repeated
     if not rows:
         return table, None
     x = np.stack([np.frombuffer(bytes(r["x"]), np.float32) for r in rows]).astype(np.float64)
