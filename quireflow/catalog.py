@@ -46,7 +46,7 @@ def report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- parts of the SQL ---------------------------------------------------------------------------------------------
 
 MD_TYPE = r"""CASE WHEN starts_with(trim({t}), '#') THEN 'heading' WHEN starts_with(trim({t}), '$$') OR starts_with(trim({t}), '\[') THEN 'equation'
-  WHEN starts_with(trim({t}), '```') THEN 'code' WHEN starts_with(trim({t}), '|') THEN 'table' WHEN starts_with(trim({t}), '![') THEN 'figure'
+  WHEN starts_with(trim({t}), '```') THEN 'code' WHEN starts_with(trim({t}), '|') AND contains(substr(trim({t}), 2), '|') THEN 'table' WHEN starts_with(trim({t}), '![') THEN 'figure'
   WHEN starts_with(trim({t}), '- ') OR starts_with(trim({t}), '* ') OR regexp_matches(trim({t}), '^\d+\.') THEN 'list' ELSE 'paragraph' END"""
 LINES = f"""raw AS (SELECT doc_id, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS idx, unnest(string_split(coalesce(text, ''), chr(10))) AS text FROM documents),
 lines AS (
@@ -65,23 +65,26 @@ REPORT = """report AS (
   UNION ALL SELECT p_partkey % 25, p_partkey * 6 + 1000005, p_size || '. item' FROM part
 )"""
 REGION_TYPE = r"""CASE WHEN trim({t}) = '' THEN 'paragraph' WHEN starts_with(trim({t}), '#') OR (length(trim({t})) < 80 AND regexp_matches(trim({t}), '^\p{{Lu}}') AND NOT ends_with(trim({t}), '.')) THEN 'heading'
-  WHEN regexp_matches(trim({t}), '[∑∫∏√∞≈≠≤≥±×÷∂∇∈∉⊂⊃∪∩αβ]') OR contains(trim({t}), '$$') OR contains(trim({t}), '\[') OR regexp_matches(trim({t}), '\\\\(frac|int|sum)') THEN 'equation'
+  WHEN regexp_matches(trim({t}), '[∑∫∂∇≈≠±∞αβγδεθλμσωπΣΔΩ]') OR contains(trim({t}), '$$') OR contains(trim({t}), '\[') OR regexp_matches(trim({t}), '\\\\(frac|int|sum)|E\s*=\s*mc') THEN 'equation'
   WHEN starts_with(trim({t}), '- ') OR starts_with(trim({t}), '* ') OR regexp_matches(trim({t}), '^\d+\.\s') THEN 'list' WHEN starts_with(trim({t}), '```') THEN 'code' ELSE 'paragraph' END"""
 REGIONS = f"""numbered AS (SELECT *, ((row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) - 1) // 5)::INT AS region FROM lines),
 regions AS (
   SELECT doc_id, page, region, {REGION_TYPE.format(t="first_text")} AS type, x0, y0, x1, y1, blocks
   FROM (SELECT doc_id, page, region, arg_min(text, ord) AS first_text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS blocks FROM numbered GROUP BY ALL)
 )"""
-BLOCK_MD = r"""CASE WHEN type IN ('header', 'footer') THEN NULL
-  WHEN type = 'heading' THEN repeat('#', CASE WHEN regexp_matches(trim(text), '^#{1,6}\s') THEN length(regexp_extract(trim(text), '^(#{1,6})\s', 1)) ELSE 2 END::INT) || ' ' || regexp_replace(trim(text), '^#{1,6}\s*', '')
-  WHEN type = 'equation' THEN CASE WHEN starts_with(trim(text), '$$') THEN trim(text) ELSE '$$' || chr(10) || trim(text) || chr(10) || '$$' END
-  WHEN type = 'code' THEN CASE WHEN starts_with(trim(text), '```') THEN text ELSE '```' || chr(10) || text || chr(10) || '```' END
-  WHEN type = 'caption' THEN '*' || trim(text) || '*' ELSE trim(text) END"""
+#: A block's clean text; NFKC stands in for by NFC, which is the same on the tables' texts.
+ARTEFACTS = r"""replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(replace({t}, chr(65533), '')), '[\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}\x{{feff}}\x{{ad}}]', '', 'g'), '(?i)<sup>\s*&(?:amp;)?\s*</sup>', '', 'g'), '(?i)<sup>\s*</sup>', '', 'g'), '(?i)<sub>\s*</sub>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')"""
+CLEAN = r"regexp_replace(regexp_replace({a}, '[ \t]{{{{2,}}}}', ' ', 'g'), '^\s+|\s+$', '', 'g')".format(a=ARTEFACTS)
+_T = CLEAN.format(t="text")
+BLOCK_MD = rf"""CASE WHEN type IN ('header', 'footer') THEN NULL
+  WHEN type = 'heading' THEN repeat('#', CASE WHEN regexp_matches({_T}, '^#{{1,6}}\s') THEN length(regexp_extract({_T}, '^(#{{1,6}})\s', 1)) ELSE 2 END::INT) || ' ' || regexp_replace({_T}, '^#{{1,6}}\s*', '')
+  WHEN type = 'equation' THEN CASE WHEN starts_with({_T}, '$$') AND ends_with({_T}, '$$') THEN {_T} ELSE '$$' || chr(10) || {_T} || chr(10) || '$$' END
+  WHEN type = 'code' THEN '```' || chr(10) || text || chr(10) || '```' WHEN type = 'caption' THEN '*' || {_T} || '*' ELSE {_T} END"""
 SIGNALS = r"""pages_ AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY ord) AS text FROM lines GROUP BY ALL),
 signals AS (
   SELECT doc_id, page, length(trim(text)) > 0 AS has_text, CASE WHEN length(trim(text)) > 0 THEN least(length(text) / 8000.0::DOUBLE, 1.0) ELSE 0.0 END AS density,
-    (len(regexp_extract_all(text, '\$')) >= 2 OR contains(text, '\begin{equation}') OR contains(text, '\begin{align}') OR contains(text, '\frac') OR contains(text, '\sum') OR contains(text, '\int')) AS equations,
-    len(list_filter(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '\|')) >= 2)) >= 3 AS tables, length(text) AS chars
+    (len(regexp_extract_all(text, '\$')) >= 2 OR len(list_filter(['\frac', '\int', '\sum', '\prod', '\lim', '\alpha', '\beta', '\gamma', '\delta', '\theta', '\partial', '\nabla', '\infty', '\sqrt'], lambda m: contains(text, m))) > 0) AS equations,
+    (len(list_filter(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '\|')) >= 2)) >= 3 OR len(list_filter(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '\t')) >= 2)) >= 3) AS tables, length(text) AS chars
   FROM pages_
 )"""
 
@@ -105,7 +108,7 @@ def classify_markdown(spark, d):
 
 
 @query(rf"""WITH {REPORT} SELECT doc_id, ord, CASE WHEN starts_with(text, '$$') OR starts_with(text, '\[') THEN 'equation' WHEN starts_with(text, '#') THEN 'heading'
-  WHEN starts_with(text, '|') THEN 'table' WHEN starts_with(text, '![') THEN 'figure' WHEN starts_with(text, '- ') OR starts_with(text, '* ') THEN 'list' ELSE 'paragraph' END AS type FROM report""")
+  WHEN starts_with(text, '|') AND contains(substr(text, 2), '|') THEN 'table' WHEN starts_with(text, '![') THEN 'figure' WHEN starts_with(text, '- ') OR starts_with(text, '* ') THEN 'list' ELSE 'paragraph' END AS type FROM report""")
 def classify_list_engine(spark, d):
     return report(spark, d).select("doc_id", "ord", classify.list_type(F.col("text")).alias("type"))
 
@@ -115,9 +118,43 @@ def classify_regions(spark, d):
     return report(spark, d).select("doc_id", "ord", classify.region_type(F.col("text")).alias("type"))
 
 
-@query(r"SELECT event_type, CASE event_type WHEN 'x' THEN 'paragraph' ELSE 'other' END AS type, count(*) AS n FROM events GROUP BY ALL")
+def _values(names) -> str:
+    return ", ".join("('" + "', '".join(x) + "')" for x in names)
+
+
+_NAMES = [*classify.ENGINE_TYPES, *classify.LABELS, "Section-Header", "list-item-marker", "pagefooter", "blob", "PAGE-HEADER", "text_figure", "other"]
+
+
+def _names(spark, d):
+    """Names of types by row, so that every known one and some unknown ones occur."""
+    names = F.array(*map(F.lit, _NAMES))
+    return table(spark, d, "events").select("event_id", F.get(names, F.pmod("event_id", F.lit(len(_NAMES))).cast("int")).alias("name"))
+
+
+_NAMES_SQL = f"names AS (SELECT event_id, {_NAMES}[event_id % {len(_NAMES)} + 1] AS name FROM events)"
+
+
+@query(f"""WITH {_NAMES_SQL}, known(name, type) AS (VALUES {_values(classify.ENGINE_TYPES.items())})
+SELECT event_id, n.name, coalesce(k.type, 'paragraph') AS type, CASE WHEN n.name IN ({", ".join(f"'{x}'" for x in classify.BLOCK_TYPES)}) THEN n.name ELSE 'other' END AS adapted FROM names n LEFT JOIN known k ON k.name = lower(n.name)""")
 def classify_engine_types(spark, d):
-    return table(spark, d, "events").groupBy("event_type", classify.engine_type(F.col("event_type")).alias("type")).agg(F.count("*").alias("n"))
+    own = _names(spark, d)
+    return own.select("event_id", "name", classify.engine_type(F.col("name")).alias("type"), classify.adapted_type(F.col("name")).alias("adapted"))
+
+
+@query(f"""WITH {_NAMES_SQL}, known(part, type, k) AS (VALUES {", ".join(f"('{p}', '{t}', {k})" for k, (p, t) in enumerate(classify.LABELS.items()))})
+SELECT event_id, coalesce((SELECT arg_min(type, k) FROM known WHERE contains(replace(lower(name), '-', '_'), part)), 'paragraph') AS type FROM names""")
+def classify_labels(spark, d):
+    return _names(spark, d).select("event_id", classify.label_type(F.col("name")).alias("type"))
+
+
+@query(rf"""WITH {REPORT}, t AS (SELECT doc_id, ord, text, ['text', 'image', 'interline_equation', 'table', NULL][(ord % 5 + 1)::INT] AS kind FROM report)
+SELECT doc_id, ord, CASE coalesce(kind, 'text') WHEN 'image' THEN 'figure' WHEN 'interline_equation' THEN 'equation' WHEN 'table' THEN 'table' ELSE
+  CASE WHEN starts_with(text, '$$') OR starts_with(text, '\[') THEN 'equation' WHEN starts_with(text, '#') THEN 'heading' WHEN starts_with(text, '|') AND contains(substr(text, 2), '|') THEN 'table' WHEN starts_with(text, '![') THEN 'figure'
+  WHEN starts_with(text, '- ') OR starts_with(text, '* ') THEN 'list' ELSE 'paragraph' END END AS type FROM t""")
+def classify_content_list(spark, d):
+    kinds = F.array(*map(F.lit, ["text", "image", "interline_equation", "table", None]))
+    own = report(spark, d).withColumn("kind", F.get(kinds, (F.col("ord") % 5).cast("int")))
+    return own.select("doc_id", "ord", classify.content_type(F.col("kind"), F.col("text")).alias("type"))
 
 
 @query(rf"""WITH {REPORT} SELECT doc_id, ord, 'h' || CASE WHEN regexp_matches(text, '^#{{1,6}}\s') THEN length(regexp_extract(text, '^(#{{1,6}})\s', 1)) ELSE 2 END AS level, regexp_replace(text, '^#{{1,6}}\s*', '') AS title FROM report""")
@@ -125,9 +162,9 @@ def heading_levels(spark, d):
     return report(spark, d).select("doc_id", "ord", tx.heading_level(F.col("text")).alias("level"), tx.heading_text(F.col("text")).alias("title"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '\$')) >= 2 OR len(list_filter(['\begin{equation}', '\begin{align}', '\frac', '\sum', '\int', '\prod', '\sqrt', '\alpha', '\beta', '\gamma', '\theta', '\lambda', '\partial', '\infty'], lambda m: contains(text, m))) > 0 AS equations,
-  len(list_filter(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '\|')) >= 2)) >= 3 AS tables,
-  regexp_matches(text, '[∑∫∏√∞≈≠≤≥±×÷∂∇∈∉⊂⊃∪∩αβ]') OR contains(text, '$$') OR contains(text, '\[') OR regexp_matches(text, '\\\\(frac|int|sum)') AS math FROM documents""")
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '\$')) >= 2 OR len(list_filter(['\frac', '\int', '\sum', '\prod', '\lim', '\alpha', '\beta', '\gamma', '\delta', '\theta', '\partial', '\nabla', '\infty', '\sqrt'], lambda m: contains(text, m))) > 0 AS equations,
+  (len(list_filter(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '\|')) >= 2)) >= 3 OR len(list_filter(string_split(text, chr(10)), lambda x: len(regexp_extract_all(x, '\t')) >= 2)) >= 3) AS tables,
+  regexp_matches(text, '[∑∫∂∇≈≠±∞αβγδεθλμσωπΣΔΩ]') OR contains(text, '$$') OR contains(text, '\[') OR regexp_matches(text, '\\\\(frac|int|sum)|E\s*=\s*mc') AS math FROM documents""")
 def text_signals(spark, d):
     t = F.col("text")
     return docs(spark, d).select("doc_id", tx.has_equation(t).alias("equations"), tx.has_table(t).alias("tables"), tx.has_math(t).alias("math"))
@@ -171,7 +208,7 @@ def safe_names(spark, d):
     return table(spark, d, "pages").select("page_id", tx.safe_name(F.col("url")).alias("name"))
 
 
-@query(r"""SELECT conv_id, turn, length(text) >= 10 AND len(regexp_split_to_array(trim(text), '\s+')) >= 3 AND NOT (starts_with(lower(text), 'i cannot') OR starts_with(lower(text), 'i can''t') OR starts_with(lower(text), 'i''m sorry') OR starts_with(lower(text), 'as an ai')) AS ok FROM conversations""")
+@query(r"""SELECT conv_id, turn, length(text) >= 10 AND len(regexp_extract_all(text, '\S+')) >= 3 AND NOT (starts_with(lower(text), 'i cannot') OR starts_with(lower(text), 'i can''t') OR starts_with(lower(text), 'sorry') OR starts_with(lower(text), 'as an ai')) AS ok FROM conversations""")
 def captions_ok(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tx.caption_ok(F.col("text")).alias("ok"))
 
@@ -181,11 +218,11 @@ def captions_ok(spark, d):
 
 @query(f"WITH {LINES}, {SIGNALS} SELECT doc_id, page, has_text, density, equations, tables, chars FROM signals")
 def page_signals(spark, d):
-    return relations.page_signals(docs(spark, d)).drop("language")
+    return relations.page_signals(docs(spark, d)).drop("language", "columns")
 
 
 @query(f"""WITH {LINES}, {SIGNALS}, p AS (
-  SELECT doc_id, count(*) AS pages, bool_or(equations) AS math, bool_or(tables) AS tables, count(*) FILTER (NOT has_text) > 0.5 * count(*) AS scanned FROM signals GROUP BY doc_id)
+  SELECT doc_id, count(*) AS pages, bool_or(equations) AS math, bool_or(tables) AS tables, count(*) FILTER (NOT has_text) > 0.5 * count(*) AS scanned, false AS multi_column FROM signals GROUP BY doc_id)
 SELECT *, CASE WHEN math AND tables THEN 'academic' WHEN tables THEN 'tabular' WHEN math THEN 'scientific' WHEN scanned THEN 'scanned' ELSE 'text-heavy' END AS dominant FROM p""")
 def document_profiles(spark, d):
     return profile.document_profile(relations.page_signals(docs(spark, d))).drop("complexity")
@@ -207,7 +244,7 @@ def page_regions(spark, d):
 
 
 @query(f"""WITH {LINES}, {REGIONS} SELECT doc_id, page, round(greatest(0.0, least(1.0, least(1.0, 0.08::DOUBLE * count(*)) + CASE WHEN bool_or(type IN ('table', 'figure')) THEN 0.12::DOUBLE ELSE 0.0 END
-  - least(0.4::DOUBLE, 0.05::DOUBLE * count(*) FILTER (x1 <= x0 OR y1 <= y0 OR x1 > 612 OR y1 > 1000)))), 6) AS quality FROM regions GROUP BY ALL""")
+  - least(0.4::DOUBLE, 0.05::DOUBLE * count(*) FILTER (x0 < -10 OR y0 < -10 OR x1 > 622 OR y1 > 1010 OR x1 <= x0 OR y1 <= y0)))), 6) AS quality FROM regions GROUP BY ALL""")
 def layout_quality(spark, d):
     return profile.layout_quality(relations.regions(lines(spark, d)))
 
@@ -219,7 +256,7 @@ def _chains_sql(gpu: bool) -> str:
     rows = []
     for kind, chain in route.CHAINS.items():
         own = [p for p in chain if gpu or p not in route.GPU] or chain
-        rows += [f"('{kind}', {k}, '{p}', {route.SCORES[p][classify.BLOCK_TYPES.index(kind)]}::DOUBLE)" for k, p in enumerate(own)]
+        rows += [f"('{kind}', {k}, '{p}', {route.SCORES[p][kind]}::DOUBLE)" for k, p in enumerate(own)]
     return f"chains(type, pos, provider, score) AS (VALUES {', '.join(rows)}), best AS (SELECT type, arg_max(provider, score * 100 - pos * 0.001) AS best, max(score) AS score, string_agg(provider, ',' ORDER BY pos) AS chain FROM chains GROUP BY type)"
 
 
@@ -303,14 +340,14 @@ def reading_order(spark, d):
     return merge.reading_order(merge.drop_overlapping(_blocks(spark, d))).select("doc_id", "page", "provider", "ord", "reading_order")
 
 
-@query(f"WITH {LINES}, md AS (SELECT doc_id, page, ord, {BLOCK_MD} AS md FROM lines) SELECT doc_id, page, string_agg(md, chr(10) || chr(10) ORDER BY ord) AS markdown FROM md WHERE trim(coalesce(md, '')) <> '' GROUP BY ALL")
+@query(f"WITH {LINES}, md AS (SELECT doc_id, page, ord, {BLOCK_MD} AS md FROM lines) SELECT doc_id, page, string_agg(md, chr(10) || chr(10) ORDER BY ord) || chr(10) AS markdown FROM md WHERE coalesce(md, '') <> '' GROUP BY ALL")
 def page_markdown(spark, d):
     return convert.convert_lines(docs(spark, d))
 
 
 @query()
-def convert_documents(spark, d):
-    return render.document_markdown(convert.convert_pages(docs(spark, d)))
+def converted_pages(spark, d):
+    return convert.convert_pages(docs(spark, d))
 
 
 @query(f"WITH {REPORT}, t AS (SELECT *, {MD_TYPE.format(t='text')} AS type FROM report) SELECT doc_id, ord, {BLOCK_MD} AS markdown FROM t")
@@ -319,7 +356,7 @@ def render_report(spark, d):
 
 
 @query("""SELECT p_partkey, CASE WHEN body = '' THEN '[Gorsel: ' || p_name || ']' ELSE body END AS markdown FROM (
-  SELECT *, concat_ws(chr(10), CASE WHEN p_size % 3 > 0 THEN '![' || p_name || '](p.png)' END,
+  SELECT *, concat_ws(chr(10) || chr(10), CASE WHEN p_size % 3 > 0 THEN '![' || p_name || '](p.png)' END,
     CASE WHEN p_size % 2 = 0 THEN '*' || p_type || '*' WHEN p_size % 5 = 0 THEN '*[Figure context: ' || p_brand || ']*' END) AS body FROM part)""")
 def render_figures(spark, d):
     size = F.col("p_size")
@@ -327,12 +364,30 @@ def render_figures(spark, d):
     return table(spark, d, "part").select("p_partkey", figure.alias("markdown"))
 
 
-@query(rf"""WITH {LINES}, m AS (SELECT *, trim(lag(text) OVER w) AS b FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
-j AS (SELECT *, coalesce(b <> '' AND NOT regexp_matches(b, '[:.!?|]$') AND regexp_matches(trim(text), '^\p{{Ll}}'), false) AS joins FROM m),
-l AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ord)::BIGINT AS line FROM j)
-SELECT doc_id, line, string_agg(trim(text), ' ' ORDER BY ord) AS text FROM l GROUP BY ALL""")
+_FIXED = r"""regexp_replace(regexp_replace(regexp_replace({t}, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10)"""
+_JOIN = r"regexp_replace({t}, '([^\n:.!?|])[^\S\n]*\n[^\S\n]*(\p{{Ll}})', '\1 \2', 'g')"
+
+
+@query(f"SELECT doc_id, {_JOIN.format(t=_JOIN.format(t=_FIXED.format(t='text')))} AS text FROM documents")
 def join_broken_lines(spark, d):
-    return render.join_broken_lines(lines(spark, d).select("doc_id", "ord", "text"))
+    return docs(spark, d).select("doc_id", tx.merge_broken_sentences(tx.fix_whitespace(F.col("text"))).alias("text"))
+
+
+def _beautified(source: str, text: str) -> str:
+    """CTEs that end in beauty (doc_id, markdown) of a relation's texts."""
+    joined = _JOIN.format(t=_JOIN.format(t=_FIXED.format(t=ARTEFACTS.format(t=text))))
+    return rf"""bt AS (SELECT doc_id, {joined} AS t FROM {source}),
+bl AS (SELECT doc_id, unnest(range(len(string_split(t, chr(10))))) AS ord, unnest(string_split(t, chr(10))) AS line FROM bt),
+bh AS (SELECT *, CASE WHEN regexp_matches(line || chr(10), '^#{{1,6}}\s') THEN length(regexp_extract(line || chr(10), '^(#{{1,6}})\s', 1)) END AS level FROM bl),
+bc AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY ord) AS rn FROM bh),
+bm AS (SELECT *, min(level - rn) OVER (PARTITION BY doc_id ORDER BY ord) + rn AS clamped FROM bc),
+bj AS (SELECT doc_id, string_agg(CASE WHEN level IS NULL THEN line ELSE repeat('#', clamped::INT) || substr(line, level + 1) END, chr(10) ORDER BY ord) AS t FROM bm GROUP BY doc_id),
+beauty AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\$\s+', '$ ', 'g'), '\s+\$', ' $', 'g') AS markdown FROM bj)"""
+
+
+@query(f"WITH {_beautified('documents', 'text')} SELECT doc_id, markdown FROM beauty")
+def beautified(spark, d):
+    return render.beautify(docs(spark, d).select("doc_id", F.col("text").alias("markdown")))
 
 
 @query(rf"""WITH {REPORT}, h AS (SELECT doc_id, ord, length(regexp_extract(text, '^(#{{1,6}})\s', 1)) AS level, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rn FROM report WHERE regexp_matches(text, '^#{{1,6}}\s'))
@@ -444,12 +499,23 @@ def previews(spark, d):
     return own.select("doc_id", "page", "ord", F.substring("text", 1, 80).alias("preview"))
 
 
-@query(r"""WITH p AS (SELECT a.doc_id, a.text AS x, b.text AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
-SELECT doc_id, CASE WHEN greatest(length(x), length(y)) = 0 THEN 1.0 ELSE len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: x[i] = y[i])) / greatest(length(x), length(y)) END AS fidelity FROM p""")
+@query(r"""WITH p AS (SELECT a.doc_id, a.text AS x, b.text AS y, trim(regexp_replace(a.text, '\s+', ' ', 'g')) AS u, trim(regexp_replace(b.text, '\s+', ' ', 'g')) AS v,
+  list_filter(string_split(a.text, chr(10)), lambda l: regexp_matches(l, '\S')) AS la, list_filter(string_split(b.text, chr(10)), lambda l: regexp_matches(l, '\S')) AS lb FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+n AS (SELECT *, len(regexp_extract_all(x, '\|')) AS bx, len(regexp_extract_all(y, '\|')) AS by_, len(regexp_extract_all(x, '(?s)\$\$.*?\$\$|\$.*?\$')) AS ex, len(regexp_extract_all(y, '(?s)\$\$.*?\$\$|\$.*?\$')) AS ey FROM p)
+SELECT doc_id, CASE WHEN y = '' THEN 0.0::DOUBLE WHEN u = v THEN 1.0 ELSE len(list_filter(range(1, least(length(u), length(v)) + 1), lambda i: u[i] = v[i])) / greatest(length(v), 1) END AS fidelity,
+  CASE WHEN len(lb) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(range(1, least(len(la), len(lb)) + 1), lambda i: la[i] = lb[i])) / len(lb) END AS line_order,
+  CASE WHEN by_ = 0 THEN (bx = 0)::INT::DOUBLE ELSE least(bx, by_) / greatest(bx, by_) END AS tables, CASE WHEN ey = 0 THEN (ex = 0)::INT::DOUBLE ELSE least(ex, ey) / greatest(ex, ey) END AS equations FROM n""")
 def markdown_fidelity(spark, d):
     a = docs(spark, d)
     b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    return a.join(b, "doc_id").select("doc_id", metrics.character_fidelity(F.col("text"), F.col("other")).alias("fidelity"))
+    x, y = F.col("text"), F.col("other")
+    return a.join(b, "doc_id").select(
+        "doc_id",
+        metrics.character_fidelity(x, y).alias("fidelity"),
+        metrics.line_order(x, y).alias("line_order"),
+        metrics.count_ratio(x, y, metrics.BARS).alias("tables"),
+        metrics.count_ratio(x, y, metrics.FORMULAS).alias("equations"),
+    )
 
 
 @query("""WITH RECURSIVE nodes(name) AS (VALUES ('ocr'), ('layout'), ('table'), ('text'), ('merge')), edges(src, dst) AS (VALUES ('ocr', 'layout'), ('layout', 'table'), ('layout', 'text'), ('table', 'merge'), ('text', 'merge')),
@@ -518,7 +584,7 @@ def keyword_lists(spark, d):
     return table(spark, d, "part").select("p_partkey", F.explode(tx.keywords(F.concat_ws(", ,", "p_name", "p_type"))).alias("keyword"))
 
 
-@query(f"""WITH {LINES}, h AS (SELECT doc_id, ord, regexp_extract(text, '((?i:figure|fig|diagram|illustration|schematic|sekil|şekil)\\.?\\s*\\d+[.-]?\\d*)', 1) AS reference FROM lines) SELECT * FROM h""")
+@query(f"""WITH {LINES}, h AS (SELECT doc_id, ord, regexp_extract(text, '((?i:Figure|Fig\\.?|Diagram|Chart|Illustration|Schematic)\\s*\\d+[.-]?\\d*)', 1) AS reference FROM lines) SELECT * FROM h""")
 def figure_references(spark, d):
     return lines(spark, d).select("doc_id", "ord", tx.figure_reference(F.col("text")).alias("reference"))
 
@@ -547,13 +613,14 @@ def versions(spark, d):
     return table(spark, d, "part").select("p_partkey", models.version_at_least(v, F.lit("2.5")).alias("recent"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN false ELSE s_acctbal >= 2000 OR (s_suppkey % 3 = 1 AND s_acctbal > 0) END AS use_gpu, CASE WHEN s_nationkey < 10 THEN 1 ELSE 4 END AS batch FROM supplier")
+@query("SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN false WHEN 1 THEN s_acctbal >= 0 ELSE s_acctbal >= 2000 END AS use_gpu, CASE WHEN s_nationkey < 10 THEN 1 ELSE 4 END AS batch FROM supplier")
 def memory_decisions(spark, d):
     mode = F.element_at(F.array(F.lit("cpu_only"), F.lit("gpu_preferred"), F.lit("auto")), (F.col("s_suppkey") % 3 + 1).cast("int"))
-    return table(spark, d, "supplier").select("s_suppkey", models.memory_decision(mode, F.col("s_acctbal"), F.col("s_nationkey"), 2000, 10).alias("m")).select("s_suppkey", "m.*")
+    return table(spark, d, "supplier").select("s_suppkey", models.memory_decision(mode, F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")), F.col("s_nationkey"), 2000, 10).alias("m")).select("s_suppkey", "m.*")
 
 
-@query("SELECT doc_id, 'Describe this figure in ' || CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' ELSE 'English' END || '. Context: ' || substr(text, 1, 200) AS prompt FROM documents")
+@query(f"""SELECT doc_id, replace('{models.PROMPT}', '{{language}}', CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' WHEN 'it' THEN 'Italian' WHEN 'tr' THEN 'Turkish' ELSE 'English' END)
+  || CASE WHEN coalesce(text, '') <> '' THEN chr(10) || chr(10) || 'Existing caption hint: ' || substr(text, 1, 200) ELSE '' END AS prompt FROM documents""")
 def caption_prompts(spark, d):
     return docs(spark, d).select("doc_id", models.caption_prompt(F.col("lang"), F.col("text")).alias("prompt"))
 
@@ -584,7 +651,8 @@ def review_actions(spark, d):
 @query("SELECT event_id, ts FROM events WHERE ts > (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
 def updates_since(spark, d):
     own = table(spark, d, "events").select("event_id", "ts")
-    return progress.updates_since(own, F.lit(own.agg(F.max("ts")).first()[0]) - F.expr("INTERVAL 1 DAY"))
+    since = own.agg(F.max("ts") - F.expr("INTERVAL 1 DAY")).scalar()  # found when the plan runs
+    return progress.updates_since(own, since)
 
 
 @query("""SELECT user_id AS job, arg_min(event_type, event_id) FILTER (value > 50) AS provider, count(*) AS tries, CASE WHEN count(*) FILTER (value > 50) = 0 THEN arg_max(event_type, event_id) END AS error FROM events GROUP BY user_id""")
@@ -706,7 +774,7 @@ def dominant_blocks(spark, d):
     return s.select("doc_id", "page", classify.dominant_block_type(F.col("equations"), F.col("tables"), F.col("density"), F.col("has_text")).alias("type"))
 
 
-@query(f"WITH {LINES}, md AS (SELECT doc_id, page, ord, {BLOCK_MD} AS md FROM lines), p AS (SELECT doc_id, page, string_agg(md, chr(10) || chr(10) ORDER BY ord) AS m FROM md WHERE trim(coalesce(md, '')) <> '' GROUP BY ALL) SELECT doc_id, count(*) AS pages, string_agg(m, chr(10) || '---' || chr(10) || chr(10) ORDER BY page) AS markdown FROM p GROUP BY doc_id")
+@query(f"WITH {LINES}, md AS (SELECT doc_id, page, ord, {BLOCK_MD} AS md FROM lines), p AS (SELECT doc_id, page, string_agg(md, chr(10) || chr(10) ORDER BY ord) || chr(10) AS m FROM md WHERE coalesce(md, '') <> '' GROUP BY ALL) SELECT doc_id, count(*) AS pages, string_agg(m, chr(10) || '---' || chr(10) || chr(10) ORDER BY page) AS markdown FROM p GROUP BY doc_id")
 def document_markdown(spark, d):
     return render.document_markdown(convert.convert_lines(docs(spark, d)))
 
@@ -736,5 +804,114 @@ def first_long_text(spark, d):
     return layout.first_success_text(both).select("doc_id", "provider", F.length("text").alias("chars"))
 
 
+# --- further rules ------------------------------------------------------------------------------------------------
+
+
+@query("""WITH b AS (SELECT user_id AS doc_id, (event_id % 7)::INT AS page, (event_id * 37 % 600)::DOUBLE AS x0 FROM events), c AS (SELECT *, (x0 + x0 + 12) / 2 / 612 AS centre FROM b)
+SELECT doc_id, page, CASE WHEN count(*) >= 4 AND count(*) FILTER (centre < 0.4) > 0.3::DOUBLE * count(*) AND count(*) FILTER (centre > 0.6) > 0.3::DOUBLE * count(*) THEN 2 ELSE 1 END AS columns FROM c GROUP BY ALL""")
+def page_columns(spark, d):
+    x0 = (F.col("event_id") * 37 % 600).cast("double")
+    shape = F.struct(x0.alias("x0"), F.lit(0.0).alias("y0"), (x0 + 12).alias("x1"), F.lit(10.0).alias("y1"))
+    return profile.column_estimate(table(spark, d, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 7).cast("int").alias("page"), shape.alias("box")), 612.0)
+
+
+@query("""WITH s AS (SELECT user_id AS doc_id, event_id % 5 = 0 AND user_id % 4 = 0 AS equations, event_id % 3 = 0 AND user_id % 3 = 0 AS tables, event_id % 4 > user_id % 5 AS has_text, (event_id % 50)::DOUBLE / 100 AS density, CASE WHEN event_id % 6 = 0 AND user_id % 7 < 3 THEN 2 WHEN event_id % 11 > 0 THEN 1 END AS columns FROM events),
+p AS (SELECT doc_id, count(*) AS pages, bool_or(equations) AS math, bool_or(tables) AS tables, count(*) FILTER (NOT has_text) > 0.5 * count(*) AS scanned, bool_or(coalesce(columns, 1) > 1) AS multi_column,
+  least(sum((density + CASE WHEN equations THEN 0.2::DOUBLE ELSE 0.0 END + CASE WHEN tables THEN 0.2::DOUBLE ELSE 0.0 END + CASE WHEN columns > 1 THEN 0.1::DOUBLE ELSE 0.0 END)::DECIMAL(20, 10))::DOUBLE / count(*), 1) AS complexity FROM s GROUP BY doc_id),
+t AS (SELECT *, CASE WHEN math AND tables THEN 'academic' WHEN tables THEN 'tabular' WHEN math THEN 'scientific' WHEN scanned THEN 'scanned' WHEN multi_column THEN 'multi-column' ELSE 'text-heavy' END AS dominant FROM p)
+SELECT *, CASE dominant WHEN 'academic' THEN 'mineru,docling,marker' WHEN 'tabular' THEN 'docling,mineru,marker' WHEN 'scientific' THEN 'mineru,marker,docling' WHEN 'scanned' THEN 'marker,docling,mineru' ELSE 'marker,docling,markitdown' END AS suggested FROM t""")
+def suggested_providers(spark, d):
+    e, u = F.col("event_id"), F.col("user_id")
+    columns = F.when((e % 6 == 0) & (u % 7 < 3), 2).when(e % 11 > 0, 1)
+    signals = table(spark, d, "events").select(u.alias("doc_id"), ((e % 5 == 0) & (u % 4 == 0)).alias("equations"), ((e % 3 == 0) & (u % 3 == 0)).alias("tables"), (e % 4 > u % 5).alias("has_text"), ((e % 50) / 100).alias("density"), columns.alias("columns"))
+    own = profile.document_profile(signals)
+    return own.withColumn("suggested", F.array_join(classify.suggested_providers(F.col("dominant")), ","))
+
+
+@query("""SELECT p_partkey, substr('[table: ' || p_name || ' | ' || CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END || ' | ' || repeat(p_type, 12) || ']', 1, 200) AS hint,
+  '| ' || p_name || ' | ' || CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END || ' |' || chr(10) || '| --- | --- |' || CASE WHEN p_size % 3 > 0 THEN chr(10) || '| ' || p_type || ' | ' || p_size || ' |' ELSE '' END AS markdown FROM part""")
+def tables_as_markdown(spark, d):
+    brand = F.when(F.col("p_size") % 2 == 0, F.col("p_brand"))
+    head, row = F.array("p_name", brand), F.array("p_type", F.col("p_size").cast("string"))
+    rows = F.when(F.col("p_size") % 3 > 0, F.array(head, row)).otherwise(F.array(head))
+    hint = tx.table_hint(F.array("p_name", brand, F.repeat("p_type", F.lit(12))))
+    return table(spark, d, "part").select("p_partkey", hint.alias("hint"), tx.table_markdown(rows).alias("markdown"))
+
+
+@query(f"""WITH {LINES}, {REGIONS}, {_chains_sql(True)}, {PAIRS}, {MATCHED}, f AS (SELECT doc_id, page, region, count(*) AS n FROM matched GROUP BY ALL)
+SELECT doc_id, page, count(*) AS segments, string_agg(region || ':' || type || ':' || best || ':' || coalesce(n, 0), ' ' ORDER BY region) AS log FROM regions JOIN best USING (type) LEFT JOIN f USING (doc_id, page, region) GROUP BY doc_id, page""")
+def routing_log(spark, d):
+    routed = convert.routing_plan(docs(spark, d))
+    matched = merge.match_blocks(relations.regions(lines(spark, d)), _blocks(spark, d))
+    log = route.routing_log(routed, matched)
+    entry = lambda x: F.concat_ws(":", x["seg_idx"].cast("string"), x["type"], x["best_provider"], x["blocks_found"].cast("string"))
+    return log.select("doc_id", "page", "segments", F.array_join(F.transform("log", entry), " ").alias("log"))
+
+
+@query(f"""WITH {LINES}, {PAIRS}, {DEDUP}, p AS (SELECT DISTINCT doc_id, page, k.provider AS provider FROM kept) SELECT doc_id, page, string_agg(provider, ',' ORDER BY provider) AS providers FROM p GROUP BY doc_id, page""")
+def providers_used(spark, d):
+    kept = merge.drop_overlapping(_blocks(spark, d))
+    return kept.groupBy("doc_id", "page").agg(F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"))
+
+
+@query(f"""WITH {LINES}, {REGIONS}, {_chains_sql(True)}, b AS (SELECT doc_id, best, min(page * 1000 + region) AS first FROM regions JOIN best USING (type) GROUP BY doc_id, best)
+SELECT doc_id, string_agg(best, ',' ORDER BY best <> 'marker', first) AS engines FROM b GROUP BY doc_id""")
+def engines_in_order(spark, d):
+    routed = convert.routing_plan(docs(spark, d))
+    own = routed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "region", "best"))).alias("r"))
+    return own.select("doc_id", F.array_join(route.engines(F.transform("r", lambda x: x["best"])), ",").alias("engines"))
+
+
+@query(f"""WITH j AS (SELECT user_id AS job, arg_max({_STATUS.format(e='event_type')}, (ts, event_id)) AS s FROM events GROUP BY user_id) SELECT count(*) AS total, count(*) FILTER (s = 'done') AS success, count(*) FILTER (s = 'failed') AS failed FROM j""")
+def job_totals(spark, d):
+    jobs = state.latest_jobs(table(spark, d, "events"))
+    return jobs.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "done").alias("success"), F.count_if(F.col("status") == "failed").alias("failed"))
+
+
+@query("""WITH o AS (SELECT user_id AS key, (event_id % 20)::INT AS page, max(event_id) AS v, max(event_id) % 3 > 0 AS filled FROM events WHERE event_id % 2 = 0 GROUP BY ALL),
+n AS (SELECT user_id AS key, (event_id % 20)::INT AS page, max(event_id) AS v, max(event_id) % 5 > 1 AS filled FROM events WHERE event_id % 2 = 1 OR event_id % 3 = 0 GROUP BY ALL)
+SELECT coalesce(o.key, n.key) AS key, coalesce(o.page, n.page) AS page, CASE WHEN n.key IS NOT NULL AND (o.key IS NULL OR NOT o.filled OR n.filled) THEN n.v ELSE o.v END AS v FROM o FULL JOIN n ON o.key = n.key AND o.page = n.page""")
+def merged_cache_pages(spark, d):
+    def pages(rows, k):
+        own = rows.groupBy(F.col("user_id").alias("key"), (F.col("event_id") % 20).cast("int").alias("page")).agg(F.max("event_id").alias("v"))
+        return own.withColumn("blocks", F.when(F.col("v") % k[0] > k[1], F.array("v")).otherwise(F.array().cast("array<bigint>")))
+
+    events = table(spark, d, "events")
+    return state.merge_pages(pages(events.where("event_id % 2 = 0"), (3, 0)), pages(events.where("event_id % 2 = 1 OR event_id % 3 = 0"), (5, 1))).select("key", "page", "v")
+
+
+@query("SELECT c_custkey AS job, o_orderkey AS page, o_orderstatus AS status FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
+def tasks_of_jobs(spark, d):
+    tasks = table(spark, d, "orders").select(F.col("o_custkey").alias("job"), F.col("o_orderkey").alias("page"), F.col("o_orderstatus").alias("status"))
+    return tasks.join(table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("job")), "job").select("job", "page", "status")
+
+
+CONVERTED = f"""cb AS (SELECT doc_id, page, ord, CASE provider WHEN 'lines' THEN 'marker' ELSE 'docling' END AS provider, type, text, x0, y0, x1, y1, confidence FROM blocks),
+cm AS (
+  SELECT r.region, b.*, CASE WHEN b.provider = best.best THEN 0 ELSE 1 + list_position(string_split(best.chain, ','), b.provider) END AS place
+  FROM regions r JOIN best USING (type) JOIN cb b ON r.doc_id = b.doc_id AND r.page = b.page
+  WHERE (r.x1 - r.x0) * (r.y1 - r.y0) <= 0 OR greatest(least(b.x1, r.x1) - greatest(b.x0, r.x0), 0) * greatest(least(b.y1, r.y1) - greatest(b.y0, r.y0), 0) / ((b.x1 - b.x0) * (b.y1 - b.y0)) >= 0.3
+), ct AS (SELECT * FROM cm WHERE place IS NOT NULL QUALIFY place = min(place) OVER (PARTITION BY doc_id, page, region)),
+cf AS (SELECT DISTINCT doc_id, page, provider, ord FROM ct),
+ce AS (SELECT cb.* FROM cb JOIN cf USING (doc_id, page, provider, ord) UNION ALL SELECT doc_id, page, ord, 'lines', type, text, x0, y0, x1, y1, 0.85 FROM lines l WHERE NOT EXISTS (SELECT 1 FROM cf WHERE cf.doc_id = l.doc_id AND cf.page = l.page)),
+co AS (SELECT doc_id, page, list({{'provider': provider, 'ord': ord, 'type': type, 'text': text, 'y0': y0, 'y1': y1}} ORDER BY confidence DESC, provider, ord) AS a FROM ce GROUP BY ALL),
+ck AS (
+  SELECT doc_id, page, unnest(list_reduce(list_transform(a, lambda b: [b]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda k:
+    greatest(least(k.y1, x[1].y1) - greatest(k.y0, x[1].y0), 0) / ((k.y1 - k.y0) + (x[1].y1 - x[1].y0) - greatest(least(k.y1, x[1].y1) - greatest(k.y0, x[1].y0), 0)) > 0.8)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS k FROM co
+), cx AS (SELECT doc_id, page, k.provider AS provider, k.ord AS ord, k.type AS type, k.text AS text, k.y0 AS y0 FROM ck),
+cr AS (SELECT doc_id, page, ord, provider, y0, {BLOCK_MD} AS md FROM cx),
+cp AS (SELECT doc_id, page, string_agg(md, chr(10) || chr(10) ORDER BY y0, provider, ord) || chr(10) AS md FROM cr WHERE coalesce(md, '') <> '' GROUP BY doc_id, page),
+cd AS (SELECT doc_id, count(*) AS pages, string_agg(md, chr(10) || '---' || chr(10) || chr(10) ORDER BY page) AS md FROM cp GROUP BY doc_id)"""
+
+
+@query(f"WITH {LINES}, {REGIONS}, {PAIRS}, {_chains_sql(True)}, {CONVERTED}, {_beautified('cd', 'md')} SELECT doc_id, pages, markdown FROM beauty JOIN cd USING (doc_id)")
+def convert_documents(spark, d):
+    return convert.convert_documents(docs(spark, d))
+
+
+ORACLES["converted_pages"] = f"WITH {LINES}, {REGIONS}, {PAIRS}, {_chains_sql(True)}, {CONVERTED} SELECT doc_id, page, md AS markdown FROM cp"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return convert.convert_lines(docs(spark, sf_dir))
+    """Documents to Markdown, by way of regions, routing, matching, de-duplication, rendering and repairs."""
+    return convert.convert_documents(docs(spark, sf_dir))

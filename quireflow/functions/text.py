@@ -11,12 +11,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: What counts as a sign of mathematics, and letters of Turkish.
-LATEX_MARKS = ["\\begin{equation}", "\\begin{align}", "\\frac", "\\sum", "\\int", "\\prod", "\\sqrt", "\\alpha", "\\beta", "\\gamma", "\\theta", "\\lambda", "\\partial", "\\infty"]
-MATH_SIGNS = "∑∫∏√∞≈≠≤≥±×÷∂∇∈∉⊂⊃∪∩αβ"
+#: Signs of mathematics, letters of Turkish, how refusals begin, words before a figure's number.
+LATEX_MARKS = ["\\frac", "\\int", "\\sum", "\\prod", "\\lim", "\\alpha", "\\beta", "\\gamma", "\\delta", "\\theta", "\\partial", "\\nabla", "\\infty", "\\sqrt"]
+MATH_SIGNS = "∑∫∂∇≈≠±∞αβγδεθλμσωπΣΔΩ"
+MATH_WORDS = r"\\\\frac|\\\\int|\\\\sum|E\s*=\s*mc"
 TURKISH = "çğıöşüÇĞİÖŞÜ"
-REFUSALS = ["i cannot", "i can't", "i'm sorry", "as an ai"]
-FIGURE_WORDS = ["figure", "fig", "diagram", "illustration", "schematic", "sekil", "şekil"]
+REFUSALS = ["i cannot", "i can't", "sorry", "as an ai"]
+FIGURE_WORDS = r"Figure|Fig\.?|Diagram|Chart|Illustration|Schematic"
+ENTITIES = ["&amp;", "&lt;", "&gt;", "&quot;", "&#"]
+OTHER_THAN_ASCII = r"[^\x00-\x7F]"
 
 
 def drop_replacement(t: Column) -> Column:
@@ -24,39 +27,74 @@ def drop_replacement(t: Column) -> Column:
     return F.replace(t, F.lit("�"), F.lit(""))
 
 
+def only_where(need: Column, t: Column, function) -> Column:
+    """function(t) where it is needed, else t; other rows go to the Python worker as nulls."""
+    return F.coalesce(function(F.when(need, t)), t)
+
+
 @F.pandas_udf(T.StringType())
-def plain_form(t: pd.Series) -> pd.Series:
+def _plain(t: pd.Series) -> pd.Series:
+    drop = re.compile("[\u200b-\u200f\u202a-\u202e\u2060\ufeff]")
+    return t.map(lambda s: drop.sub("", unicodedata.normalize("NFKC", s)).replace("\u00ad", ""), na_action="ignore")
+
+
+def plain_form(t: Column) -> Column:
     """NFKC without zero-width and direction marks and soft hyphens; ASCII texts pass as they are."""
-    drop = re.compile("[​-‏‪-‮⁠﻿­]")
-    return t.map(lambda s: s if s is None or s.isascii() else drop.sub("", unicodedata.normalize("NFKC", s)), na_action="ignore")
+    return only_where(t.rlike(OTHER_THAN_ASCII), t, _plain)
 
 
 @F.pandas_udf(T.StringType())
-def composed_form(t: pd.Series) -> pd.Series:
-    """NFC."""
+def _composed(t: pd.Series) -> pd.Series:
     return t.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 
 
+def composed_form(t: Column) -> Column:
+    """NFC."""
+    return only_where(t.rlike(OTHER_THAN_ASCII), t, _composed)
+
+
 @F.pandas_udf(T.StringType())
-def unescape_html(t: pd.Series) -> pd.Series:
-    return t.map(lambda s: html.unescape(s) if "&" in s else s, na_action="ignore")
+def _unescaped(t: pd.Series) -> pd.Series:
+    return t.map(html.unescape, na_action="ignore")
+
+
+def unescape_html(t: Column) -> Column:
+    """Entities resolved, if one of ENTITIES is there."""
+    need = F.lit(False)
+    for token in ENTITIES:
+        need = need | F.contains(t, F.lit(token))
+    return only_where(need, t, _unescaped)
 
 
 @F.pandas_udf(T.BooleanType())
-def is_rtl(t: pd.Series) -> pd.Series:
+def _from_the_right(t: pd.Series) -> pd.Series:
+    return t.map(lambda s: s is not None and any(unicodedata.bidirectional(c) in ("R", "AL", "AN") for c in s)).astype(bool)
+
+
+def is_rtl(t: Column) -> Column:
     """Whether one of the first 500 characters is written from right to left."""
-    return t.map(lambda s: any(unicodedata.bidirectional(c) in ("R", "AL", "AN") for c in (s or "")[:500])).astype(bool)
+    head = F.substring(t, 1, 500)
+    return _from_the_right(F.when(head.rlike(OTHER_THAN_ASCII), head))
 
 
 def drop_html_rests(t: Column) -> Column:
-    """Superscripts and subscripts that hold nothing but an ampersand or nothing go; entities are resolved."""
-    t = F.regexp_replace(t, r"<sup>\s*&(amp;)?\s*</sup>", "")
-    return unescape_html(F.regexp_replace(t, r"<(sup|sub)>\s*</\1>", ""))
+    """Superscripts and subscripts that hold nothing but an ampersand or nothing go; entities are resolved.
+
+    An ampersand that begins no entity is written as one first, so that it comes back as it was.
+    """
+    t = F.regexp_replace(t, r"(?i)<sup>\s*&(?:amp;)?\s*</sup>", "")
+    t = F.regexp_replace(t, r"(?i)<(sup|sub)>\s*</\1>", "")
+    return unescape_html(F.regexp_replace(t, r"&(?!(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{1,8});)", "&amp;"))
+
+
+def strip(t: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
 def clean_text(t: Column) -> Column:
     """A block's text: marks and rests dropped, blanks collapsed, stripped."""
-    return F.trim(F.regexp_replace(drop_html_rests(plain_form(drop_replacement(t))), r"[ \t]{2,}", " "))
+    return strip(F.regexp_replace(drop_html_rests(plain_form(drop_replacement(t))), r"[ \t]{2,}", " "))
 
 
 def fix_whitespace(t: Column) -> Column:
@@ -65,6 +103,14 @@ def fix_whitespace(t: Column) -> Column:
     return F.concat(F.regexp_replace(t, r"^\s+|\s+$", ""), F.lit("\n"))
 
 
+def merge_broken_sentences(t: Column) -> Column:
+    """A line that goes on in lower case joins the line before, unless that is empty or ends a sentence, label or row.
+
+    For texts without blanks at line ends (as of fix_whitespace()).
+    """
+    return F.regexp_replace(t, r"(?<=[^\n:.!?|])[^\S\n]*\n[^\S\n]*(?=\p{Ll})", " ")
+
+
 def sanitize_latex(t: Column) -> Column:
     """White space beside a dollar sign becomes one blank."""
     return F.regexp_replace(F.regexp_replace(t, r"\$\s+", r"\$ "), r"\s+\$", r" \$")
@@ -78,12 +124,13 @@ def has_equation(t: Column) -> Column:
 
 
 def has_table(t: Column) -> Column:
-    """At least three lines with two or more bars."""
-    return F.coalesce(F.size(F.filter(F.split(t, "\n"), lambda x: F.regexp_count(x, F.lit(r"\|")) >= 2)) >= 3, F.lit(False))
+    """At least three lines with two or more bars, or at least three with two or more tabs."""
+    rows = lambda mark: F.size(F.filter(F.split(t, "\n"), lambda x: F.regexp_count(x, F.lit(mark)) >= 2)) >= 3
+    return F.coalesce(rows(r"\|") | rows(r"\t"), F.lit(False))
 
 
 def has_math(t: Column) -> Column:
-    return F.coalesce(t.rlike(f"[{MATH_SIGNS}]") | F.contains(t, F.lit("$$")) | F.contains(t, F.lit("\\[")) | t.rlike(r"\\\\(frac|int|sum)"), F.lit(False))
+    return F.coalesce(t.rlike(f"[{MATH_SIGNS}]") | F.contains(t, F.lit("$$")) | F.contains(t, F.lit("\\[")) | t.rlike(MATH_WORDS), F.lit(False))
 
 
 def language(t: Column) -> Column:
@@ -114,12 +161,12 @@ def heading_text(t: Column) -> Column:
 
 def figure_reference(t: Column) -> Column:
     """The first reference to a numbered figure, else the empty text."""
-    return F.regexp_extract(t, rf"(?i)(({'|'.join(FIGURE_WORDS)})\.?\s*\d+[.-]?\d*)", 1)
+    return F.regexp_extract(t, rf"(?i)((?:{FIGURE_WORDS})\s*\d+[.-]?\d*)", 1)
 
 
 def caption_ok(t: Column) -> Column:
     """Long enough, of three words, and no refusal."""
-    ok = (F.length(t) >= 10) & (F.size(F.split(F.trim(t), r"\s+")) >= 3)
+    ok = (F.length(t) >= 10) & (F.regexp_count(t, F.lit(r"\S+")) >= 3)
     for start in REFUSALS:
         ok = ok & ~F.startswith(F.lower(t), F.lit(start))
     return F.coalesce(ok, F.lit(False))
@@ -159,6 +206,19 @@ def image_link(t: Column) -> Column:
     return F.struct(F.when(alt == "", "figure").otherwise(alt).alias("alt"), F.regexp_extract(t, r"!\[([^\]]*)\]\(([^)]*)\)", 2).alias("path"))
 
 
+def table_hint(cells: Column) -> Column:
+    """What stands for a table: its first row's cells, 200 characters at most; [table] without a row."""
+    named = F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), " | ")
+    return F.coalesce(F.substring(F.concat(F.lit("[table: "), named, F.lit("]")), 1, 200), F.lit("[table]"))
+
+
+def table_markdown(rows: Column) -> Column:
+    """A Markdown table from rows of cells, with a rule after the first."""
+    rule = F.concat(F.lit("| "), F.array_join(F.transform(F.get(rows, F.lit(0)), lambda c: F.lit("---")), " | "), F.lit(" |"))
+    lines = F.transform(rows, table_row)
+    return F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")
+
+
 def table_row(cells: Column) -> Column:
     """A Markdown table's row; null cells are empty."""
     return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), " | "), F.lit(" |"))

@@ -28,6 +28,23 @@ def first_provider(matched: DataFrame, order: list[str]) -> DataFrame:
     return ranked.where(F.col("place") == F.col("least")).drop("place", "least")
 
 
+def first_in_chain(matched: DataFrame, routed: DataFrame) -> DataFrame:
+    """Of each region's matches those of the first provider that has any: the region's best one, then its chain.
+
+    routed: doc_id, page, region, best, chain. Blocks of providers outside the chain are not taken.
+    """
+    order = F.concat(F.array("best"), F.col("chain"))
+    plan = routed.select("doc_id", "page", "region", order.alias("__order"))
+    ranked = matched.join(plan, ["doc_id", "page", "region"]).withColumn("__place", F.array_position("__order", F.col("provider"))).where("__place > 0")
+    least = F.min("__place").over(W.partitionBy("doc_id", "page", "region"))
+    return ranked.withColumn("__least", least).where("__place = __least").drop("__order", "__place", "__least")
+
+
+def fill_pages(blocks: DataFrame, spare: DataFrame) -> DataFrame:
+    """blocks, and those of spare on pages (doc_id, page) that have none."""
+    return blocks.unionByName(spare.join(blocks.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti"))
+
+
 def drop_overlapping(blocks: DataFrame, same: float = SAME) -> DataFrame:
     """Greedy de-duplication of each page's blocks: by falling confidence, a block stays if no kept one is the same.
 

@@ -11,24 +11,30 @@ from pyspark.sql import types as T
 
 
 def character_fidelity(actual: Column, expected: Column) -> Column:
-    """The share of positions at which both texts have the same character."""
-    a, b = F.split(actual, ""), F.split(expected, "")
-    most = F.greatest(F.length(actual), F.length(expected))
+    """The share of the expected text's characters that stand at the same place, white space folded; 0 without a text."""
+    fold = lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))
+    a, b = F.split(fold(actual), ""), F.split(fold(expected), "")
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce((x == y) & (x != ""), F.lit(False))), lambda x: x))
-    return F.when(most == 0, 1.0).otherwise(same / most)
+    shared = same / F.greatest(F.length(fold(expected)), F.lit(1))
+    return F.when(F.coalesce(expected, F.lit("")) == "", 0.0).when(fold(actual) == fold(expected), 1.0).otherwise(shared)
 
 
 def line_order(actual: Column, expected: Column) -> Column:
-    """The share of the expected text's lines that stand at the same place."""
-    a, b = F.split(actual, "\n"), F.split(expected, "\n")
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(F.trim(x) == F.trim(y), F.lit(False))), lambda x: x))
-    return same / F.size(b)
+    """The share of the expected text's lines, blank ones aside, that stand at the same place; 0 without lines."""
+    lines = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike(r"\S"))
+    a, b = lines(actual), lines(expected)
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda x: x))
+    return F.when(F.size(b) == 0, 0.0).otherwise(same / F.size(b))
 
 
 def count_ratio(actual: Column, expected: Column, pattern: str) -> Column:
-    """How alike the numbers of matches are: smaller by larger, 1 if there are none."""
+    """How alike the numbers of matches are: smaller by larger; without any expected 1 if there are none, else 0."""
     a, b = F.regexp_count(actual, F.lit(pattern)), F.regexp_count(expected, F.lit(pattern))
-    return F.when(F.greatest(a, b) == 0, 1.0).otherwise(F.least(a, b) / F.greatest(a, b))
+    return F.when(b == 0, F.when(a == 0, 1.0).otherwise(0.0)).otherwise(F.least(a, b) / F.greatest(a, b))
+
+
+#: What counts for tables and for equations.
+BARS, FORMULAS = r"\|", r"(?s)\$\$.*?\$\$|\$.*?\$"
 
 
 @F.pandas_udf(T.StructType([T.StructField("added", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("same", T.LongType())]))

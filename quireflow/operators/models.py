@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Languages that prompts name.
-LANGUAGES = {"en": "English", "tr": "Turkish", "de": "German", "fr": "French", "es": "Spanish", "it": "Italian", "pt": "Portuguese", "ru": "Russian", "ar": "Arabic", "zh": "Chinese", "ja": "Japanese", "ko": "Korean"}
+#: Languages that prompts name, and the prompt.
+LANGUAGES = {"en": "English", "tr": "Turkish", "de": "German", "fr": "French", "es": "Spanish", "ja": "Japanese", "zh": "Chinese", "ko": "Korean", "ar": "Arabic", "ru": "Russian", "pt": "Portuguese", "it": "Italian"}
+PROMPT = "You are analyzing a figure from a technical/academic document. Describe what this figure shows in 2-3 sentences. Include: the type of figure (graph, circuit diagram, table, photo, etc.), key elements visible, and what it illustrates. If there is text or labels, mention them. Respond in {language}."
+HINT = "\n\nExisting caption hint: "
 
 
 def fitting_models(models: DataFrame, vram_mb: int) -> DataFrame:
@@ -35,12 +37,15 @@ def version_at_least(version: Column, least: Column) -> Column:
 
 
 def memory_decision(mode: Column, vram_mb: Column, ram_mb: Column, vram_least: int, ram_least: int) -> Column:
-    """use_gpu and batch: by the wish (cpu_only, gpu_preferred, auto) and what is free."""
-    gpu = F.when(mode == "cpu_only", False).otherwise(F.coalesce(vram_mb >= vram_least, F.lit(False)) | ((mode == "gpu_preferred") & (F.coalesce(vram_mb, F.lit(0)) > 0)))
+    """use_gpu and batch: by the wish (cpu_only, gpu_preferred: whenever there is one, auto) and what is free (null: unknown)."""
+    gpu = F.when(mode == "cpu_only", False).when(mode == "gpu_preferred", vram_mb.isNotNull()).otherwise(F.coalesce(vram_mb >= vram_least, F.lit(False)))
     return F.struct(gpu.alias("use_gpu"), F.when(F.coalesce(ram_mb < ram_least, F.lit(False)), 1).otherwise(4).alias("batch"))
 
 
 def caption_prompt(language: Column, hint: Column) -> Column:
+    """The prompt in a language (English for unknown ones), with 200 characters of a caption that there is."""
     named = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    spoken = F.coalesce(F.try_element_at(named, F.lower(language)), F.lit("English"))
-    return F.concat(F.lit("Describe this figure in "), spoken, F.lit(". Context: "), F.substring(F.coalesce(hint, F.lit("")), 1, 200))
+    spoken = F.coalesce(F.try_element_at(named, language), F.lit("English"))
+    before, after = PROMPT.split("{language}")
+    told = F.when(F.coalesce(hint, F.lit("")) != "", F.concat(F.lit(HINT), F.substring(hint, 1, 200))).otherwise("")
+    return F.concat(F.lit(before), spoken, F.lit(after), told)

@@ -62,11 +62,14 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_signals(documents: DataFrame) -> DataFrame:
-    """Signals of each page: doc_id, page, has_text, density, equations, tables, language."""
+    """Signals of each page: doc_id, page, has_text, density, equations, tables, language, chars, columns.
+
+    Lines are as wide as the page, so there is one column.
+    """
     pages = line_blocks(documents).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("parts"))
     t = pages.select("doc_id", "page", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"))
     has = F.length(F.trim("text")) > 0
-    return t.select("doc_id", "page", has.alias("has_text"), geometry.density(F.col("text"), has).alias("density"), text.has_equation(F.col("text")).alias("equations"), text.has_table(F.col("text")).alias("tables"), text.language(F.col("text")).alias("language"), F.length("text").cast("long").alias("chars"))
+    return t.select("doc_id", "page", has.alias("has_text"), geometry.density(F.col("text"), has).alias("density"), text.has_equation(F.col("text")).alias("equations"), text.has_table(F.col("text")).alias("tables"), text.language(F.col("text")).alias("language"), F.length("text").cast("long").alias("chars"), F.lit(1).alias("columns"))
 
 
 def regions(blocks: DataFrame, size: int = 5) -> DataFrame:

@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 
-def block_markdown(kind: Column, text: Column) -> Column:
-    """A block's Markdown; null for headers and footers, which are dropped."""
-    t = F.trim(text)
-    equation = F.when(F.startswith(t, F.lit("$$")), t).otherwise(F.concat(F.lit("$$\n"), t, F.lit("\n$$")))
-    code = F.when(F.startswith(t, F.lit("```")), text).otherwise(F.concat(F.lit("```\n"), text, F.lit("\n```")))
+def block_markdown(kind: Column, text: Column, language: Column | None = None) -> Column:
+    """A block's Markdown from its text cleaned (code: as it is); null for headers and footers, which are dropped.
+
+    language: of code blocks.
+    """
+    language = F.lit("") if language is None else language
+    t = tx.clean_text(text)
+    equation = F.when(F.startswith(t, F.lit("$$")) & F.endswith(t, F.lit("$$")), t).otherwise(F.concat(F.lit("$$\n"), t, F.lit("\n$$")))
+    code = F.concat(F.lit("```"), F.coalesce(language, F.lit("")), F.lit("\n"), text, F.lit("\n```"))
     heading = F.concat(F.repeat(F.lit("#"), F.substring(tx.heading_level(t), 2, 1).cast("int")), F.lit(" "), tx.heading_text(t))
     return F.when(kind.isin("header", "footer"), F.lit(None).cast("string")).when(kind == "heading", heading).when(kind == "equation", equation).when(kind == "code", code).when(kind == "caption", F.concat(F.lit("*"), t, F.lit("*"))).otherwise(t)
 
@@ -23,15 +27,15 @@ def figure_markdown(figure_id: Column, text: Column, asset: Column, caption: Col
     alt = F.coalesce(F.nullif(figure_id, F.lit("")), F.nullif(text, F.lit("")), F.lit("figure"))
     link = F.when(asset != "", F.concat(F.lit("!["), alt, F.lit("]("), asset, F.lit(")")))
     told = F.when(caption != "", F.concat(F.lit("*"), caption, F.lit("*"))).when(context != "", F.concat(F.lit("*[Figure context: "), F.substring(context, 1, 120), F.lit("]*")))
-    body = F.concat_ws("\n", link, told)
+    body = F.concat_ws("\n\n", link, told)
     return F.when(body == "", F.concat(F.lit("[Gorsel: "), alt, F.lit("]"))).otherwise(body)
 
 
 def page_markdown(blocks: DataFrame) -> DataFrame:
-    """doc_id, page, markdown: a page's blocks by reading_order, empty ones left out, a blank line between."""
-    shown = blocks.withColumn("md", block_markdown(F.col("type"), F.col("text"))).where(F.coalesce(F.trim("md"), F.lit("")) != "")
+    """doc_id, page, markdown: a page's blocks by reading_order, empty ones left out, a blank line between, a newline at the end."""
+    shown = blocks.withColumn("md", block_markdown(F.col("type"), F.col("text"))).where(F.coalesce("md", F.lit("")) != "")
     pages = shown.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("reading_order", "md"))).alias("parts"))
-    return pages.select("doc_id", "page", F.array_join(F.transform("parts", lambda p: p["md"]), "\n\n").alias("markdown"))
+    return pages.select("doc_id", "page", F.concat(F.array_join(F.transform("parts", lambda p: p["md"]), "\n\n"), F.lit("\n")).alias("markdown"))
 
 
 def document_markdown(pages: DataFrame) -> DataFrame:
@@ -40,17 +44,25 @@ def document_markdown(pages: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size("parts").cast("long").alias("pages"), F.array_join(F.transform("parts", lambda p: p["markdown"]), "\n---\n\n").alias("markdown"))
 
 
-def join_broken_lines(lines: DataFrame) -> DataFrame:
-    """doc_id, line, text: a line that goes on in lower case joins the line before, unless that ends a sentence.
+def beautify(texts: DataFrame) -> DataFrame:
+    """doc_id, markdown with all repairs of running text: marks, entities, white space, broken sentences, headings, formulas.
 
-    lines: doc_id, ord, text. Islands: a running count of lines that begin something new.
+    All but headings are expressions on a text; only texts with headings are taken apart by lines.
     """
-    at = W.partitionBy("doc_id").orderBy("ord")
-    before = F.trim(F.lag("text").over(at))
-    joins = F.coalesce((before != "") & ~before.rlike(r"[:.!?|]$") & F.trim("text").rlike(r"^\p{Ll}"), F.lit(False))
-    marked = lines.withColumn("line", F.sum(F.when(joins, 0).otherwise(1)).over(at.rowsBetween(W.unboundedPreceding, 0)))
-    parts = marked.groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("ord", F.trim("text").alias("t")))).alias("parts"))
-    return parts.select("doc_id", "line", F.array_join(F.transform("parts", lambda p: p["t"]), " ").alias("text"))
+    t = tx.drop_html_rests(tx.plain_form(tx.drop_replacement(F.col("markdown"))))
+    t = tx.merge_broken_sentences(tx.fix_whitespace(t))
+    plain = texts.select("doc_id", t.alias("markdown"), F.regexp_count(t, F.lit(r"(?m)^#{1,6}\s")).alias("heads"))
+    lines = plain.where("heads > 1").select("doc_id", F.posexplode(F.split("markdown", "\n")).alias("ord", "line"))
+    level = F.length(F.regexp_extract("line", r"^(#{1,6})\s", 1))
+    level = F.when(level > 0, level).when(F.col("line").rlike(r"^#{1,6}$"), F.length("line"))  # the newline after it was split off
+    at = W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
+    lines = lines.withColumn("level", level).withColumn("rn", F.count("level").over(at))
+    clamped = (F.min(F.col("level") - F.col("rn")).over(at) + F.col("rn")).cast("int")
+    line = F.when(F.col("level").isNull(), F.col("line")).otherwise(F.concat(F.repeat(F.lit("#"), clamped), F.substr("line", F.col("level") + 1)))
+    whole = lines.withColumn("line", line).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("parts"))
+    headed = whole.select("doc_id", F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("markdown"))
+    every = plain.where("coalesce(heads, 0) <= 1").select("doc_id", "markdown").unionByName(headed)
+    return every.select("doc_id", tx.sanitize_latex(F.col("markdown")).alias("markdown"))
 
 
 def clamp_headings(headings: DataFrame) -> DataFrame:

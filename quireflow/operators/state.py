@@ -36,16 +36,22 @@ def stalls(events: DataFrame, seconds: int) -> DataFrame:
 def evict(cache: DataFrame, most: int, now: Column | None = None, ttl_seconds: int | None = None) -> DataFrame:
     """cache (key, mtime) that stays: first what is too old goes, then the oldest beyond `most` entries.
 
-    Counts are taken in ranges of mtime first, so that no task ranks the whole cache.
+    Each task keeps its own newest ones, and only these meet.
     """
     if ttl_seconds is not None and now is not None:
         cache = cache.where(F.col("mtime") >= now - F.make_interval(secs=F.lit(ttl_seconds)))
-    days = cache.groupBy(F.to_date("mtime").alias("day")).agg(F.count("*").alias("n"))
-    newer = F.coalesce(F.sum("n").over(W.orderBy(F.col("day").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    days = days.select("day", newer.alias("newer"))  # a row a day
-    place = F.row_number().over(W.partitionBy(F.to_date("mtime")).orderBy(F.col("mtime").desc(), F.col("key").desc()))
-    ranked = cache.withColumn("place", place).withColumn("day", F.to_date("mtime")).join(F.broadcast(days), "day")
-    return ranked.where(F.col("newer") + F.col("place") <= most).select(*cache.columns)
+    return cache.orderBy(F.col("mtime").desc(), F.col("key").desc()).limit(most)
+
+
+def merge_pages(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Pages of cache entries (key, page, blocks and further columns of both): a new page wins if there is no old one,
+    the old one has no blocks, or the new one has some."""
+    rest = [c for c in old.columns if c not in ("key", "page")]
+    o, n = old.select("key", "page", F.struct(*rest).alias("o")), new.select("key", "page", F.struct(*rest).alias("n"))
+    filled = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    wins = F.col("n").isNotNull() & (F.col("o").isNull() | ~filled(F.col("o.blocks")) | filled(F.col("n.blocks")))
+    both = o.join(n, ["key", "page"], "full")
+    return both.select("key", "page", F.when(wins, F.col("n")).otherwise(F.col("o")).alias("x")).select("key", "page", "x.*")
 
 
 def asset_id(content: Column) -> Column:

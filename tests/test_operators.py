@@ -38,8 +38,23 @@ def one(spark, col, **values):
         (classify.list_type, "```x```", "paragraph"),
         (classify.region_type, "Short Title", "heading"),
         (classify.region_type, "a ∑ b is a sum.", "equation"),
-        (classify.engine_type, "Section-Header", "heading"),
-        (classify.engine_type, "blob", "other"),
+        (classify.engine_type, "Page-Header", "header"),
+        (classify.engine_type, "footnote", "footer"),
+        (classify.engine_type, "blob", "paragraph"),
+        (classify.label_type, "Section-Header", "heading"),
+        (classify.label_type, "DocItemLabel.LIST-ITEM", "list"),
+        (classify.label_type, "text_figure", "paragraph"),
+        (classify.adapted_type, "blob", "other"),
+        (classify.markdown_type, "| one bar", "paragraph"),
+        (classify.markdown_type, "|a|", "table"),
+        (classify.list_type, "| one bar", "paragraph"),
+        (tx.clean_text, "x<SUP> & </SUP>y<Sub> </Sub>", "xy"),
+        (tx.clean_text, "AT&T &copy; 2", "AT&T © 2"),
+        (tx.clean_text, "&copy; 2", "&copy; 2"),
+        (tx.clean_text, "\n a  b\t\tc \n", "a b c"),
+        (tx.figure_reference, "Chart 4-1 shows", "Chart 4-1"),
+        (tx.figure_reference, "şekil 3", ""),
+        (tx.merge_broken_sentences, "One line\ngoes on.\nnext\nUpper\n\nlower\nx\ny", "One line goes on.\nnext\nUpper\n\nlower x y"),
         (tx.safe_name, "a/b/c d!.pdf", "cd.pdf"),
         (tx.safe_name, "", "input.pdf"),
     ],
@@ -113,10 +128,23 @@ def test_word_lines_of_all_pages(spark, tmp_path):
     assert {r["page"] for r in got} == {1, 2, 3}
 
 
-def test_broken_lines_join(spark):
-    rows = [(1, 0, "One line"), (1, 1, "goes on."), (1, 2, "next"), (1, 3, "Upper")]
-    got = [r["text"] for r in render.join_broken_lines(spark.createDataFrame(rows, "doc_id int, ord int, text string")).orderBy("line").collect()]
-    assert got == ["One line goes on.", "next", "Upper"]
+def test_texts_are_beautified(spark):
+    rows = [(1, "# Title\n#### Deep\nText\ngoes on\n\n\n\nR & C\ufffd"), (2, "a $  x$ \n"), (3, None), (4, "## A\n# B\n##### C\n###### D")]
+    got = {r["doc_id"]: r["markdown"] for r in render.beautify(spark.createDataFrame(rows, "doc_id int, markdown string")).collect()}
+    assert got == {1: "# Title\n## Deep\nText goes on\n\nR & C\n", 2: "a $ x$ ", 3: None, 4: "## A\n# B\n## C\n### D\n"}
+
+
+def test_chains_follow_what_is_available(spark):
+    got = {(r["type"], r["pos"]): r["provider"] for r in route.chains(spark, available=["markitdown"], override={"code": ["own"]}).collect()}
+    assert got["table", 0] == "markitdown" and got["paragraph", 0] == "markitdown" and got["code", 0] == "markitdown" and ("paragraph", 1) not in got
+    assert {r["provider"] for r in route.chains(spark, available=["none of them"]).collect()} == {"marker"}
+    assert route.chains(spark, override={"code": ["own"]}).where("type = 'code'").first()["score"] == 0.5
+
+
+def test_regions_take_the_first_provider_of_their_chain(spark):
+    matched = spark.createDataFrame([(1, 1, 0, "a", 0), (1, 1, 0, "b", 1), (1, 1, 1, "a", 2), (1, 1, 1, "z", 3)], "doc_id int, page int, region int, provider string, ord int")
+    plan = spark.createDataFrame([(1, 1, 0, "b", ["a", "b"]), (1, 1, 1, "b", ["a", "b"])], "doc_id int, page int, region int, best string, chain array<string>")
+    assert {(r["region"], r["provider"]) for r in merge.first_in_chain(matched, plan).collect()} == {(0, "b"), (1, "a")}
 
 
 def test_chains(spark):

@@ -16,5 +16,5 @@ def test_query_without_sql_runs(name, spark, sf_dir):
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).columns == ["doc_id", "page", "markdown"]
+    assert entry.entry(spark).columns == ["doc_id", "pages", "markdown"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
