@@ -912,6 +912,59 @@ def convert_documents(spark, d):
 ORACLES["converted_pages"] = f"WITH {LINES}, {REGIONS}, {PAIRS}, {_chains_sql(True)}, {CONVERTED} SELECT doc_id, page, md AS markdown FROM cp"
 
 
+# --- pages of one text, parts of files, models and captions -------------------------------------------------------
+
+STRIP = r"regexp_replace({t}, '^\s+|\s+\z', '', 'g')"
+
+
+@query(rf"""WITH p AS (
+  SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, '. ', '.' || chr(10) || repeat('-', 48) || chr(10) || chr(10)), '\n{{0,2}}-{{48}}\n{{0,2}}'), lambda x: {STRIP.format(t="x")}), lambda x: x <> '') AS a FROM documents
+) SELECT doc_id, unnest(range(1, len(a) + 1)) AS page, unnest(a) AS markdown FROM p""")
+def marked_pages(spark, d):
+    mark = F.lit(".\n" + "-" * 48 + "\n\n")
+    return render.split_pages(docs(spark, d).select("doc_id", F.replace("text", F.lit(". "), mark).alias("markdown")))
+
+
+@query(rf"""WITH RECURSIVE t AS (
+  SELECT doc_id, doc_id % 4 + 1 AS pages, replace(text, '. ', '.' || CASE doc_id % 3 WHEN 0 THEN chr(12) WHEN 1 THEN chr(10) || '---' || chr(10) ELSE chr(10) END) AS md FROM documents
+), s AS (
+  SELECT *, CASE WHEN contains(md, chr(12)) THEN string_split(md, chr(12)) ELSE string_split(md, chr(10) || '---' || chr(10)) END AS a, greatest(length(md) // pages, 1) AS fill FROM t
+), l AS (
+  SELECT doc_id, pages, fill, unnest(range(len(string_split(md, chr(10))))) AS i, unnest(string_split(md, chr(10))) AS line FROM s WHERE len(a) < pages
+), w AS (
+  SELECT doc_id, i, 1::BIGINT AS page, length(line) + 1 AS chars, pages, fill FROM l WHERE i = 0
+  UNION ALL SELECT l.doc_id, l.i, w.page + (w.chars >= w.fill AND w.page < w.pages)::INT, CASE WHEN w.chars >= w.fill AND w.page < w.pages THEN 0 ELSE w.chars END + length(l.line) + 1, w.pages, w.fill
+  FROM w JOIN l ON l.doc_id = w.doc_id AND l.i = w.i + 1
+), g AS (SELECT w.doc_id, w.page, string_agg(l.line, chr(10) ORDER BY l.i) AS md FROM w JOIN l ON l.doc_id = w.doc_id AND l.i = w.i GROUP BY w.doc_id, w.page),
+m AS (SELECT doc_id, unnest(range(1, pages + 1)) AS page, unnest(list_slice(a, 1, pages)) AS md FROM s WHERE len(a) >= pages)
+SELECT doc_id, page, {STRIP.format(t="md")} AS markdown FROM (FROM g UNION ALL FROM m)""")
+def divided_pages(spark, d):
+    doc_id = F.col("doc_id")
+    mark = F.concat(F.lit("."), F.when(doc_id % 3 == 0, "\f").when(doc_id % 3 == 1, "\n---\n").otherwise("\n"))
+    return render.divide_pages(docs(spark, d).select("doc_id", F.replace("text", F.lit(". "), mark).alias("markdown"), (doc_id % 4 + 1).alias("pages")))
+
+
+@query("SELECT doc_id AS key, doc_id % 7 <> 0 AND doc_id % 11 <> 1 AS intact FROM documents")
+def verified_shards(spark, d):
+    """Parts of which some are missing and some altered, against the manifest."""
+    cut = state.shards(docs(spark, d).select(F.col("doc_id").alias("key"), F.col("text").cast("binary").alias("content")), 400)
+    altered = F.when((F.col("key") % 11 == 1) & (F.col("part") == 0), F.concat("content", F.lit(b"x"))).otherwise(F.col("content"))
+    stored = cut.where(~((F.col("key") % 7 == 0) & (F.col("part") == 0))).withColumn("content", altered)
+    return state.verify_shards(stored, state.shard_manifest(cut))
+
+
+@query("SELECT p_size AS tier, arg_min(p_name, p_partkey) AS model_id FROM part GROUP BY p_size")
+def model_of_tier(spark, d):
+    return models.first_of(table(spark, d, "part").select(F.col("p_size").alias("tier"), F.col("p_name").alias("model_id"), F.col("p_partkey").alias("seq")), "tier")
+
+
+@query(r"""SELECT conv_id, count(*) FILTER (WHERE ok) AS refined, count(*) FILTER (WHERE NOT ok) AS failed FROM (
+  SELECT conv_id, coalesce(length(text) >= 10 AND len(regexp_extract_all(text, '\S+')) >= 3 AND NOT (starts_with(lower(text), 'i cannot') OR starts_with(lower(text), 'i can''t') OR starts_with(lower(text), 'sorry') OR starts_with(lower(text), 'as an ai')), false) AS ok FROM conversations
+) GROUP BY conv_id""")
+def caption_totals(spark, d):
+    return enrich.caption_counts(table(spark, d, "conversations"), "conv_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to Markdown, by way of regions, routing, matching, de-duplication, rendering and repairs."""
     return convert.convert_documents(docs(spark, sf_dir))

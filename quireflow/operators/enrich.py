@@ -62,3 +62,9 @@ def line_clusters(words: DataFrame, gap: float = 5.0) -> DataFrame:
 
     lines = pages.select("doc_id", "page", F.posexplode(F.aggregate("words", empty, step)).alias("line", "l"))
     return lines.select("doc_id", "page", F.col("line").cast("long").alias("line"), F.col("l.text").alias("text"))
+
+
+def caption_counts(captions: DataFrame, key: str) -> DataFrame:
+    """key, refined, failed: how many of the captions (key, text) that a model gave are taken and how many aren't."""
+    ok = tx.caption_ok(F.col("text"))
+    return captions.groupBy(key).agg(F.count_if(ok).alias("refined"), F.count_if(~ok).alias("failed"))

@@ -16,6 +16,11 @@ def fitting_models(models: DataFrame, vram_mb: int) -> DataFrame:
     return models.where(F.col("min_vram_mb") <= vram_mb).orderBy("quality_rank", "model_id")
 
 
+def first_of(models: DataFrame, by: str) -> DataFrame:
+    """`by`, model_id: the model that stands first (by seq) in the manifest for each tier, or other column."""
+    return models.groupBy(by).agg(F.min_by("model_id", "seq").alias("model_id"))
+
+
 def speaks(languages: Column, language: str) -> Column:
     """Whether a model knows a language; many languages, or 'multilingual', mean all."""
     known = F.transform(languages, F.lower)

@@ -82,7 +82,43 @@ def split_paragraphs(texts: DataFrame) -> DataFrame:
     return parts.select("doc_id", F.col("idx").cast("long").alias("idx"), F.trim("text").alias("text")).where("text <> ''")
 
 
-def split_pages(texts: DataFrame, mark: str = r"\n---\n\n") -> DataFrame:
+#: Fixed value: what stands between the pages of an engine's Markdown.
+PAGE_MARK = r"\n{0,2}-{48}\n{0,2}"
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+\z", "")
+
+
+def split_pages(texts: DataFrame, mark: str = PAGE_MARK) -> DataFrame:
     """doc_id, page (from 1), markdown; empty pages are left out and not numbered."""
-    parts = F.filter(F.transform(F.split("markdown", mark), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("markdown", mark), _stripped), lambda x: x != "")
     return texts.select("doc_id", F.posexplode(parts).alias("p", "markdown")).select("doc_id", (F.col("p") + 1).cast("long").alias("page"), "markdown")
+
+
+def divide_pages(texts: DataFrame) -> DataFrame:
+    """doc_id, page (from 1), markdown of texts (doc_id, markdown, pages), for engines that give a document as one text.
+
+    Form feeds part pages, else lines of three dashes; where these give fewer than `pages` parts, lines are dealt so
+    that a page ends with the line that fills it to the text's length / pages, and the last takes the rest. No or null
+    pages give no rows. The fold holds only where pages end, so it is linear in the lines.
+    """
+    text, pages = F.col("markdown"), F.col("pages").cast("int")
+    marked = F.split(text, F.when(F.contains(text, F.lit("\f")), "\f").otherwise("\n---\n"))
+    rows = F.split(text, "\n")
+    fill = F.greatest(F.floor(F.length(text) / pages), F.lit(1)).cast("int")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("chars"), F.array().cast("array<int>").alias("ends"))
+
+    def step(state: Column, line: Column) -> Column:
+        at, chars = state["at"] + 1, state["chars"] + F.length(line) + 1
+        full = (chars >= F.col("fill")) & (F.size(state["ends"]) + 1 < pages)
+        return F.struct(at.alias("at"), F.when(full, 0).otherwise(chars).alias("chars"), F.when(full, F.array_append(state["ends"], at)).otherwise(state["ends"]).alias("ends"))
+
+    known = texts.where((pages > 0) & text.isNotNull()).select("doc_id", "markdown", "pages", marked.alias("marked"))
+    by_mark = known.where(F.size("marked") >= pages).select("doc_id", F.posexplode(F.slice("marked", F.lit(1), pages)).alias("p", "part"))
+    folded = known.where(F.size("marked") < pages).select("doc_id", "pages", rows.alias("rows"), fill.alias("fill"))
+    folded = folded.withColumn("ends", F.aggregate("rows", start, step, lambda s: s["ends"]))
+    bounds = F.arrays_zip(F.concat(F.array(F.lit(0)), F.col("ends")).alias("a"), F.concat(F.col("ends"), F.array(F.size("rows"))).alias("z"))
+    parts = F.transform(F.filter(bounds, lambda x: x["z"] > x["a"]), lambda x: F.array_join(F.slice(F.col("rows"), x["a"] + 1, x["z"] - x["a"]), "\n"))
+    by_length = folded.select("doc_id", F.posexplode(parts).alias("p", "part"))
+    return by_mark.unionByName(by_length).select("doc_id", (F.col("p") + 1).cast("long").alias("page"), _stripped(F.col("part")).alias("markdown"))

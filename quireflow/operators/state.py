@@ -77,6 +77,19 @@ def reassemble(parts: DataFrame) -> DataFrame:
     return whole.select("key", F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["content"])).alias("content"))
 
 
+def shard_manifest(parts: DataFrame) -> DataFrame:
+    """key, part, bytes, sha256 of shards()."""
+    return parts.select("key", "part", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def verify_shards(parts: DataFrame, manifest: DataFrame) -> DataFrame:
+    """key, intact: whether every part that the manifest lists is there once, with its size and digest, and no other."""
+    found = shard_manifest(parts).groupBy("key", "part").agg(F.count("*").alias("n"), F.max("bytes").alias("b"), F.max("sha256").alias("s"))
+    both = manifest.join(found, ["key", "part"], "full")
+    right = F.coalesce((F.col("n") == 1) & (F.col("b") == F.col("bytes")) & (F.col("s") == F.col("sha256")), F.lit(False))
+    return both.groupBy("key").agg(F.min(right).alias("intact"))
+
+
 def levels(spark, nodes: str, edges: str) -> DataFrame:
     """name, level of each node of a task graph: the longest path to it; nodes (name), edges (src, dst): view names."""
     return spark.sql(f"""

@@ -241,3 +241,36 @@ def test_stream_writes_once_over_a_restart(spark, sf_dir, tmp_path):
 def test_sessions_cover_all_events(spark, sf_dir):
     batch = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
     assert events.activity(batch).agg(F.sum("n")).first()[0] == batch.count()
+
+
+def test_divided_pages_by_hand(spark):
+    rows = [
+        (1, "a\n---\nb\n---\nc", 2),  # enough marks: further parts are left out
+        (2, "a\fb\n---\nc", 2),  # form feeds come first
+        (3, "aaaa\nbb\ncc\ndddd", 3),  # 14 characters: a page is full at four
+        (4, "one line", 3),
+        (5, "", 3),
+        (6, "x\n\n", 5),
+        (7, "y", 0),
+        (8, "z", None),
+        (9, None, 2),
+    ]
+    found = {(r["doc_id"], r["page"]): r["markdown"] for r in render.divide_pages(spark.createDataFrame(rows, "doc_id long, markdown string, pages int")).collect()}
+    assert found == {
+        (1, 1): "a", (1, 2): "b", (2, 1): "a", (2, 2): "b\n---\nc", (3, 1): "aaaa", (3, 2): "bb\ncc", (3, 3): "dddd",
+        (4, 1): "one line", (5, 1): "", (6, 1): "x", (6, 2): "", (6, 3): "",
+    }
+
+
+def test_marked_pages_leave_out_empty_ones(spark):
+    mark = "\n" + "-" * 48 + "\n"
+    rows = [(1, f"{mark} a {mark}{mark}b\n---\nc"), (2, ""), (3, None)]
+    found = [tuple(r) for r in render.split_pages(spark.createDataFrame(rows, "doc_id long, markdown string")).orderBy("page").collect()]
+    assert found == [(1, 1, "a"), (1, 2, "b\n---\nc")]
+
+
+def test_shards_are_verified_part_by_part(spark):
+    listed = spark.createDataFrame([(k, p, 1, "ca978112ca1bbdcafac231b39a23dc4da786eff8147c4e72b9807785afee48bb") for k in (1, 2, 3, 4) for p in (0, 1)], "key long, part int, bytes long, sha256 string")
+    a, b = bytearray(b"a"), bytearray(b"b")
+    parts = spark.createDataFrame([(1, 0, a), (1, 1, a), (2, 0, a), (3, 0, a), (3, 1, b), (4, 0, a), (4, 1, a), (4, 2, a), (5, 0, a)], "key long, part int, content binary")
+    assert {r["key"]: r["intact"] for r in state.verify_shards(parts, listed).collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
