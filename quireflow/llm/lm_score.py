@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWERED, materialize, mix64, pieces, powers, release, span_hashes, tokens, trim, trimmed
+from .common import LOWERED, SPACE, kept, mix64, pieces, powers, span_hashes, tokens, trim, trimmed
 
 BITS = (8, 16, 18, 20, 21)  # of the slots of the byte contexts
 WORD_BITS, SLICE_BITS = 24, 14  # of the slots for words, and of the slices that these are built in
@@ -64,62 +64,76 @@ def short_words(begin: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray
     return np.where(end - begin <= 3, (h % np.uint64(SHORT)).astype(np.int64), -1)
 
 
-def registers(short: np.ndarray, first: np.ndarray, group: np.ndarray, place: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The group most met in a row before a place (a word's number; GROUPS: none yet)."""
-    out = np.full(len(place), GROUPS)
-    where = np.flatnonzero(short >= 0)
-    where = where[group[short[where]] >= 0]
-    if not len(where):
-        return out
-    met = np.zeros((len(where) + 1, GROUPS), np.int32)
-    met[np.arange(1, len(where) + 1), group[short[where]]] = 1
-    np.cumsum(met, axis=0, out=met)
-    before, start = np.searchsorted(where, place), np.searchsorted(where, first)[row]
-    seen = before > start
-    out[seen] = np.argmax(met[before[seen]] - met[start[seen]], axis=1)
-    return out
+def registers(short: np.ndarray, first: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The group most met in its row before each word, and before each row's end (GROUPS: none yet)."""
+    own = np.where(short >= 0, group[short], -1)
+    where = np.flatnonzero(own >= 0)
+    before = np.zeros(len(short) + 1, np.int64)  # of these words, those before a word
+    np.cumsum(own >= 0, out=before[1:])
+    start = before[first]  # and those before a row
+    most = np.zeros(len(where) + 1, np.int64)  # after each of them: the most met, and how often
+    own, since = own[where], np.repeat(start[:-1], np.diff(start))
+    for k in range(GROUPS):
+        met = np.zeros(len(where) + 1, np.int64)
+        np.cumsum(own == k, out=met[1:])
+        np.maximum(most[1:], (met[1:] - met[since]) * (GROUPS + 1) + GROUPS - 1 - k, out=most[1:])
+    best = GROUPS - 1 - most % (GROUPS + 1)
+    ends, n = before[first[1:]], np.diff(first)
+    return np.where(before[:-1] > np.repeat(start[:-1], n), best[before[:-1]], GROUPS), np.where(ends > start[:-1], best[ends], GROUPS)
 
 
-def stream(raw: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """What stands for each byte, and for the end, of all rows one after another.
+def read(raw: np.ndarray, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What stands for each byte, and for the end, of all rows one after another; the words' hashes, each row's first word.
 
     The low 40 bits are five bytes, the last of which is to be predicted, the high 24 a hash of the word before it
     and its register.
     """
-    raw, n = LOWERED[raw], np.diff(at)
-    begin, end, first = tokens(raw, at)
-    power, inverse = powers(len(raw) + 1)
-    total = np.r_[np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * power[: len(raw)], dtype=np.uint64)]
-    short, row = short_words(begin, end, mix64((total[end] - total[begin]) * inverse[begin])), np.arange(len(n))
-    state, after = (registers(short, first, group, *x).astype(np.uint64) + np.uint64(1) for x in ((np.arange(len(begin)), np.repeat(row, np.diff(first))), (first[1:], row)))
-    # places: the bytes of all rows with an end after each row; a place's word is the one that began last in its row
-    place = np.arange(len(raw)) + np.repeat(np.arange(len(n)), n)
-    size = len(raw) + len(n)
-    word = np.zeros(size, np.int64)  # 1 + the word that a place continues, or 0 between words
-    inside = np.zeros(size + 1, np.int64)
-    inside[place[begin] + 1] += 1
-    inside[place[end - 1] + 2 if len(end) else end] -= 1
-    open_ = np.cumsum(inside)[:size] > 0
-    number = np.zeros(size + 1, np.int64)  # of the words that began before a place
-    number[place[begin] + 1] = 1
-    number = np.cumsum(number)[:size]
-    source = np.empty(size, np.int64)
-    source[place] = np.arange(len(raw))
-    source[at[1:] + np.arange(len(n))] = at[1:]
-    word = np.where(open_, number, 0)
-    start = np.r_[0, begin][word]
-    prefix = np.where(open_, (total[source] - total[start]) * inverse[start], 0)
-    of = np.repeat(row, n + 1)
-    more = number < first[1:][of]  # a place between words has the register of the row's next word, or after its last one
-    now = np.where(open_, np.r_[np.uint64(0), state][word], np.where(more, np.r_[state, np.uint64(0)][number], after[of]))
-    key = mix64(prefix + now * np.uint64(0xD1342543DE82EF95)) & np.uint64(0xFFFFFF << 40)
-    out = np.full(len(raw) + (PAD + 1) * len(n), END, np.uint8)
-    out[np.arange(len(raw)) + np.repeat(np.arange(len(n)) * (PAD + 1) + PAD, n)] = raw
-    at_out = np.arange(size) + np.repeat(np.arange(len(n)) * PAD, n + 1) + PAD
-    grams = out[PAD:].astype(np.uint64)
-    for k in range(1, PAD + 1):
-        grams |= out[PAD - k : len(out) - k].astype(np.uint64) << np.uint64(8 * k)
-    return (key | grams[at_out - PAD]).view(np.int64)
+    n = np.diff(at)
+    row = np.arange(len(n))
+    size, start, stop = len(raw) + len(n), at[:-1] + row, at[1:] + row  # places: the bytes with an end after each row
+    padded = np.full(size + 7, END, np.uint8)
+    padded[7:][np.arange(len(raw)) + np.repeat(row, n)] = LOWERED[raw]
+    text = padded[7:]
+    word = np.zeros(size + 2, bool)  # of the place before
+    np.logical_not(SPACE[text], out=word[1:-1])
+    word[stop + 1] = False
+    begin, end = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+    first = np.searchsorted(begin, np.r_[start, size])
+    power, inverse = powers(size + 1)
+    total = np.zeros(size + 1, np.uint64)
+    np.cumsum((text + np.uint64(1)) * power[:size], out=total[1:])
+    base, inverse = total[begin], inverse[begin]
+    h = mix64((total[end] - base) * inverse)
+    state, after = ((x.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95) for x in registers(short_words(begin, end, h), first, group))
+    # runs of places: before a row's first word, within a word (from its second byte to the place after it), after a word
+    of = np.repeat(row, np.diff(first))
+    inside, leads = 2 * np.arange(len(begin)) + of + 1, 2 * first[:-1] + row
+    runs = np.zeros((4, 2 * len(begin) + len(n)), np.uint64)  # where it begins; the word's base, inverse and register
+    runs[0, leads], runs[0, inside], runs[0, inside + 1] = start, begin + 1, end + 1
+    runs[1, inside], runs[2, inside], runs[3, inside] = base, inverse, state
+    # a place between words has the register of the row's next word, or after its last one
+    none = first[1:] == first[:-1]
+    runs[3, leads] = np.where(none, after, np.r_[state, np.uint64(0)][first[:-1]])
+    runs[3, inside[:-1] + 1] = state[1:]
+    runs[3, inside[first[1:][~none] - 1] + 1] = after[~none]
+    long = np.diff(np.r_[runs[0].astype(np.int64), size])
+    key = total[:size]
+    key -= np.repeat(runs[1], long)
+    key *= np.repeat(runs[2], long)  # 0 between words
+    key += np.repeat(runs[3], long)
+    key = mix64(key)
+    key &= np.uint64(0xFFFFFF << 40)
+    grams = np.ndarray(size, ">u8", padded, 0, (1,)).astype(np.uint64)
+    grams &= np.uint64(LOW)
+    for k in range(PAD):  # contexts don't reach into the row before
+        grams[start[n >= k] + k] |= np.uint64(LOW >> 8 * (k + 1) << 8 * (k + 1))
+    key |= grams
+    return key.view(np.int64), h, first
+
+
+def stream(raw: np.ndarray, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The strings of read()."""
+    return read(raw, at, group)[0]
 
 
 LOW = (1 << 40) - 1
@@ -293,6 +307,13 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, np.bincount(codes, minlength=len(values))
 
 
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_counted() for many keys that repeat, ascending; sorts them in place."""
+    keys.sort()
+    last = np.flatnonzero(np.r_[keys[1:] != keys[:-1], np.ones(min(1, len(keys)), bool)])
+    return keys[last], np.diff(last, prepend=-1)
+
+
 def gather(training: DataFrame, text_col: str = "text") -> DataFrame:
     """kind (1: token hashes, 2: texts, 3: pairs of short words in a row), key, n of the training texts."""
 
@@ -323,7 +344,7 @@ def gather(training: DataFrame, text_col: str = "text") -> DataFrame:
             yield from count(held)
 
     rows = training.select(F.col(text_col)).mapInArrow(trimmed(run), "kind byte, key long, n long")
-    return materialize(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    return kept(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
 
 def group_short(counts: DataFrame) -> np.ndarray:
@@ -365,7 +386,7 @@ def strings(training: DataFrame, group: np.ndarray, parts: int, text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []  # counted by parts, then together
         for _, raw, at in pieces(batches, text_col, 3 << 20):
-            held.append(_counted(_streams(raw, at, group)))
+            held.append(_sorted(_streams(raw, at, group)[0]))
             if sum(len(n) for _, n in held) > HELD:
                 yield from dealt(*_folded(held))
         if held:
@@ -408,7 +429,7 @@ def strings(training: DataFrame, group: np.ndarray, parts: int, text_col: str =
 
     schema = "kind byte, at long, keys binary, n binary"
     rows = training.select(F.col(text_col)).mapInArrow(trimmed(run), schema).repartition(parts, "at")
-    return materialize(rows.mapInArrow(trimmed(build), schema), "strings")
+    return kept(rows.mapInArrow(trimmed(build), schema))
 
 
 def _arrays(kind: int, at: np.ndarray, keys: np.ndarray, n: np.ndarray, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -480,22 +501,24 @@ def byte_tables(made: DataFrame, parts: int = 16) -> np.ndarray:
 
     dealt = made.where("kind = 1").repartition(parts, "at").select("keys", "n")
     sums = np.zeros((2, total))
-    for row in materialize(dealt.mapInArrow(trimmed(count), "slots binary, n0 binary, n1 binary"), "bytes").toLocalIterator():
+    made = kept(dealt.mapInArrow(trimmed(count), "slots binary, n0 binary, n1 binary"))
+    for row in made.toLocalIterator():
         slots = np.frombuffer(bytes(row["slots"]), np.int32)
         sums[0, slots] += np.frombuffer(bytes(row["n0"]))
         sums[1, slots] += np.frombuffer(bytes(row["n1"]))
+    made.unpersist()
     return packed(*sums)
 
 
-def train(made: DataFrame) -> tuple[Broadcast, np.ndarray | None, np.ndarray | None]:
+def train(made: DataFrame, tasks: int = 1) -> tuple[Broadcast, np.ndarray | None, np.ndarray | None]:
     """The model from strings(): its tables (of one size for any corpus) as a broadcast, weights, refining map.
 
-    Each task learns weights of its own; they are averaged by the curvature that they were learned from, first in
-    small groups of tasks.
+    Each of the tasks learns weights of its own; they are averaged by the curvature that they were learned from, first
+    in small groups of tasks.
     """
     spark = made.sparkSession
     words = np.zeros(1 << WORD_BITS, np.uint32)
-    for row in made.where("kind = 2").select("at", "keys").toLocalIterator():
+    for row in made.where("kind = 2").select("at", "keys").repartition(16, "at").toLocalIterator():
         words[row["at"] * WIDE : (row["at"] + 1) * WIDE] = np.frombuffer(bytes(row["keys"]), np.uint32)
     shared = spark.sparkContext.broadcast(Tables((byte_tables(made), words)))
     del words
@@ -517,9 +540,8 @@ def train(made: DataFrame) -> tuple[Broadcast, np.ndarray | None, np.ndarray | N
     def sums(x: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], ["sums"])
 
-    learned = materialize(made.where("kind = 0").select("keys", "n").mapInArrow(trimmed(weigh), "sums binary"), "learned")
+    learned = made.where("kind = 0").select("keys", "n").coalesce(tasks).mapInArrow(trimmed(weigh), "sums binary")
     rows = learned.repartition(16, F.xxhash64("sums")).mapInArrow(add, "sums binary").collect()
-    release(learned)
     if not rows:
         return shared, None, None
     weights, curve, seen = np.split(np.sum(sorted((np.frombuffer(bytes(r["sums"])) for r in rows), key=bytes), axis=0), np.cumsum(sizes)[:-1])
@@ -544,15 +566,18 @@ def frequent(counts: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return least, key[order], n[order]
 
 
-def _streams(raw: np.ndarray, at: np.ndarray, group: np.ndarray, part: int = 1 << 17) -> np.ndarray:
-    """stream()'s strings, made in small parts that stay in the processor's cache."""
+def _streams(raw: np.ndarray, at: np.ndarray, group: np.ndarray, part: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """read(), made in small parts that stay in the processor's cache."""
     out, row, done = np.empty(len(raw) + len(at) - 1, np.int64), 0, 0
+    hashes, first = [np.zeros(0, np.uint64)], np.zeros(len(at), np.int64)
     while row < len(at) - 1:
         end = max(row + 1, int(np.searchsorted(at, at[row] + part, "right")) - 1)
-        own = stream(raw[at[row] : at[end]], at[row : end + 1] - at[row], group)
+        own, h, words = read(raw[at[row] : at[end]], at[row : end + 1] - at[row], group)
         out[done : done + len(own)] = own
+        first[row : end + 1] = first[row] + words
+        hashes.append(h)
         row, done = end, done + len(own)
-    return out
+    return out, np.concatenate(hashes), first
 
 
 def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -563,9 +588,10 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
     n, v = n + texts, v + (texts > 0)
     least, hot, often = frequent(counts)
     group = group_short(counts)
-    met = strings(docs.where(training), group, int(np.clip(n // PART, 1, MOST)), text_col)
-    tables, weights, refine = train(met)
-    release(met)
+    parts = int(np.clip(n // PART, 1, MOST))
+    met = strings(docs.where(training), group, parts, text_col)
+    tables, weights, refine = train(met, max(1, parts // 4))
+    met.unpersist()
     shared = spark.sparkContext.broadcast((hot, often))
     unit = lambda c: np.rint(np.log10(c + 1.0) / UNIT).astype(np.int64)
 
@@ -586,10 +612,9 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
             held.clear()
 
         for part, raw, at in pieces(batches, "text", 3 << 20):
-            codes, values = pd.factorize(_streams(raw, at, group))
-            codes = codes.astype(np.int32)
-            begin, end, first = tokens(raw, at)
-            h = span_hashes(LOWERED[raw], begin, end).view(np.int64)
+            grams, h, first = _streams(raw, at, group)
+            codes, values = pd.factorize(grams)
+            codes, h, grams = codes.astype(np.int32), h.view(np.int64), None
             which, distinct = pd.factorize(h)
             place = np.minimum(np.searchsorted(hot, distinct), max(0, len(hot) - 1))
             met = hot[place] == distinct if len(hot) else np.zeros(len(distinct), bool)
@@ -605,7 +630,7 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
             yield from flush()
 
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scored = materialize(source.mapInArrow(trimmed(run), "row long, id long, words long, known long, units long, rare array<long>, n_bytes long, score double"), "scored")
+    scored = kept(source.mapInArrow(trimmed(run), "row long, id long, words long, known long, units long, rare array<long>, n_bytes long, score double"))
     lookup = counts.where(f"kind = 1 and n < {least}").select("key", "n")
     found = scored.select("row", F.explode("rare").alias("key")).join(lookup, "key")
     found = found.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.round(F.log10(F.col("n") + 1.0) / UNIT).cast("long")).alias("extra"))

@@ -2,6 +2,8 @@
 
 import math
 import random
+import shutil
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -146,3 +148,23 @@ def test_equal_texts_score_equal_wherever_they_stand(spark):
         got = lm_score.lm_scores(table, F.col("doc_id") < 1000).where("doc_id >= 1000").collect()
         for k in range(len(same)):
             assert len({round(r["score"], 9) for r in got if (r["doc_id"] - 1000) // 10 == k}) == 1
+
+
+def test_scoring_writes_no_files(spark):
+    """Each file that an executor writes on a local disk starts a process, which shows the JVM's memory twice for a moment."""
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    files = lambda: {p for p in base.rglob("*") if p.is_file()}
+    docs = spark.createDataFrame(list(enumerate(texts(60, 6))), "doc_id long, text string")
+    before = files()
+    ids = {r["doc_id"] for r in lm_score.lm_scores(docs, F.col("doc_id") < 30).collect()}
+    assert len(ids) == 60 and files() == before
+
+
+def test_blocks_of_equal_plans_are_not_shared(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    totals = []
+    for seed in (7, 8):
+        spark.createDataFrame(list(enumerate(texts(40, seed))), "doc_id long, text string").coalesce(1).write.parquet(path)
+        totals.append({r["train_tokens"] for r in lm_score.lm_scores(spark.read.parquet(path), F.lit(True)).collect()})
+        shutil.rmtree(path)  # behind Spark's back
+    assert totals == [{sum(len(t.split()) + 1 for t in texts(40, seed))} for seed in (7, 8)]
