@@ -42,7 +42,7 @@ from .common import LOWERED, SPACE, kept, mix64, pieces, powers, span_hashes, to
 BITS = (8, 16, 18, 20, 21)  # of the slots of the byte contexts
 WORD_BITS, SLICE_BITS = 24, 14  # of the slots for words, and of the slices that these are built in
 WIDE, MOST, PART = 1 << WORD_BITS - SLICE_BITS, 1 << SLICE_BITS, 1 << 19  # slots of a slice; parts; tokens of a part
-STRETCH, FIVES = 1 << 16, 64  # strings of a row; groups of five-byte strings
+STRETCH, FIVES, TURN = 1 << 16, 64, 256  # strings of a row; groups of five-byte strings; slices made at once
 ORDERS, END, PAD, HOT, HELD, TOGETHER = len(BITS) + 1, 255, 4, 150_000, 3_000_000, 12 << 20
 SPREAD, STEPS, EDGE, UNIT, SHORT, GROUPS, RATE, CURVE = 1.0, 33, 8.0, 1e-12, 256, 6, 1.0, 200.0
 OFFSET = np.r_[0, np.cumsum([1 << b for b in BITS])]
@@ -260,12 +260,14 @@ class Model:
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """The log10 probability of each string's last byte after the others."""
-        out, order = np.empty(len(grams)), np.argsort(grams)  # neighbours look at one slice of the word table
-        grams = grams[order]
-        block = (grams >> 8) & 7
+        if not (grams[1:] >= grams[:-1]).all():  # neighbours look at one slice of the word table
+            out, order = np.empty(len(grams)), np.argsort(grams)
+            out[order] = self.log10(grams[order])
+            return out
+        out, block = np.empty(len(grams)), ((grams >> 8) & 7).astype(np.uint8)
         for k in range(8):  # in blocks of different five-byte strings, to bound memory
             own = np.flatnonzero(block == k)
-            out[order[own]] = self._log10(grams[own])
+            out[own] = self._log10(grams[own])
         return out
 
     def _log10(self, grams: np.ndarray) -> np.ndarray:
@@ -418,8 +420,15 @@ def strings(training: DataFrame, group: np.ndarray, parts: int, text_col: str =
         own = (mix64(five.view(np.uint64) >> np.uint64(8) & np.uint64(0xFFFF)) % np.uint64(FIVES)).astype(np.int64)
         order = np.argsort(own, kind="stable")
         yield from _arrays(1, np.arange(FIVES), five[order], often[order], np.searchsorted(own[order], np.arange(FIVES + 1)))
-        mine, place = np.unique(key.view(np.uint64) >> np.uint64(64 - SLICE_BITS), return_inverse=True)
-        table, n = np.zeros(2 * len(mine) * WIDE), n.astype(np.float64)
+        of = key.view(np.uint64) >> np.uint64(64 - SLICE_BITS)
+        edges = np.searchsorted(of, np.arange(0, MOST + TURN, TURN, dtype=np.uint64))
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            if low < high:
+                yield from slices(of[low:high], key[low:high], n[low:high].astype(np.float64))
+
+    def slices(of: np.ndarray, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        mine, place = np.unique(of, return_inverse=True)
+        table = np.zeros(2 * len(mine) * WIDE)
         for bit in range(8):
             np.add.at(table, (bit_of(key, bit) * len(mine) + place) * WIDE + (word_slots(key, bit) & WIDE - 1), n)
         table, words = table.reshape(2, -1), np.zeros(len(mine) * WIDE, np.uint32)
@@ -599,19 +608,26 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
         hot, often = shared.value
         model = Model(tables.value, weights, refine)
         units = unit(often)
-        held: list[tuple[list[pa.Array], np.ndarray, np.ndarray, np.ndarray]] = []  # strings of several parts are scored together
+        held: list[tuple[list[pa.Array], np.ndarray, np.ndarray]] = []  # strings of several parts are scored together
+        apart: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             trim()
-            which, values = pd.factorize(np.concatenate([v for _, _, v, _ in held]))
-            score, done = model.log10(values)[which], 0
-            for columns, codes, own, begin in held:
-                total = np.add.reduceat(score[done : done + len(own)][codes], begin)
-                done += len(own)
+            sizes, values = [len(v) for v in apart], np.concatenate(apart)
+            apart.clear()
+            order = np.argsort(values)  # less memory than a hash table
+            values, order = values[order], order.astype(np.int32)
+            new = np.r_[np.ones(1, bool), values[1:] != values[:-1]]
+            values, score, done = values[new], np.empty(len(order)), 0
+            score[order] = model.log10(values)[np.cumsum(new) - 1]
+            del order, new, values
+            for (columns, codes, begin), size in zip(held, sizes, strict=True):
+                total = np.add.reduceat(score[done : done + size][codes], begin)
+                done += size
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(total)], ["row", "id", "words", "known", "units", "rare", "n_bytes", "score"])
             held.clear()
 
-        for part, raw, at in pieces(batches, "text", 3 << 20):
+        for part, raw, at in pieces(batches, "text", 2 << 20):
             grams, h, first = _streams(raw, at, group)
             codes, values = pd.factorize(grams)
             codes, h, grams = codes.astype(np.int32), h.view(np.int64), None
@@ -623,8 +639,9 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
             base = upto(np.where(met, units[place], 0)[which] if len(hot) else np.zeros(len(h), np.int64))
             rare = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(~known)][first].astype(np.int32)), pa.array(h[~known]))
             ids = [part.column(k).take(pa.array(np.arange(part.num_rows))) for k in (0, 1)]  # copies, so that the texts can go
-            held.append(([*ids, pa.array(np.diff(first)), pa.array(upto(known)), pa.array(base), rare, pa.array(np.diff(at))], codes, values, (at + np.arange(len(at)))[:-1]))
-            if sum(len(c) for _, c, _, _ in held) > TOGETHER:
+            held.append(([*ids, pa.array(np.diff(first)), pa.array(upto(known)), pa.array(base), rare, pa.array(np.diff(at))], codes, (at + np.arange(len(at)))[:-1]))
+            apart.append(values)
+            if sum(len(c) for _, c, _ in held) > TOGETHER:
                 yield from flush()
         if held:
             yield from flush()

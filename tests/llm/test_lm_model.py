@@ -168,3 +168,10 @@ def test_blocks_of_equal_plans_are_not_shared(spark, tmp_path):
         totals.append({r["train_tokens"] for r in lm_score.lm_scores(spark.read.parquet(path), F.lit(True)).collect()})
         shutil.rmtree(path)  # behind Spark's back
     assert totals == [{sum(len(t.split()) + 1 for t in texts(40, seed))} for seed in (7, 8)]
+
+
+def test_scores_do_not_depend_on_the_order_of_strings(trained):
+    _, group, _, model = trained
+    keys = np.unique(np.array([k for t in texts(20, 9) for k in plain_keys(t, group)], np.uint64).view(np.int64))
+    order = np.random.default_rng(1).permutation(len(keys))
+    assert (model.log10(keys[order]) == model.log10(keys)[order]).all()
