@@ -28,8 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ascii_lower(col: Column) -> Column:
-    """Lower-cases A-Z only; null becomes the empty text."""
-    return F.translate(F.coalesce(col, F.lit("")), UPPER, LOWER)
+    """Lower-cases A-Z only; null becomes the empty text.
+
+    translate() makes a Java string of each character, so texts of single bytes go another way, with equal results.
+    """
+    text = F.coalesce(col, F.lit(""))
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

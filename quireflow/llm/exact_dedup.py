@@ -1,13 +1,13 @@
 """Exact de-duplication by skew-safe combining.
 
-Three stages, each comparing whole normalised texts and not only their digests:
+Whole normalised texts are compared, not only their digests:
 
-1. every task folds the copies it holds (map-side aggregation by digest, text and salt),
-2. salted groups are merged, so that a group of copies that holds a third of all rows is met by `salts` tasks,
-3. the salts' winners, at most `salts` rows a text, are combined.
+1. every task folds the copies it holds (map-side aggregation by digest and text), so that a group of copies, even one
+   that holds a third of all rows, leaves a task as one row,
+2. these rows meet by digest and text, which is the only time that whole texts are shuffled to find the groups.
 
-The winners go back to the rows by digest alone, which is a narrow join; digests that stand for more than one text
-(only possible with a weak digest) take a second join that compares the texts themselves.
+The winners go back to the rows by digest alone, which is a narrow join that AQE can split; digests that stand for more
+than one text (only possible with a weak digest) take a second join that compares the texts themselves.
 
 Defined results: null text counts as empty; empty texts form one group; null ids never win over others, and a
 group of null ids only keeps all of them (keep_id null); rows that repeat an id with the same text are one
@@ -22,34 +22,41 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, kept
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256."""
+def _groups(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The rows (id, t, h); a row for each digest of one text (h, keep, n); of digests of more texts, one for each text (h, t, keep, n)."""
     rows = docs.select(F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("t")).withColumn("h", digest(F.col("t")))
-    salted = rows.groupBy("h", "t", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(F.max("id").alias("keep"), F.count("*").alias("n"))
-    winners = salted.repartition("h").groupBy("h", "t").agg(F.max("keep").alias("keep"), F.sum("n").alias("n"))
-    texts = materialize(winners.groupBy("h").agg(F.count("*").alias("texts"), F.max("keep").alias("keep"), F.max("n").alias("n")), "digests")
-    narrow = rows.select("id", "h", F.sha2("t", 256).alias("sha"))
-    out = narrow.join(texts.where("texts = 1"), "h").select("id", "keep", "n", "sha")
-    if not texts.where("texts > 1").isEmpty():
-        doubtful = texts.where("texts > 1").select("h")
-        whole = winners.join(doubtful, "h", "left_semi")
+    winners = rows.groupBy("h", "t").agg(F.max("id").alias("keep"), F.count("*").alias("n"))
+    texts = kept(winners.groupBy("h").agg(F.count("*").alias("texts"), F.max("keep").alias("keep"), F.max("n").alias("n")))
+    doubtful = texts.where("texts > 1").select("h")
+    return rows, texts.where("texts = 1").drop("texts"), None if doubtful.isEmpty() else winners.join(doubtful, "h", "left_semi")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256."""
+    rows, texts, whole = _groups(docs, id_col, text_col, digest)
+    out = rows.select("id", "h", F.sha2("t", 256).alias("sha")).join(texts, "h").select("id", "keep", "n", "sha")
+    if whole:
         out = out.unionByName(rows.join(whole, ["h", "t"]).select("id", "keep", "n", F.sha2("t", 256).alias("sha")))
-    kept = F.coalesce(F.col("id") == F.col("keep"), F.col("keep").isNull())
-    return out.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    stays = F.coalesce(F.col("id") == F.col("keep"), F.col("keep").isNull())
+    return out.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"), stays.alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """The rows of docs that stay, with all their columns: those go, by id and text, that exact_groups() doesn't keep."""
-    gone = exact_groups(docs, id_col, text_col, salts).where(~F.col("kept")).select(F.col(id_col).alias("__gone"), F.col("text_sha256").alias("__sha"))
-    same = docs[id_col].eqNullSafe(gone["__gone"]) & (F.sha2(ascii_lower(docs[text_col]), 256) == gone["__sha"])
-    return docs.join(gone, same, "left_anti")
+    _, texts, whole = _groups(docs, id_col, text_col, digest)
+    text = ascii_lower(docs[text_col])
+    for more, same in ((texts, F.lit(True)), (whole, text == F.col("__t"))):
+        if more:
+            gone = more.where("n > 1 AND keep IS NOT NULL").select(*(F.col(c).alias(f"__{c}") for c in more.columns if c != "n"))
+            docs = docs.join(gone, (digest(text) == gone["__h"]) & same & ~docs[id_col].eqNullSafe(gone["__keep"]), "left_anti")
+    return docs
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

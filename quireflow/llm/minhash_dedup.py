@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWERED, materialize, mix64, pieces, span_hashes, tokens, trimmed
+from .common import LOWERED, kept, materialize, mix64, pieces, span_hashes, tokens, trimmed
 from .components import components, reach
 from .vector_dedup import whole_runs
 
@@ -274,9 +274,17 @@ def class_roots(docs: DataFrame, classes: DataFrame, width: int, percent: int, i
     sizes = ties.groupBy("root").agg(F.count("*").alias("size"))
     chunk = F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / CHUNK))
     chosen = ties.withColumnRenamed("node", "cid").join(sizes, "root").join(classes, "cid")
-    chosen = materialize(chosen.select(F.col("id").alias("doc"), "digest", F.col("root").alias("group"), chunk.alias("chunk"), "cid", "size"), "chosen")
-    sets = materialize(_full_sets(docs, chosen.drop("size"), width, id_col, text_col), "sets")
-    links = materialize(_forests(sets, 2, percent), "links")
+    chosen = kept(chosen.select(F.col("id").alias("doc"), "digest", F.col("root").alias("group"), chunk.alias("chunk"), "cid", "size"))
+    sets = kept(_full_sets(docs, chosen.drop("size"), width, id_col, text_col))
+    links = kept(_forests(sets, 2, percent))
+    roots = _roots(chosen, sets, links, percent)
+    for df in (links, sets, chosen):  # roots are a table of their own
+        df.unpersist()
+    return roots
+
+
+def _roots(chosen: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Components of the links; of large groups, what lies outside their main parts is compared with all of the group."""
     roots = components(links)
     large = chosen.where(F.col("size") > CHUNK).select("group", "cid")
     if large.isEmpty():
@@ -284,7 +292,7 @@ def class_roots(docs: DataFrame, classes: DataFrame, width: int, percent: int, i
     parts = large.join(roots, F.col("cid") == F.col("node"), "left").select("group", "cid", F.coalesce("root", "cid").alias("part"))
     counts = parts.groupBy("group", "part").agg(F.count("*").alias("n"))
     main = counts.groupBy("group").agg(F.max(F.struct("n", "part"))["part"].alias("main"))
-    outside = materialize(parts.join(main, "group").where("part <> main").select("group", "cid"), "outside")
+    outside = kept(parts.join(main, "group").where("part <> main").select("group", "cid"))
     if outside.isEmpty():
         return roots
     left = outside.withColumn("of", F.count("*").over(W.partitionBy("group"))).withColumn("block", F.pmod(F.xxhash64("cid"), F.ceil(F.col("of") / CHUNK)))
@@ -293,7 +301,9 @@ def class_roots(docs: DataFrame, classes: DataFrame, width: int, percent: int, i
     chunks = sets.select("group", "chunk").distinct()
     again = sets.drop("chunk").join(left.select("group", "cid", "block"), ["group", "cid"]).join(chunks, "group").select("group", "block", "chunk", "cid", "members")
     more = _forests(whole.unionByName(again), 3, percent)
-    return components(links.unionByName(more))
+    roots = components(links.unionByName(more))
+    outside.unpersist()
+    return roots
 
 
 def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,7 +312,7 @@ def near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
 
 
 def _near_copies(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, key: Column | None = None) -> DataFrame:
-    rows = materialize(signatures(docs, width, id_col, text_col, key), "signatures")
+    rows = kept(signatures(docs, width, id_col, text_col, key))
     grouped = rows.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("id"), F.min("signature").alias("signature"))
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "n", "digest", "id", "signature"), "classes")
     roots = class_roots(docs, classes, width, percent, id_col, text_col)

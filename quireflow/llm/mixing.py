@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, let, materialize
+from .common import WORD, kept, let, materialize
 
 WEIGHTS, CAP, BLOCK, BUCKET, ROUNDS, STRIDE = (5, 2, 1), 3, 128, 1 << 11, 8, 1024
 
@@ -90,7 +90,7 @@ class Mix:
     def __init__(self, docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", block: int = BLOCK, weights=WEIGHTS, cap: int = CAP, seed: str = "mix", shard: int = 4096, keyed: bool = False):
         size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
         key = row_key(F.col(id_col), F.col(source_col), F.col(text_col)) if keyed else F.lit(None).cast("binary")
-        sized = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")), "sizes")
+        sized = kept(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")))
         src = source_targets(sized, weights, cap)
         blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
         draws = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(F.col("target") * blocks / F.col("source_size") + 0.5)).cast("long")
@@ -126,7 +126,7 @@ class Mix:
 
     def _slots(self) -> DataFrame:
         """One row for each slot: shard, slot, sid, pass, block."""
-        drawn = materialize(self.drawn(), "drawn").withColumn("stretch", F.floor(F.col("shard") / STRIDE))
+        drawn = kept(self.drawn()).withColumn("stretch", F.floor(F.col("shard") / STRIDE))
         sums = drawn.groupBy("sid", "stretch").agg(F.sum("n").alias("own"))
         base = F.coalesce(F.sum("own").over(W.partitionBy("sid").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         before = F.coalesce(F.sum("n").over(W.partitionBy("sid", "stretch").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -142,7 +142,7 @@ class Mix:
 
         runs = drawn.join(sums.select("sid", "stretch", base.alias("base")), ["sid", "stretch"]).withColumn("j", F.col("base") + before)
         runs = runs.join(met.select("sid", "draws", "over_at"), "sid").withColumn("keep", F.greatest(F.lit(0), F.least(F.col("n"), F.col("draws") - F.col("j"))))
-        kept = runs.where("keep > 0").select("shard", "sid", "j", F.col("keep").alias("n"))
+        inner = runs.where("keep > 0").select("shard", "sid", "j", F.col("keep").alias("n"))
         x = F.col("over_at") + F.col("j") + F.col("keep") - F.col("draws")
         moved = runs.where("n > keep").select("shard", F.explode(F.sequence(x, x + F.col("n") - F.col("keep") - 1)).alias("x"))
         places = cells(met.select("sid", "got", "under", "under_at"), "under_at", "under", width)
@@ -152,7 +152,7 @@ class Mix:
 
         total = self.sources.agg(F.coalesce(F.max("slots"), F.lit(0))).first()[0]
         tasks = min(20_000, 1 + total // 16384)  # by number, since the runs are tiny until they are spread out
-        every = kept.unionByName(moved).repartition(tasks, "shard")
+        every = inner.unionByName(moved).repartition(tasks, "shard")
         each = every.select("shard", "sid", F.explode(F.sequence(F.col("j"), F.col("j") + F.col("n") - 1)).alias("j"))
         passes = met.select("sid", "blocks", F.explode(F.sequence(F.lit(0), F.floor((F.col("draws") - 1) / F.col("blocks")))).alias("pass"))
         passes = materialize(passes.withColumn("keys", round_keys(F.col("blocks"), self.seed, F.col("sid"), F.col("pass"))).coalesce(1), "passes")
@@ -160,7 +160,7 @@ class Mix:
         each = each.join(passes, ["sid", "pass"]).withColumn("block", permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.col("keys")))
         order = W.partitionBy("shard").orderBy(F.xxhash64("sid", "j"), "sid", "j")
         slot = F.col("shard") * self.shard + F.row_number().over(order) - 1
-        return materialize(each.select("shard", slot.alias("slot"), "sid", "pass", "block"), "slots")  # so that joins know its size
+        return kept(each.select("shard", slot.alias("slot"), "sid", "pass", "block"))  # so that joins know its size
 
     def pieces(self) -> DataFrame:
         """The documents cut at block edges: located's columns, block, at (word in the document, from 0), words."""
