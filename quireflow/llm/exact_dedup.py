@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, kept
 
+#: Digests of dropped copies are broadcast below this many bytes; above, the rows are shuffled to them.
+BROADCAST_BYTES = 48 << 20
+
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
@@ -55,6 +58,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     for more, same in ((texts, F.lit(True)), (whole, text == F.col("__t"))):
         if more:
             gone = more.where("n > 1 AND keep IS NOT NULL").select(*(F.col(c).alias(f"__{c}") for c in more.columns if c != "n"))
+            if more is texts:
+                row = F.octet_length("__h") + F.octet_length(F.col("__keep").cast("string")) + 64
+                if (gone.agg(F.sum(row)).first()[0] or 0) < BROADCAST_BYTES:
+                    gone = F.broadcast(gone)
             docs = docs.join(gone, (digest(text) == gone["__h"]) & same & ~docs[id_col].eqNullSafe(gone["__keep"]), "left_anti")
     return docs
 

@@ -32,6 +32,22 @@ def test_dropped_copies_have_equal_texts_and_not_only_digests(spark):
         assert sorted(((r["doc_id"], r["text"]) for r in got), key=repr) == sorted(stay, key=repr)
 
 
+def test_rows_are_not_shuffled_to_few_dropped_digests(spark, monkeypatch):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    docs = table(spark, [(i, f"text {i % 7}") for i in range(60)] + [(None, "text 3"), (None, "alone"), (None, "ALONE"), (59, "Text 3")])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for limit, used, other in ((48 << 20, "BroadcastHashJoin", "SortMergeJoin"), (0, "SortMergeJoin", "BroadcastHashJoin")):
+            monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", limit, raising=False)
+            got = exact_dedup.drop_exact_copies(docs)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert used in plan and other not in plan
+            want = [(i, f"text {i % 7}") for i in range(53, 60)] + [(None, "alone"), (None, "ALONE"), (59, "Text 3")]
+            assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_only_a_to_z_are_lower_cased(spark):
     texts = ["", "ABC xyz [\\]^_`@{", "\x00A\x7fZ", "ÀB", "İI", "KK", "ΑΣ A", "ẞS", "𐐀A", "É", "A�B"]
     rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", ascii_lower(F.col("t")).alias("low")).collect()
